@@ -31,6 +31,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ._common import new_path
+    from .warc import read_pages, write_pages
+
+    path = new_path(spark, "warc")
+    write_pages(_table(spark, sf_dir, "pages"), path)
+    return read_pages(spark, path)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
