@@ -43,6 +43,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import near_passages
+
+    return near_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ._common import new_path
     from .warc import read_pages, write_pages
