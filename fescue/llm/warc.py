@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +47,7 @@ class _Writer(DataSourceArrowWriter):
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.most = options["path"], int(options.get("filebytes", FILE_BYTES))
+        self.packed = options.get("compression", "gzip").lower() == "gzip"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _at(self.path)
@@ -55,9 +58,9 @@ class _Writer(DataSourceArrowWriter):
                 if out is None or out.tell() > self.most:
                     if out is not None:
                         out.close()
-                    files.append(f"{stem}-{len(files)}.warc")
-                    out = fs.open_output_stream(f"{root}/_temporary/{files[-1]}")
-                out.write(record(row))
+                    files.append(f"{stem}-{len(files)}.warc{'.gz' * self.packed}")
+                    out = fs.open_output_stream(f"{root}/_temporary/{files[-1]}", compression=None)
+                out.write(member(record(row)) if self.packed else record(row))
         if out is not None:
             out.close()
         return _Written(files)
@@ -92,6 +95,30 @@ def record(row: dict) -> bytes:
     return head.encode() + block + b"\r\n\r\n"
 
 
+def member(data: bytes, level: int = 1) -> bytes:
+    """A gzip member of its own, as archives have for each record, with its length in the header's extra field (subfield LN), so
+    that a reader can pass over it."""
+    pack = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = pack.compress(data) + pack.flush()
+    extra = 4 + 8
+    whole = 10 + 2 + extra + len(body) + 8
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", extra) + b"LN" + struct.pack("<HQ", 8, whole)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def _member_length(start: bytes) -> int | None:
+    """What the extra field tells of the member's length, if it does."""
+    if len(start) > 12 and start[3] & 4:
+        size = struct.unpack_from("<H", start, 10)[0]
+        at = 12
+        while at + 4 <= min(12 + size, len(start)):
+            name, n = start[at : at + 2], struct.unpack_from("<H", start, at + 2)[0]
+            if name == b"LN" and n == 8 and at + 12 <= len(start):
+                return struct.unpack_from("<Q", start, at + 4)[0]
+            at += 4 + n
+    return None
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -123,7 +150,7 @@ class _Reader(DataSourceReader):
         fs, root = _at(self.path)
         info = fs.get_file_info(root)
         found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root))
-        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith(".warc")] or [_File("")]
+        return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith((".warc", ".warc.gz"))] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -131,7 +158,7 @@ class _Reader(DataSourceReader):
         fs, _ = _at(self.path)
         rows, held = [], 0
         with fs.open_input_file(partition.path) as raw:
-            for head, block in records(raw, self._wanted, self.payloads):
+            for head, block in (packed_records if partition.path.endswith(".gz") else records)(raw, self._wanted, self.payloads):
                 own = {c: head.get(field.lower()) for c, field in FIELDS.items()}
                 known = {f.lower() for f in FIELDS.values()} | {"content-length"}
                 rows.append(own | {"content_length": int(head["content-length"]), "headers": [(k, v) for k, v in head.items() if k not in known], "payload": block})
@@ -146,6 +173,17 @@ class _Reader(DataSourceReader):
 _ARROW = pa.schema([*[(c, pa.string()) for c in FIELDS], ("content_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 
 
+def _head(data: bytes, at: int) -> dict:
+    first, *lines = data.decode("utf-8").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError(f"no record begins at byte {at}")
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+
+
+def _payload(head: dict, block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2] if head.get("content-type", "").startswith("application/http") else block
+
+
 def records(raw, wanted=lambda head: True, payloads: bool = True, size: int = 1 << 20) -> Iterator[tuple[dict, bytes | None]]:
     """(header with field names in lower case, payload) of each wanted record of an uncompressed archive that can seek. The
     payload is what follows the HTTP header of an HTTP block, and all of any other block; None if payloads is false.
@@ -169,10 +207,7 @@ def records(raw, wanted=lambda head: True, payloads: bool = True, size: int = 1
             if base + len(buffer) >= end:
                 raise ValueError(f"a header that begins at byte {at} does not end")
             upto(base + len(buffer) + size)
-        first, *lines = buffer[:stop].decode("utf-8").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        head = _head(buffer[:stop], at)
         length = int(head["content-length"])
         at += stop + 4
         if at + length > end:
@@ -181,16 +216,62 @@ def records(raw, wanted=lambda head: True, payloads: bool = True, size: int = 1
             block = None
             if payloads:
                 upto(at + length)
-                block = buffer[:length]
-                if head.get("content-type", "").startswith("application/http"):
-                    block = block.partition(b"\r\n\r\n")[2]
+                block = _payload(head, buffer[:length])
             yield head, block
         at += length + 4
 
 
+def packed_records(raw, wanted=lambda head: True, payloads: bool = True, size: int = 1 << 16) -> Iterator[tuple[dict, bytes | None]]:
+    """records() of an archive with a gzip member for each record. Of a member only as much is unpacked as its header takes,
+    and the rest if the record is wanted; where its length is told, the reader goes straight on to the next."""
+    end, at = raw.size(), 0
+    while at < end:
+        raw.seek(at)
+        start = raw.read(1 << 12)
+        length, unpack, data, read = _member_length(start), zlib.decompressobj(31), b"", len(start)
+        held = unpack.decompress(start)
+        data += held
+
+        def more() -> bool:
+            nonlocal data, read
+            if unpack.eof or at + read >= end:
+                return False
+            got = raw.read(size)
+            read += len(got)
+            data += unpack.decompress(got)
+            return True
+
+        while (stop := data.find(b"\r\n\r\n")) < 0:
+            if not more():
+                raise ValueError(f"a header that begins in the member at byte {at} does not end")
+        head = _head(data[:stop], at)
+        need = int(head["content-length"])
+        if wanted(head):
+            block = None
+            if payloads:
+                parts = [data]
+                have = len(data)
+                while have < stop + 4 + need:
+                    data = b""
+                    if not more():
+                        raise ValueError(f"the block in the member at byte {at} does not end")
+                    parts.append(data)
+                    have += len(data)
+                block = _payload(head, b"".join(parts)[stop + 4 : stop + 4 + need])
+            yield head, block
+        if length is None:
+            while not unpack.eof:
+                data = b""
+                if not more() and not unpack.eof:
+                    raise ValueError(f"the member at byte {at} does not end")
+            length = read - len(unpack.unused_data)
+        at += length
+
+
 class WarcSource(DataSource):
-    """Format warc. Reading: path (a folder or file of .warc files), payload=false to leave blocks unread. Writing: columns of
-    FIELDS, headers and payload, any of them but record_type and record_id missing; mode append into a new folder."""
+    """Format warc. Reading: path (a folder or file of .warc or .warc.gz files), payload=false to leave blocks unread. Writing: columns of
+    FIELDS, headers and payload, any of them but record_type and record_id missing; mode append into a new folder;
+    compression gzip (a member for each record) or none."""
 
     @classmethod
     def name(cls) -> str:
