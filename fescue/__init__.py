@@ -1,0 +1,14 @@
+"""Estimation with many fixed effects on Spark tables."""
+
+from .functions.columns import Panel, bin_column, cut_column, factor_columns
+from .operators.did import aggregate, did_means, sunab
+from .operators.models import ModelSet, collinearity, demean, feglm, felogit, femlm, fenegbin, fenmlm, feols, fepois, update
+from .operators.report import coefplot, etable, iplot
+from .operators.tools import compare_keys, n_unique, sample_rows, to_integer
+from .operators.vcov import Ssc, Vcov, cluster, conley, driscoll_kraay, hetero, iid, newey_west
+
+__all__ = [
+    "ModelSet", "Panel", "Ssc", "Vcov", "aggregate", "bin_column", "cluster", "coefplot", "collinearity", "compare_keys", "conley", "cut_column", "demean", "did_means",
+    "driscoll_kraay", "etable", "factor_columns", "feglm", "felogit", "femlm", "fenegbin", "fenmlm", "feols", "fepois", "hetero", "iid", "iplot", "n_unique", "newey_west",
+    "sample_rows", "sunab", "to_integer", "update",
+]
