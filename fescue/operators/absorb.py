@@ -52,7 +52,7 @@ class Absorbed:
         return out.select(*df.columns, *[taken[c].alias(prefix + c) for c in self.cols])
 
 
-def absorb(df: DataFrame, blocks: list[Block], cols: list[str], weight: str | None = None, tol: float = 1e-10, most: int = 2_000, dense: int = DENSE) -> Absorbed:
+def absorb(df: DataFrame, blocks: list[Block], cols: list[str], weight: str | None = None, tol: float = 1e-9, most: int = 2_000, dense: int = DENSE) -> Absorbed:
     raw = gram(df, cols, weight)
     if not blocks:
         return Absorbed(raw, raw, [], cols)
@@ -152,6 +152,13 @@ def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarr
     """Conjugate gradients on the effects' normal equations, scaled by their diagonal, for all columns at once. Vectors are tables
     with a row for each coefficient; a turn joins them with the rows' keys, sums by key and writes one table."""
     m, w, slopes = len(cols), F.col("_wt"), any(b.unit for b in blocks)
+    level = next((k for k, b in enumerate(blocks) if not b.unit), None)
+    shift = [0.0] * m
+    if level is not None:
+        # The common mean is taken out first; the sums that follow are then of the size of what is looked for.
+        shift = [x or 0.0 for x in df.agg(*[F.sum(w * F.col(c)) / F.sum(w) for c in cols]).first()]
+        df = df.withColumns({c: F.col(c) - x for c, x in zip(cols, shift)})
+    centred = gram(df, cols, "_wt")
     unit = [F.col(b.unit) if b.unit else F.lit(1.0) for b in blocks]
     long = [F.struct(F.lit(k).alias("k"), F.col(b.key).cast("string").alias("key"), unit[k].alias("u")) for k, b in enumerate(blocks)]
     first = df.select("_wt", *cols, F.explode(F.array(*long)).alias("x")).select("x.*", "_wt", *cols)
@@ -164,8 +171,8 @@ def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarr
     rows = cut(rows, "keys")
     rr = v.agg(*[F.sum(F.col(f"r{i}") * F.col(f"r{i}") / F.col("d")).alias(f"z{i}") for i in range(m)]).first()
     now = np.array([rr[i] or 0.0 for i in range(m)])
-    goal, turns = now * tol**2, 0
-    while (now > np.maximum(goal, 1e-280)).any() and turns < most:
+    goal, turns, best, stuck = now * tol**2, 0, now.copy(), 0
+    while (now > np.maximum(goal, 1e-280)).any() and turns < most and stuck < 8:
         t = rows
         for k, b in enumerate(blocks):
             p = v.where(F.col("k") == k).select(F.col("key").alias(b.key), *[F.col(f"p{i}").alias(f"p{k}_{i}") for i in range(m)])
@@ -173,11 +180,11 @@ def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarr
         t = t.select("_wt", F.explode(F.array(*long)).alias("x"), *[sum((unit[k] * F.col(f"p{k}_{i}") for k in range(len(blocks))), F.lit(0.0)).alias(f"t{i}") for i in range(m)])
         q = t.groupBy("x.k", "x.key").agg(*[F.sum(w * F.col("x.u") * F.col(f"t{i}")).alias(f"q{i}") for i in range(m)])
         step = cut(v.join(q, ["k", "key"]), "vectors")
-        sums = [F.sum(F.col(f"p{i}") * F.col(f"q{i}")) for i in range(m)] + [F.sum(F.col(f"{x}{i}") * F.col(f"q{i}") / F.col("d")) for x in "rq" for i in range(m)]
-        found = np.array([x or 0.0 for x in step.agg(*[s.alias(f"z{k}") for k, s in enumerate(sums)]).first()]).reshape(3, m)
-        live = (now > np.maximum(goal, 1e-280)) & (found[0] > 0)
-        a = np.where(live, now / np.where(live, found[0], 1), 0.0)
-        after = np.maximum(now - 2 * a * found[1] + a * a * found[2], 0)
+        found = np.array([x or 0.0 for x in step.agg(*[F.sum(F.col(f"p{i}") * F.col(f"q{i}")).alias(f"z{i}") for i in range(m)]).first()])
+        live = (now > np.maximum(goal, 1e-280)) & (found > 0)
+        a = np.where(live, now / np.where(live, found, 1), 0.0)
+        size = [F.sum((F.col(f"r{i}") - float(a[i]) * F.col(f"q{i}")) ** 2 / F.col("d")).alias(f"z{i}") for i in range(m)]
+        after = np.array([x or 0.0 for x in step.agg(*size).first()])
         beta = np.where(live, after / np.where(now > 0, now, 1), 0.0)
         old = v
         r = [F.col(f"r{i}") - float(a[i]) * F.col(f"q{i}") for i in range(m)]
@@ -185,10 +192,12 @@ def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarr
         v._cut_path = step._cut_path
         uncut(old)
         now, turns = np.where(live, after, now * 0), turns + 1
+        stuck = 0 if (now < 0.5 * best).any() else stuck + 1
+        best = np.minimum(best, now)
     uncut(rows)
     explained = _explained(v.select(*[F.col(f"b{i}").alias(f"s0_{i}") for i in range(m)], *[F.col(f"x{i}").alias(f"a0_{i}") for i in range(m)]), 1, m)
     tables = []
     for k, b in enumerate(blocks):
         kind = df.schema[b.key].dataType
-        tables.append(([b], v.where(F.col("k") == k).select(F.col("key").cast(kind).alias("key"), *[F.col(f"x{i}").alias(f"a0_{i}") for i in range(m)])))
-    return Absorbed(raw - explained, raw, tables, cols, turns)
+        tables.append(([b], v.where(F.col("k") == k).select(F.col("key").cast(kind).alias("key"), *[(F.col(f"x{i}") + float(shift[i] if k == level else 0.0)).alias(f"a0_{i}") for i in range(m)])))
+    return Absorbed(centred - explained, raw, tables, cols, turns)

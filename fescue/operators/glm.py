@@ -118,7 +118,8 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
     old_dev, state, model = None, start, None
     trail: list = []
     for turn in range(most):
-        mu, slope = family.inverse(F.col("_eta")), family.slope(F.col("_eta"))
+        df = df.withColumns({"_mu": family.inverse(F.col("_eta")), "_slope": family.slope(F.col("_eta"))})
+        mu, slope = F.col("_mu"), F.col("_slope")
         off = F.col("_o") if s.offset else F.lit(0.0)
         rows = df.withColumns({"_irls": w * slope * slope / family.variance(mu), "_z": F.col("_eta") - off + (F.col("_y") - mu) / slope}).where("_irls > 0")
         model = fit(s, family.name, weight="_irls", y="_z", rows=rows, sizes=sizes, dispersion=1.0, fe_tol=fe_tol)
@@ -127,7 +128,7 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
         after = _State(model.names, model.beta, tables)
         for _ in range(10):
             df = after.predictor(s, base)
-            dev = df.agg(F.sum(w * family.deviance(F.col("_y"), family.inverse(F.col("_eta"))))).first()[0]
+            dev = df.withColumn("_mu", family.inverse(F.col("_eta"))).agg(F.sum(w * family.deviance(F.col("_y"), F.col("_mu")))).first()[0]
             if dev is not None and np.isfinite(dev) and (old_dev is None or dev <= old_dev * (1 + 1e-10) + 1e-10) or state is None:
                 break
             after = after.halfway(state)
@@ -141,14 +142,14 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
     model.beta = np.array([dict(zip(state.names, state.beta)).get(n, 0.0) for n in model.names])
     final = state
     model.stats["state"] = final
-    cells = df.agg(F.count("*"), F.sum(w), F.sum(w * F.col("_y")), F.sum(w * (F.col("_y") - family.inverse(F.col("_eta"))) ** 2)).first()
+    df = df.withColumn("_mu", family.inverse(F.col("_eta")))
+    cells = df.agg(F.count("*"), F.sum(w), F.sum(w * F.col("_y")), F.sum(w * (F.col("_y") - F.col("_mu")) ** 2)).first()
     model.n, model.stats["sum_w"], model.stats["mean_y"], model.ssr = int(cells[0]), cells[1], cells[2] / cells[1], cells[3]
-    k = model.nparams
     if not family.fixed:
-        model.sigma2 = model.ssr_work / max(model.n - k, 1) if hasattr(model, "ssr_work") else _dispersion(model)
+        model.sigma2 = _dispersion(model)
     mean = F.lit(model.stats["mean_y"])
     if family.likelihood:
-        got = df.agg(F.sum(w * family.likelihood(F.col("_y"), family.inverse(F.col("_eta")))), F.sum(w * family.likelihood(F.col("_y"), mean))).first()
+        got = df.agg(F.sum(w * family.likelihood(F.col("_y"), F.col("_mu"))), F.sum(w * family.likelihood(F.col("_y"), mean))).first()
         model.stats |= {"ll": got[0], "ll_null": got[1]}
     else:
         got = df.agg(F.sum(w * family.deviance(F.col("_y"), mean))).first()
