@@ -173,7 +173,12 @@ def matches(c: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
                 out.add((item.item_id, base + start, base + e, best[0]))
         if base + step >= len(c):
             break
-    return sorted(out)
+    # Of matches of one item that overlap, as neighbouring bands or pieces may give, the best is the match.
+    best: list[tuple[int, int, int, int]] = []
+    for m in sorted(out, key=lambda m: (m[0], m[3], m[1])):
+        if not any(b[0] == m[0] and b[1] < m[2] and m[1] < b[2] for b in best):
+            best.append(m)
+    return sorted(best)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The generator's multiplier, as the paper has it.
@@ -20,7 +20,7 @@ def jump_shard(key: Column, shards: int) -> Column:
     decimal because long products would overflow, the last shard jumped to and the next; there are shards jumps at most."""
     wide = F.lit(str(2**64)).cast("decimal(38,0)")
 
-    def jump(s: Column, _: Column) -> Column:
+    def draw(s: Column) -> Column:
         k = (s["k"].cast("decimal(20,0)") * F.lit(STEP).cast("decimal(19,0)")).cast("decimal(38,0)") + F.lit(1).cast("decimal(1,0)")
         k = F.pmod(k.cast("decimal(38,0)"), wide).cast("decimal(20,0)")
         return F.when(s["j"] >= shards, s).otherwise(F.struct(k.alias("k"), s["j"].cast("int").alias("b"), s["j"].alias("j")))
@@ -32,7 +32,7 @@ def jump_shard(key: Column, shards: int) -> Column:
     start = F.struct(_unsigned(F.coalesce(key.cast("long"), F.lit(0).cast("long"))).alias("k"), F.lit(-1).alias("b"), F.lit(0).cast("long").alias("j"))
     turns = F.sequence(F.lit(1), F.lit(2 * shards))
     # Odd turns draw the next number, even turns land on the shard it leads to.
-    return F.aggregate(turns, start, lambda s, i: F.when(i % 2 == 1, jump(s, i)).otherwise(land(s)), lambda s: s["b"])
+    return F.aggregate(turns, start, lambda s, i: F.when(i % 2 == 1, draw(s)).otherwise(land(s)), lambda s: s["b"])
 
 
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,18 +40,16 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
 
     The id and the number of shards decide the shard; with one more shard a row stays or moves into the new one
     (grown_shard). size: the text's UTF-8 bytes (null: none) plus 8. slot: the row's place in its shard, from 0 without
-    gaps, in the order of a hash of the id, then id, size and checksum; rows equal in all of them are alike, so it does
-    not matter which comes first. A null id stands for 0 and comes before 0.
+    gaps, in the order of a hash of id and checksum, then id, size and checksum; rows equal in all of them are alike, so
+    it does not matter which comes first. A null id stands for 0 and comes before 0.
 
     Only ids, sizes and checksums are shuffled. Rows are numbered within PARTS parts of a shard, and the parts' offsets
     (shards times PARTS rows at most) are added."""
-    from pyspark.sql import Window
-
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(8).cast("long")).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         jump_shard(F.col(id_col), shards).alias("shard"), jump_shard(F.col(id_col), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(PARTS)).cast("int").alias("_part"),
+        F.pmod(F.xxhash64(F.lit(3), F.col(id_col), F.crc32(F.encode(text, "UTF-8"))), F.lit(PARTS)).cast("int").alias("_part"),
     )
     counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     first = counts.select("shard", "_part", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_first"))

@@ -144,9 +144,7 @@ def plan(n: int, both: np.ndarray, most: int = 4) -> list[tuple[int, int, int]]:
         table: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for bits in groups:
             share, nxt = _distances(n, both, bits, most), {}
-            for t in range(-1, most - parts + 2 + parts):
-                if t > 3:
-                    break
+            for t in range(-1, most + 1):
                 rows = 0 if t < 0 else sum(comb(len(bits), r) for r in range(_radii(t)[1] + 1))
                 pairs = 0 if t < 0 else n * sum(share[d] * _meetings(len(bits), d, t) for d in range(t + 1)) / 2
                 for used, (cost, picked) in table.items():
