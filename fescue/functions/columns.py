@@ -119,6 +119,13 @@ def bin_column(df: DataFrame, c: Column | str, how) -> tuple[Column, list]:
     return out, levels(df, out)
 
 
+def ref_levels(df: DataFrame, c: Column | str, ref) -> tuple[Column, list]:
+    """The column with the values of ref (one, or a list put together as in bin_column) and its levels, ref first."""
+    out, found = bin_column(df, c, ref if isinstance(ref, (list, dict)) else [ref])
+    first = (next(iter(ref)) if isinstance(ref, dict) else ref[0]) if isinstance(ref, (list, dict)) else ref
+    return out, [first, *[v for v in found if v != first]]
+
+
 def cut_points(df: DataFrame, c: Column, how: str) -> list[tuple[float, bool]]:
     """Upper bounds and whether they belong to the bin: a number of bins of equal counts, or values, q1 (quartiles) and p20
     (percentiles, by linear interpolation) that end in ] (inclusive) or [ (exclusive)."""

@@ -128,6 +128,23 @@ def feols(df: DataFrame, formula: str, *, collin_tol: float = 1e-9, fixef_tol: f
     return run(df, formula, lambda s: fit(s, tol=collin_tol, fe_tol=fixef_tol), **kw)
 
 
+def feols_fit(df: DataFrame, y: str, x: list[str], effects: list[str] = (), **kw) -> Model:
+    """feols for names in place of a formula."""
+    return feols(df, f"{y} ~ {' + '.join(x) or '1'}" + (f" | {' + '.join(effects)}" if effects else ""), **kw)
+
+
+def first_stages(model: Model) -> dict[str, Model]:
+    """The regressions of the endogenous variables on the instruments and exogenous variables of a two-stage fit."""
+    s, out = model.sample, {}
+    names = [*s.inst, *s.x]
+    cols = {f"_x{k}": F.col(c) for k, c in enumerate([*[f"_z{k}" for k in range(len(s.inst))], *s.xcols])}
+    for k, e in enumerate(s.endo):
+        part = replace(s, df=s.df.withColumns(cols | {"_y": F.col(f"_e{k}")}), x=names, endo=[], inst=[], offset=None)
+        out[e] = fit(part, sizes=model.sizes)
+        out[e].default_vcov, out[e].ssc, out[e].panel = model.default_vcov, model.ssc, model.panel
+    return out
+
+
 def feglm(df: DataFrame, formula: str, family="gaussian", *, glm_tol: float = 1e-8, glm_iter: int = 25, fixef_rm: str = "perfect", **kw) -> Model | ModelSet:
     fam = resolve(family)
     return run(df, formula, lambda s: feglm_fit(s, fam, glm_tol, glm_iter), fixef_rm=fixef_rm, family=fam.name, **kw)

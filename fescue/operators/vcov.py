@@ -94,6 +94,8 @@ def request(kind, model) -> Vcov:
         return Vcov("iid")
     if low in ("hetero", "white", "hc1"):
         return Vcov("hetero")
+    if low in ("hc2", "hc3"):
+        return Vcov(low)
     if low == "cluster" or low in WAYS:
         n = WAYS.get(low, max(len(names), 1))
         if not names:
@@ -257,6 +259,12 @@ def vcov(model, kind=None, ssc: Ssc | None = None) -> tuple[np.ndarray, float]:
         v = bread * model.sigma2 * ((n - model.nparams) / (n - 1) if model.kind in ("ols", "gaussian") else 1.0)
     elif req.kind == "hetero":
         v = bread @ _outer(model.scores, k) @ bread * n / (n - 1)
+    elif req.kind in ("hc2", "hc3"):
+        # Residuals are scaled up by what their own row explains; only for models whose effects are columns.
+        shrink = F.pow(1 - F.col("hat"), F.lit(-0.5 if req.kind == "hc2" else -1.0))
+        w = F.col(model.weight) if model.weight else F.lit(1.0)
+        rows = model.hatvalues().withColumns({f"_g{i}": w * F.col("_u") * shrink * F.col(f"_q{i}") for i in range(k)})
+        v, adj = bread @ _outer(rows, k) @ bread, 1.0
     elif req.kind == "cluster":
         scores = model.scores.withColumns({f"_k{i}": _expr(v) for i, v in enumerate(req.vars)})
         ways, sizes = [c for r in range(1, len(req.vars) + 1) for c in combinations(range(len(req.vars)), r)], {}

@@ -261,6 +261,18 @@ def vcov_conley_spherical(spark, d):
     return se(spark, fe.feols(_places(spark, d), "y ~ x"), fe.conley(300.5, distance="spherical")).where("term = 'x'")
 
 
+@query(LINE_SQL + """, e as (select regr_slope(y, q) as b, regr_intercept(y, q) as a, avg(q) as m, count(*) as n, var_pop(q)*count(*) as qq from t), r as (select (q-m)*(y-a-b*q)/(1 - 1.0/n - (q-m)*(q-m)/qq) as u, b, qq from t, e)
+select 'q' as term, round(max(b), 6) as estimate, round(sqrt(sum(u*u))/max(qq), 7) as std_error from r""")
+def vcov_hc3(spark, d):
+    return se(spark, fe.feols(line(spark, d), "y ~ q"), "HC3").where("term = 'q'")
+
+
+@query(LINE_SQL + """, k as (select sum(w) as n, sum(w*y)/sum(w) as my, sum(w*q)/sum(w) as mq from t), h as (select w, y - my as y, q - mq as q, n from t, k), b as (select sum(w*q*y)/sum(w*q*q) as b, sum(w*q*q) as qq from h)
+select 'q' as term, round(max(b), 6) as estimate, round(sqrt(sum(w*w*q*q*(y-b*q)*(y-b*q))*count(*)/(count(*) - 2.0))/max(qq), 7) as std_error from h, b""")
+def vcov_hetero_weighted(spark, d):
+    return se(spark, fe.feols(line(spark, d), "y ~ q", weights="w"), "hetero").where("term = 'q'")
+
+
 # Statistics.
 
 
@@ -330,6 +342,11 @@ def iv_just_identified(spark, d):
     return coefs(spark, fe.feols(line(spark, d), "y ~ 1 | f | q ~ z"), digits=4)
 
 
+@query(LINE_SQL + _DEMEAN.format(k="f") + "r as (select sum(z*q)/sum(z*z) as b from dm) select 'z' as term, round(b, 6) as estimate from r")
+def iv_first_stage_fit(spark, d):
+    return coefs(spark, fe.first_stages(fe.feols(line(spark, d), "y ~ 1 | f | q ~ z"))["q"])
+
+
 @query(LINE_SQL + _DEMEAN.format(k="f") + "r as (select sum(z*q)*sum(z*q)/sum(z*z) as ess, sum(q*q) as qq, count(*) as n from dm) select 'q' as stat, round(ess/((qq - ess)/(n - 4.0)), 5) as value from r")
 def iv_first_stage(spark, d):
     return stats(spark, fe.feols(line(spark, d), "y ~ 1 | f | q ~ z").fitstat("ivf")["ivf"], 5)
@@ -404,6 +421,20 @@ def nonlinear(spark, d):
     return coefs(spark, m, digits=4).where("term in ('a', 'b')")
 
 
+@query(LINE_SQL + """, a as (select f, avg(hit) as p, count(*) as n from t group by f), k as (select avg(hit) as p, count(*) as n from t), l as (select (select sum(n*(p*ln(p) + (1-p)*ln(1-p))) from a) as ll, n*(p*ln(p) + (1-p)*ln(1-p)) as ll0 from k)
+select 'll' as stat, round(ll, 4) as value from l union all select 'pr2', round(1 - ll/ll0, 4) from l union all select 'lr', round(2*(ll - ll0), 4) from l union all select 'aic', round(6 - 2*ll, 4) from l union all select 'deviance', round(-2*ll, 4) from l""")
+def logit_statistics(spark, d):
+    return stats(spark, fe.felogit(line(spark, d), "hit ~ i(f)").fitstat("ll", "pr2", "lr", "aic", "deviance"), 4)
+
+
+@query(LINE_SQL + ", a as (select f, avg(c) as m from t group by f) select t.f, round(sum((c - m)/sqrt(m)), 4) as pearson, round(sum((c - m)/m), 4) as working, round(sum(2*(case when c > 0 then c*ln(c/m) else 0 end - (c - m))), 3) as deviance from t join a on t.f = a.f group by t.f")
+def glm_residuals(spark, d):
+    m = fe.fepois(line(spark, d), "c ~ i(f)")
+    sums = lambda kind, e, digits: m.residuals(kind).groupBy("f").agg(F.round(F.sum(F.expr(e)), digits).alias(kind))
+    out = sums("pearson", "residual", 4).join(sums("working", "residual", 4), "f").join(sums("deviance", "residual * residual", 3), "f")
+    return out.select("f", *[(F.col(c) + 0.0).alias(c) for c in ("pearson", "working", "deviance")])
+
+
 # Panels and differences in differences.
 
 
@@ -506,6 +537,21 @@ def singletons_removed(spark, d):
     return rows(spark, [(m.n, round(m.coef["x"], 6))], "n long, estimate double")
 
 
+@query("select case when p_size <= 3 then '1' else cast(p_size as varchar) end as level, count(*) as n from part group by 1")
+def reference_level(spark, d):
+    p = table(spark, d, "part").withColumn("k", F.col("p_size").cast("string"))
+    c, _ = fe.ref_levels(p, "k", ["1", "2", "3"])
+    return p.groupBy(c.alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(LINE_SQL + _DEMEAN.format(k="s") + "r as (select sum(q*y)/sum(q*q) as b from dm), a as (select s, avg(y - b*q) as a from t, r group by s) select count(*) as n, round(avg(a), 6) as mean, round(var_samp(a), 6) as variance, round(min(a), 6) as least, round(max(a), 6) as most from a")
+def effects_described(spark, d):
+    from .operators.fixef import describe
+
+    out = describe(_slope_model(spark, d).fixef()["s"])
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "least", "most")])
+
+
 @query("select l_orderkey, count(*) as n from lineitem group by 1 having count(*) > 1")
 def duplicate_keys(spark, d):
     return tools.duplicates(table(spark, d, "lineitem"), "l_orderkey")
