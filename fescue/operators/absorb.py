@@ -7,7 +7,7 @@ where a result has rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, uncut
-from .moments import gram, pseudo_inverse
+from .moments import counted_gram, gram, pseudo_inverse
 
+#: Columns up to which the products of a single grouping are summed along with its sums.
+NARROW = 8
 #: Levels of all effects but the largest up to which they are solved for exactly on the driver.
 DENSE = 1_200
 
@@ -37,6 +39,8 @@ class Absorbed:
     tables: list[tuple[list[Block], DataFrame]]
     cols: list[str]
     iterations: int = 0
+    rows: int = 0
+    levels: dict = field(default_factory=dict)  # of a key, where they were counted on the way
 
     def without(self, df: DataFrame, prefix: str = "_m_") -> DataFrame:
         """df with a column prefix + name for each column, free of the effects. The coefficients meet the rows by key."""
@@ -53,19 +57,35 @@ class Absorbed:
 
 
 def absorb(df: DataFrame, blocks: list[Block], cols: list[str], weight: str | None = None, tol: float = 1e-9, most: int = 2_000, dense: int = DENSE) -> Absorbed:
-    raw = gram(df, cols, weight)
-    if not blocks:
-        return Absorbed(raw, raw, [], cols)
-    df = df.withColumn("_wt", F.col(weight) if weight else F.lit(1.0))
     keys = list(dict.fromkeys(b.key for b in blocks))
+    base, df = df, df.withColumn("_wt", F.col(weight) if weight else F.lit(1.0))
+    if len(keys) == 1 and len(blocks) == 1 and not blocks[0].unit and len(cols) <= NARROW:
+        return _means(df, blocks[0], cols)
+    raw, n = counted_gram(base, cols, weight)
+    if not blocks:
+        return Absorbed(raw, raw, [], cols, rows=n)
     if len(keys) == 1:
-        return _one(df, blocks, cols, raw)
-    if not any(b.unit for b in blocks):
-        found = df.agg(*[F.approx_count_distinct(k).alias(k) for k in keys]).first()
-        keys.sort(key=lambda k: -found[k])
-        if sum(found[k] for k in keys[1:]) <= dense:
-            return _exact(df, keys, cols, raw)
-    return _iterated(df, blocks, cols, raw, tol, most)
+        out = _one(df, blocks, cols, raw)
+    else:
+        out = None if any(b.unit for b in blocks) else _exact(df, keys, cols, raw, dense)
+        out = out or _iterated(df, blocks, cols, raw, tol, most)
+    out.rows = n
+    return out
+
+
+def _means(df: DataFrame, block: Block, cols: list[str]) -> Absorbed:
+    """One effect without slopes: products and sums of each group, and from these all that is asked for, in one pass."""
+    m, w, c = len(cols), F.col("_wt"), [F.col(x) for x in cols]
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    cells = df.groupBy(F.col(block.key).alias("key")).agg(F.sum(w).alias("w"), F.count("*").alias("n"), *[F.sum(w * c[i]).alias(f"s{i}") for i in range(m)], *[F.sum(w * c[i] * c[j]).alias(f"p{i}_{j}") for i, j in pairs])
+    sums = [F.sum(f"p{i}_{j}") for i, j in pairs] + [F.sum(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("w")) for i, j in pairs]
+    found = cells.agg(*[s.alias(f"x{k}") for k, s in enumerate(sums)], F.count("*"), F.sum("n")).first()
+    raw, left = np.zeros((m, m)), np.zeros((m, m))
+    for k, (i, j) in enumerate(pairs):
+        raw[i, j] = raw[j, i] = found[k] or 0.0
+        left[i, j] = left[j, i] = found[len(pairs) + k] or 0.0
+    table = cells.select("key", *[(F.col(f"s{i}") / F.col("w")).alias(f"a0_{i}") for i in range(m)])
+    return Absorbed(left, raw, [([block], table)], cols, rows=found[-1] or 0, levels={block.key: found[-2]})
 
 
 def _one(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarray) -> Absorbed:
@@ -104,48 +124,60 @@ def _explained(table: DataFrame, q: int, m: int) -> np.ndarray:
     return out
 
 
-def _exact(df: DataFrame, keys: list[str], cols: list[str], raw: np.ndarray) -> Absorbed:
+def _exact(df: DataFrame, keys: list[str], cols: list[str], raw: np.ndarray, dense: int) -> Absorbed | None:
     """Means of the largest grouping are taken out by group sums; what they leave of the other effects, a matrix with a row for
-    each of their levels, is solved for on the driver. Levels that only tell components apart drop out."""
-    big, small, m, w, spark = keys[0], keys[1:], len(cols), F.col("_wt"), df.sparkSession
-    sums = [F.sum(w).alias("w")] + [F.sum(w * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]
-    cells = cut(df.groupBy(F.col(big).alias("key")).agg(*sums), "cells")
+    each of their levels, is solved for on the driver. Levels that only tell components apart drop out. The rows are read
+    once, into sums by combination of levels. None if the other effects have over dense levels."""
+    m, spark = len(cols), df.sparkSession
+    found = df.agg(*[F.approx_count_distinct(k).alias(k) for k in keys]).first()
+    keys = sorted(keys, key=lambda k: -found[k])
+    if sum(found[k] for k in keys[1:]) > dense:
+        return None
+    big, small, kinds = keys[0], keys[1:], {k: df.schema[k].dataType.simpleString() for k in keys}
+    w = F.col("_wt")
+    sums = [F.sum("w").alias("w")] + [F.sum(f"s{i}").alias(f"s{i}") for i in range(m)]
+    every = cut(df.groupBy(*keys).agg(F.sum(w).alias("w"), *[F.sum(w * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]), "cells")
+    cells = every.groupBy(F.col(big).alias("key")).agg(*sums)
     ends, index = [], {}
+    # A level of each further effect, and for each two of them the weight they share; DENSE rows or so, and their pairs.
     for k in small:
-        for r in df.groupBy(F.col(k).alias("key")).agg(*sums).collect():  # DENSE rows at most, or about
+        for r in every.groupBy(F.col(k).alias("key")).agg(*sums).collect():
             index[k, r["key"]] = len(ends)
             ends.append([r["w"], *[r[f"s{i}"] for i in range(m)]])
     n, ends = len(ends), np.array(ends)
     s, b = np.diag(ends[:, 0]), ends[:, 1:]
     for x in range(len(small)):
         for y in range(x + 1, len(small)):
-            for r in df.groupBy(small[x], small[y]).agg(F.sum(w).alias("w")).collect():
+            for r in every.groupBy(small[x], small[y]).agg(F.sum("w").alias("w")).collect():
                 i, j = index[small[x], r[0]], index[small[y], r[1]]
                 s[i, j] = s[j, i] = r["w"]
     met = None
     for k in small:
-        kind = df.schema[k].dataType.simpleString()
-        names = spark.createDataFrame([(key, i) for (who, key), i in index.items() if who == k], f"_level {kind}, l int")
-        part = df.groupBy(F.col(big).alias("key"), F.col(k).alias("_level")).agg(F.sum(w).alias("n")).join(F.broadcast(names), "_level").select("key", "l", "n")
+        names = spark.createDataFrame([(key, i) for (who, key), i in index.items() if who == k], f"_level {kinds[k]}, l int")
+        part = every.groupBy(F.col(big).alias("key"), F.col(k).alias("_level")).agg(F.sum("w").alias("n")).join(F.broadcast(names), "_level").select("key", "l", "n")
         met = part if met is None else met.union(part)
-    met = cut(met, "levels").join(cells, "key")
+    # The largest effect's part of each level's sums and, for each two levels, a sum over the groups that have both.
+    met = cut(met.join(cells, "key"), "levels")
+    right = met.select("key", F.col("l").alias("l2"), F.col("n").alias("n2"))
     for r in met.groupBy("l").agg(*[F.sum(F.col("n") * F.col(f"s{i}") / F.col("w")).alias(f"b{i}") for i in range(m)]).collect():
         b[r["l"]] -= [r[f"b{i}"] for i in range(m)]
-    # For each pair of levels, a sum over the groups that have both.
-    left = met.select("key", "l", (F.col("n") / F.col("w")).alias("share"))
-    right = met.select("key", F.col("l").alias("l2"), F.col("n").alias("n2"))
-    for r in left.join(right, "key").groupBy("l", "l2").agg(F.sum(F.col("share") * F.col("n2")).alias("v")).collect():
+    for r in met.select("key", "l", (F.col("n") / F.col("w")).alias("share")).join(right, "key").groupBy("l", "l2").agg(F.sum(F.col("share") * F.col("n2")).alias("v")).collect():
         s[r["l"], r["l2"]] -= r["v"]
     a = pseudo_inverse(s) @ b
-    means = _explained(cells.select(*[F.col(f"s{i}").alias(f"s0_{i}") for i in range(m)], *[(F.col(f"s{i}") / F.col("w")).alias(f"a0_{i}") for i in range(m)]), 1, m)
     named = spark.createDataFrame([(i, *map(float, a[i])) for i in range(n)], "l int, " + ", ".join(f"c{i} double" for i in range(m)))
-    shift = met.join(F.broadcast(named), "l").groupBy("key").agg(*[F.sum(F.col("n") * F.col(f"c{i}") / F.col("w")).alias(f"c{i}") for i in range(m)])
-    tables = [([Block(big)], cells.join(shift, "key").select("key", *[(F.col(f"s{i}") / F.col("w") - F.col(f"c{i}")).alias(f"a0_{i}") for i in range(m)]))]
+    shift = met.join(F.broadcast(named), "l").groupBy("key").agg(*[F.sum(F.col("n") * F.col(f"c{i}") / F.col("w")).alias(f"c{i}") for i in range(m)], F.max("w").alias("w"), *[F.max(f"s{i}").alias(f"s{i}") for i in range(m)])
+    table = shift.select("key", *[(F.col(f"s{i}") / F.col("w") - F.col(f"c{i}")).alias(f"a0_{i}") for i in range(m)])
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    got = cells.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{j}") / F.col("w")).alias(f"x{i}_{j}") for i, j in pairs], F.count("*")).first()
+    means = np.zeros((m, m))
+    for k, (i, j) in enumerate(pairs):
+        means[i, j] = means[j, i] = got[k] or 0.0
+    tables = [([Block(big)], table)]
     for k in small:
-        kind = df.schema[k].dataType.simpleString()
         rows = [(key, *map(float, a[i])) for (who, key), i in index.items() if who == k]
-        tables.append(([Block(k)], spark.createDataFrame(rows, f"key {kind}, " + ", ".join(f"a0_{i} double" for i in range(m)))))
-    return Absorbed(raw - means - b.T @ a, raw, tables, cols)
+        tables.append(([Block(k)], spark.createDataFrame(rows, f"key {kinds[k]}, " + ", ".join(f"a0_{i} double" for i in range(m)))))
+    levels = {k: sum(who == k for who, _ in index) for k in small} | {big: got[-1]}
+    return Absorbed(raw - means - b.T @ a, raw, tables, cols, levels=levels)
 
 
 def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarray, tol: float, most: int) -> Absorbed:

@@ -378,7 +378,7 @@ def fit(s: Sample, kind: str = "ols", tol: float = 1e-9, weight: str | None = No
     a = absorb(df, s.blocks, [*cols, one], weight, fe_tol)
     raw = a.raw
     n_w = raw[-1, -1]
-    n = int(df.count()) if weight else int(round(n_w))
+    n, counted = a.rows, a.levels
     g = a.gram[:-1, :-1]
     a = Absorbed(g, raw[:-1, :-1], a.tables, [*cols, one], a.iterations)
     ix, ie, iz = [cols.index(c) for c in x], [cols.index(c) for c in e], [cols.index(c) for c in z]
@@ -415,7 +415,8 @@ def fit(s: Sample, kind: str = "ols", tol: float = 1e-9, weight: str | None = No
         else:
             resid[ix[s.x.index(nm)]] -= beta[k]
     ssr = float(max(resid[:-1] @ g @ resid[:-1], 0.0))
-    sizes = level_counts(s) if sizes is None else sizes
+    if sizes is None:
+        sizes = [counted[k] for k in s.keys()] if all(k in counted for k in s.keys()) else level_counts(s)
     nparams = parameters(len(names), s, sizes)
     sigma2 = (ssr / max(n - nparams, 1)) if dispersion is None else dispersion
     mean_y = raw[0, -1] / n_w if n_w else float("nan")

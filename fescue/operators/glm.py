@@ -113,7 +113,7 @@ class _State:
 
 def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, start: _State | None = None, fe_tol: float = 1e-10) -> Model:
     w = F.col(s.weight) if s.weight else F.lit(1.0)
-    base, sizes = s.df, level_counts(s)
+    base, sizes = s.df, None
     df = base.withColumn("_eta", family.link(family.start(F.col("_y")))) if start is None else start.predictor(s, base)
     old_dev, state, model = None, start, None
     trail: list = []
@@ -123,6 +123,7 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
         off = F.col("_o") if s.offset else F.lit(0.0)
         rows = df.withColumns({"_irls": w * slope * slope / family.variance(mu), "_z": F.col("_eta") - off + (F.col("_y") - mu) / slope}).where("_irls > 0")
         model = fit(s, family.name, weight="_irls", y="_z", rows=rows, sizes=sizes, dispersion=1.0, fe_tol=fe_tol)
+        sizes = model.sizes
         tables = [(blocks, cut(t, "effects")) for blocks, t in model.effect_tables()]
         trail += [t for _, t in tables]
         after = _State(model.names, model.beta, tables)

@@ -14,31 +14,37 @@ WIDE = 24
 
 
 def gram(df: DataFrame, cols: list[str], weight: str | None = None) -> np.ndarray:
-    """Sum of weight * c_i * c_j over the rows, for all pairs of columns (doubles without nulls)."""
+    return counted_gram(df, cols, weight)[0]
+
+
+def counted_gram(df: DataFrame, cols: list[str], weight: str | None = None) -> tuple[np.ndarray, int]:
+    """Sum of weight * c_i * c_j over the rows, for all pairs of columns (doubles without nulls), and the number of rows."""
     m = len(cols)
     if m <= WIDE:
         w = F.col(weight) if weight else F.lit(1.0)
         sums = [F.sum(w * F.col(cols[i]) * F.col(cols[j])) for i in range(m) for j in range(i, m)]
-        found = df.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()
+        found = df.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)], F.count("*")).first()
         out, k = np.zeros((m, m)), 0
         for i in range(m):
             for j in range(i, m):
                 out[i, j] = out[j, i] = found[k] or 0.0
                 k += 1
-        return out
+        return out, found[k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m, m))
+        total, n = np.zeros((m, m)), 0
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += len(x)
             total += (x[:, :m] * (x[:, m:] if weight else 1.0)).T @ x[:, :m]
         i, j = np.triu_indices(m)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "v"])
+        i, j, v = np.append(i, m), np.append(j, m), np.append(total[i, j], n)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(v)], names=["i", "j", "v"])
 
-    out = np.zeros((m, m))
+    out = np.zeros((m + 1, m + 1))
     for i, j, v in df.select(*cols, *([weight] if weight else [])).mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v")).collect():
         out[i, j] = out[j, i] = v
-    return out
+    return out[:m, :m], int(out[m, m])
 
 
 def usable(c: Column) -> Column:
