@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ def uncut(*frames: DataFrame) -> None:
         remove(df.sparkSession, df._cut_path)
 
 
+def shield(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame, list[str]], DataFrame]]:
+    """docs with every column but the used ones under a name that no operator uses, and a function that puts the names back, in
+    their order, with the operator's own columns after them; of columns that docs has under these names, the operator's stay."""
+    rest = {c: f"__in{k}" for k, c in enumerate(docs.columns) if c not in used}
+
+    def back(out: DataFrame, made: list[str]) -> DataFrame:
+        kept = [F.col(rest[c]).alias(c) if c in rest else F.col(f"`{c}`") for c in docs.columns if c not in made]
+        return out.select(*kept, *made)
+
+    return docs.select(*[F.col(f"`{c}`").alias(rest.get(c, c)) for c in docs.columns]), back
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case and nothing else; lower() does just that where every character is one byte."""
     return F.when(F.char_length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

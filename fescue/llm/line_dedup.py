@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, ascii_lower, key128
+from ._common import SPACE, ascii_lower, key128, shield
 
 #: Parts that the occurrences of one line are dealt into, so that a line of every document has no task of its own.
 SALTS = 16
@@ -27,6 +27,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
 
     A line travels as a hash of 128 bits with its place; the whole texts are shuffled once, to meet their own places.
     """
+    docs, back = shield(docs, id_col, text_col)
     who = {"_id": F.col(id_col), "_text": key128(text_col)}
     row = [c.alias(name) for name, c in who.items()]
     keyed = docs.select(*row, F.transform(line_keys(F.col(text_col)), lambda k: F.when(F.char_length(k) >= min_chars, key128(k))).alias("_keys"))
@@ -55,4 +56,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     })
     kept = F.array_join(F.transform("_left", lambda i: F.get(F.col("_lines"), i)), "\n")
     kept = F.when(F.col("_left").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept)
-    return met.withColumn(text_col, kept).drop(*who, "_id2", "_text2", "_gone", "_lines", "_left")
+    return back(met.withColumn(text_col, kept), ["n_lines", "n_dropped"])

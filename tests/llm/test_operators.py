@@ -40,8 +40,9 @@ def test_line_dedup(spark, docs, rows, odd, none):
     same(dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text").collect(), line_dedup(rows))
     same(dedup_lines(odd, min_docs=2).select("doc_id", "n_lines", "n_dropped", "text").collect(), line_dedup(ODD, 2))
     assert dedup_lines(none).count() == 0
-    extra = odd.selectExpr("doc_id", "text", "1 as n_lines", "'k' as key", "2 as pos")
-    assert {r.key for r in dedup_lines(extra).collect()} == {"k"}
+    extra = odd.selectExpr("doc_id", "1 as n_lines", "text", "'k' as _id", "2 as _lines", "3 as `a.b`")
+    got = dedup_lines(extra)
+    assert got.columns == ["doc_id", "text", "_id", "_lines", "a.b", "n_lines", "n_dropped"] and {(r["_id"], r["_lines"], r["a.b"]) for r in got.collect()} == {("k", 2, 3)}
     many = spark.createDataFrame([(i, "Shared \nown %d" % i) for i in range(30)], SCHEMA)
     assert {r.text for r in dedup_lines(many).collect()} == {f"own {i}" for i in range(30)}
 
@@ -54,6 +55,8 @@ def test_quality_rules(spark, sf, docs, rows, odd, none):
     for table, plain in ((docs, rows), (odd, ODD)):
         same(quality_rules(table, trusted).select(*cols).collect(), [(i, *base_rules(t)) for i, t in plain])
     assert quality_rules(none, trusted).count() == 0
+    extra = quality_rules(odd.selectExpr("'k' as _w", "doc_id", "text", "'x' as kept", "1 as _s"), trusted)
+    assert {(r["_w"], r["_s"], type(r["kept"])) for r in extra.collect()} == {("k", 1, bool)}
     # No trusted document: the base rules alone decide.
     got = quality_rules(docs, trusted.where("false")).select("kept", "base_failed", "ratio").collect()
     assert all(r.kept != r.base_failed and r.ratio == 0 for r in got)
