@@ -22,11 +22,17 @@ def write_text(text: str, path: str) -> None:
         out.write(text)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder that the driver and all executors see: spark.checkpoint.dir, or one in the warehouse
+    where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df written once and read back, so that loops do not grow plans and lost executors cost no more than a read."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
