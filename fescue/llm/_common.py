@@ -2,47 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, new_path, uncut
+
+__all__ = ["ascii_lower", "components", "cut", "key128", "new_path", "shield", "uncut", "words"]
+
 #: The six ASCII white-space characters that separate words.
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one in the warehouse where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and read it back, so that later stages neither recompute it nor lose it with an executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
-
-
-def uncut(*frames: DataFrame) -> None:
-    for df in frames:
-        remove(df.sparkSession, df._cut_path)
-
-
 def shield(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame, list[str]], DataFrame]]:
     """docs with every column but the used ones under a name that no operator uses, and a function that puts the names back, in
     their order, with the operator's own columns after them; of columns that docs has under these names, the operator's stay."""
