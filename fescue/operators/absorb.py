@@ -77,7 +77,9 @@ def _means(df: DataFrame, block: Block, cols: list[str]) -> Absorbed:
     """One effect without slopes: products and sums of each group, and from these all that is asked for, in one pass."""
     m, w, c = len(cols), F.col("_wt"), [F.col(x) for x in cols]
     pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    # Written once: whatever needs the means later reads these sums, not the rows.
     cells = df.groupBy(F.col(block.key).alias("key")).agg(F.sum(w).alias("w"), F.count("*").alias("n"), *[F.sum(w * c[i]).alias(f"s{i}") for i in range(m)], *[F.sum(w * c[i] * c[j]).alias(f"p{i}_{j}") for i, j in pairs])
+    cells = cut(cells, "cells")
     sums = [F.sum(f"p{i}_{j}") for i, j in pairs] + [F.sum(F.col(f"p{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("w")) for i, j in pairs]
     found = cells.agg(*[s.alias(f"x{k}") for k, s in enumerate(sums)], F.count("*"), F.sum("n")).first()
     raw, left = np.zeros((m, m)), np.zeros((m, m))
@@ -93,7 +95,7 @@ def _one(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarray) -
     unit = [F.col(b.unit) if b.unit else F.lit(1.0) for b in blocks]
     m, q, w = len(cols), len(blocks), F.col("_wt")
     sums = [F.sum(w * unit[a] * unit[b]).alias(f"u{a}_{b}") for a in range(q) for b in range(q)] + [F.sum(w * unit[b] * F.col(c)).alias(f"s{b}_{i}") for b in range(q) for i, c in enumerate(cols)]
-    cells = df.groupBy(F.col(blocks[0].key).alias("key")).agg(*sums)
+    cells = cut(df.groupBy(F.col(blocks[0].key).alias("key")).agg(*sums), "cells")
     if q == 1:
         table = cells.select("key", *[F.try_divide(f"s0_{i}", "u0_0").alias(f"a0_{i}") for i in range(m)], *[f"s0_{i}" for i in range(m)])
     else:

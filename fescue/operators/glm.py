@@ -8,12 +8,11 @@ from dataclasses import dataclass
 from math import exp, lgamma, log
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..sources.shared import cut, uncut
+from ..sources.shared import cut
 from .estimate import Model, Sample, fit, level_counts, sample
 
 
@@ -116,7 +115,6 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
     base, sizes = s.df, None
     df = base.withColumn("_eta", family.link(family.start(F.col("_y")))) if start is None else start.predictor(s, base)
     old_dev, state, model = None, start, None
-    trail: list = []
     for turn in range(most):
         df = df.withColumns({"_mu": family.inverse(F.col("_eta")), "_slope": family.slope(F.col("_eta"))})
         mu, slope = F.col("_mu"), F.col("_slope")
@@ -124,8 +122,9 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
         rows = df.withColumns({"_irls": w * slope * slope / family.variance(mu), "_z": F.col("_eta") - off + (F.col("_y") - mu) / slope}).where("_irls > 0")
         model = fit(s, family.name, weight="_irls", y="_z", rows=rows, sizes=sizes, dispersion=1.0, fe_tol=fe_tol)
         sizes = model.sizes
-        tables = [(blocks, cut(t, "effects")) for blocks, t in model.effect_tables()]
-        trail += [t for _, t in tables]
+        # Of one effect the table reads sums that are written already; those of several come from joins, and are written here.
+        tables = model.effect_tables()
+        tables = tables if len(tables) < 2 else [(blocks, cut(t, "effects")) for blocks, t in tables]
         after = _State(model.names, model.beta, tables)
         for _ in range(10):
             df = after.predictor(s, base)
@@ -273,11 +272,3 @@ def fenl(df: DataFrame, formula_rhs: str, start: dict[str, float], request, fami
     else:
         model.stats["ll"] = -model.n / 2 * (log(2 * np.pi * dev0 / model.n) + 1)
     return model
-
-
-def drop_cuts(frames: list) -> None:
-    uncut(*frames)
-
-
-def as_frame(model: Model) -> pd.DataFrame:
-    return model.coeftable()
