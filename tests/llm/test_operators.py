@@ -68,12 +68,12 @@ def test_quality_ratio_is_the_mean_weight(spark, docs, rows):
 
     ids = {i for i, _ in rows[::2]}
     trusted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
 
     def grams(t):
-        w = [signed(xxhash.xxh64_intdigest(x, 42)) for x in t.split()]
-        # A pair's hash takes the second number with the first one's hash as seed.
-        return [h % Q.BUCKETS for h in w] + [signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True), 42))) % Q.BUCKETS for a, b in zip(w, w[1:])]
+        w = [x.encode() for x in t.split()]
+        h = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        # A pair's hash takes the second word with the first one's hash as seed.
+        return [x >> (64 - Q.BUCKET_BITS) for x in [*h, *[xxhash.xxh64_intdigest(b, x) for x, b in zip(h, w[1:])]]]
 
     every, wanted = collections.Counter(), collections.Counter()
     for i, t in rows:
