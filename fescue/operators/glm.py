@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from math import exp, lgamma, log
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,23 +113,30 @@ class _State:
 
 def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, start: _State | None = None, fe_tol: float = 1e-10) -> Model:
     w = F.col(s.weight) if s.weight else F.lit(1.0)
-    base, sizes = s.df, None
-    df = base.withColumn("_eta", family.link(family.start(F.col("_y")))) if start is None else start.predictor(s, base)
+    # The turns read what the fit needs, kept where it fits and worked out again where it is lost.
+    base, sizes = s.df.select(*[c for c in s.df.columns if re.fullmatch(r"_([ywo]|[xf]\d+|s\d+_\d+)", c)]).persist(StorageLevel.MEMORY_AND_DISK), None
+    off = F.col("_o") if s.offset else F.lit(0.0)
+
+    def at(state: _State | None, rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_eta", family.link(family.start(F.col("_y")))) if state is None else state.predictor(s, rows)
+        return rows.withColumns({"_mu": family.inverse(F.col("_eta")), "_slope": family.slope(F.col("_eta"))})
+
+    def working(rows: DataFrame) -> DataFrame:
+        mu, slope = F.col("_mu"), F.col("_slope")
+        return rows.withColumns({"_irls": w * slope * slope / family.variance(mu), "_z": F.col("_eta") - off + (F.col("_y") - mu) / slope}).where("_irls > 0")
+
     old_dev, state, model = None, start, None
     for turn in range(most):
-        df = df.withColumns({"_mu": family.inverse(F.col("_eta")), "_slope": family.slope(F.col("_eta"))})
-        mu, slope = F.col("_mu"), F.col("_slope")
-        off = F.col("_o") if s.offset else F.lit(0.0)
-        rows = df.withColumns({"_irls": w * slope * slope / family.variance(mu), "_z": F.col("_eta") - off + (F.col("_y") - mu) / slope}).where("_irls > 0")
-        model = fit(s, family.name, weight="_irls", y="_z", rows=rows, sizes=sizes, dispersion=1.0, fe_tol=fe_tol)
+        before = state
+        model = fit(s, family.name, weight="_irls", y="_z", rows=working(at(before, base)), sizes=sizes, dispersion=1.0, fe_tol=fe_tol)
         sizes = model.sizes
         # Of one effect the table reads sums that are written already; those of several come from joins, and are written here.
         tables = model.effect_tables()
         tables = tables if len(tables) < 2 else [(blocks, cut(t, "effects")) for blocks, t in tables]
         after = _State(model.names, model.beta, tables)
         for _ in range(10):
-            df = after.predictor(s, base)
-            dev = df.withColumn("_mu", family.inverse(F.col("_eta"))).agg(F.sum(w * family.deviance(F.col("_y"), F.col("_mu")))).first()[0]
+            df = at(after, base)
+            dev = df.agg(F.sum(w * family.deviance(F.col("_y"), F.col("_mu")))).first()[0]
             if dev is not None and np.isfinite(dev) and (old_dev is None or dev <= old_dev * (1 + 1e-10) + 1e-10) or state is None:
                 break
             after = after.halfway(state)
@@ -137,12 +145,12 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
         old_dev = dev
         if done:
             break
-    # The last regression's rows still name the tables of the turn before it, so these stay.
+    # All columns again, at the predictor that the last regression was made at.
+    model.rows = working(at(before, s.df))
     model.stats |= {"deviance": old_dev, "turns": turn + 1}
     model.beta = np.array([dict(zip(state.names, state.beta)).get(n, 0.0) for n in model.names])
     final = state
     model.stats["state"] = final
-    df = df.withColumn("_mu", family.inverse(F.col("_eta")))
     cells = df.agg(F.count("*"), F.sum(w), F.sum(w * F.col("_y")), F.sum(w * (F.col("_y") - F.col("_mu")) ** 2)).first()
     model.n, model.stats["sum_w"], model.stats["mean_y"], model.ssr = int(cells[0]), cells[1], cells[2] / cells[1], cells[3]
     if not family.fixed:
@@ -156,6 +164,7 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
         n = cells[1]
         ll = lambda d: -n / 2 * (log(2 * np.pi * d / n) + 1)
         model.stats |= {"ll": ll(old_dev), "ll_null": ll(got[0])} if family.name == "gaussian" else {"ll": float("nan"), "ll_null": float("nan")}
+    base.unpersist()
     model.effect_tables = lambda: final.tables  # type: ignore[method-assign]
     model._mean = lambda eta: family.inverse(eta)  # type: ignore[method-assign]
     return model
