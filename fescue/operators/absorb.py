@@ -19,6 +19,8 @@ from .moments import counted_gram, gram, pseudo_inverse
 
 #: Columns up to which the products of a single grouping are summed along with its sums.
 NARROW = 8
+#: Turns in which a squared residual that is near rounding error has to be halved; one that is not goes on for as long as it takes.
+PATIENCE = 48
 #: Levels of all effects but the largest up to which they are solved for exactly on the driver.
 DENSE = 1_200
 
@@ -184,7 +186,8 @@ def _exact(df: DataFrame, keys: list[str], cols: list[str], raw: np.ndarray, den
 
 def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarray, tol: float, most: int) -> Absorbed:
     """Conjugate gradients on the effects' normal equations, scaled by their diagonal, for all columns at once. Vectors are tables
-    with a row for each coefficient; a turn joins them with the rows' keys, sums by key and writes one table."""
+    with a row for each coefficient; a turn joins them with the rows' keys, sums by key and writes one table. Raises
+    RuntimeError where the goal is not met."""
     m, w, slopes = len(cols), F.col("_wt"), any(b.unit for b in blocks)
     level = next((k for k, b in enumerate(blocks) if not b.unit), None)
     shift = [0.0] * m
@@ -205,8 +208,12 @@ def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarr
     rows = cut(rows, "keys")
     rr = v.agg(*[F.sum(F.col(f"r{i}") * F.col(f"r{i}") / F.col("d")).alias(f"z{i}") for i in range(m)]).first()
     now = np.array([rr[i] or 0.0 for i in range(m)])
-    goal, turns, best, stuck = now * tol**2, 0, now.copy(), 0
-    while (now > np.maximum(goal, 1e-280)).any() and turns < most and stuck < 8:
+    # What is a trillionth of a column or less is rounding error, whatever share of it the effects explain.
+    goal, turns, best = np.maximum(np.maximum(now * tol**2, np.diag(centred) * 1e-24), 1e-280), 0, [now.copy()]
+    close, failed = lambda x: x <= 1e3 * goal, np.zeros(m, bool)
+    while (now > goal).any() and turns < most:
+        if turns > PATIENCE and close(best[-1]).all() and (best[-1] > 0.5 * best[-1 - PATIENCE])[now > goal].all():
+            break
         t = rows
         for k, b in enumerate(blocks):
             p = v.where(F.col("k") == k).select(F.col("key").alias(b.key), *[F.col(f"p{i}").alias(f"p{k}_{i}") for i in range(m)])
@@ -215,7 +222,8 @@ def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarr
         q = t.groupBy("x.k", "x.key").agg(*[F.sum(w * F.col("x.u") * F.col(f"t{i}")).alias(f"q{i}") for i in range(m)])
         step = cut(v.join(q, ["k", "key"]), "vectors")
         found = np.array([x or 0.0 for x in step.agg(*[F.sum(F.col(f"p{i}") * F.col(f"q{i}")).alias(f"z{i}") for i in range(m)]).first()])
-        live = (now > np.maximum(goal, 1e-280)) & (found > 0)
+        failed |= (now > goal) & (found <= 0) & ~close(now)
+        live = (now > goal) & (found > 0)
         a = np.where(live, now / np.where(live, found, 1), 0.0)
         size = [F.sum((F.col(f"r{i}") - float(a[i]) * F.col(f"q{i}")) ** 2 / F.col("d")).alias(f"z{i}") for i in range(m)]
         after = np.array([x or 0.0 for x in step.agg(*size).first()])
@@ -226,9 +234,11 @@ def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarr
         v._cut_path = step._cut_path
         uncut(old)
         now, turns = np.where(live, after, now * 0), turns + 1
-        stuck = 0 if (now < 0.5 * best).any() else stuck + 1
-        best = np.minimum(best, now)
+        best.append(np.minimum(best[-1], now))
     uncut(rows)
+    failed |= (now > goal) & ~close(best[-1])
+    if failed.any():
+        raise RuntimeError(f"the effects of {', '.join(c for c, x in zip(cols, failed) if x)} are not solved for after {turns} turns: squared residuals of {best[-1] / np.maximum(best[0], 1e-280)} of the start")
     explained = _explained(v.select(*[F.col(f"b{i}").alias(f"s0_{i}") for i in range(m)], *[F.col(f"x{i}").alias(f"a0_{i}") for i in range(m)]), 1, m)
     tables = []
     for k, b in enumerate(blocks):
