@@ -17,8 +17,8 @@ SIDE, DIM, CLASS = 2, 16, 64
 VOCABULARY = CLASS * CLASS
 #: Of the vocabulary, places that the words outside it share by their hash.
 SHARED = 8 * CLASS
-#: One in so many places of every text is a training target; the places are spread over the whole text.
-EVERY = 8
+#: One in so many places of every text is a training target: all of them.
+EVERY = 1
 #: Passes over the corpus; each begins with the mean of what the tasks of the one before have learnt.
 ROUNDS, RATE, SEED = 1, 0.1, 7
 STEP = 4096
