@@ -173,16 +173,18 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Network:
+def train(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> Network:
     """The most frequent words of all texts (ties in the order of the words) make the vocabulary. Each task trains on its own
     texts, Spark sums what the tasks have learnt, weighed by their targets, and the mean goes on. All parameters together
     are about 8,300 rows, however large the corpus; what the tasks send grows with their number."""
     from ._common import cut, uncut
 
-    counts = cut(word_counts(docs, text_col), "words")
+    own = counts is None
+    counts = cut(word_counts(docs, text_col), "words") if own else counts
     total = counts.agg(F.sum("n")).first()[0] or 0
     best = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - SHARED).collect()
-    uncut(counts)
+    if own:
+        uncut(counts)
     known = np.zeros(VOCABULARY)
     known[: len(best)] = [r["n"] for r in best]
     known[VOCABULARY - SHARED :] = max(0, total - known.sum()) / SHARED
@@ -274,7 +276,45 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", F.round(F.try_divide(F.col("log_likelihood"), F.col("n_tokens")), 6).alias("per_token"))
 
 
+def within_places(texts: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
+    """t, inner: for the texts (columns t and text, each t once) that hold words outside the vocabulary, the sum of the log-probabilities of
+    these words given their places, which are their shares of what counts has there. Every word of the corpus has its own
+    share; the counts stay in Spark."""
+    spark = counts.sparkSession
+    known = spark.createDataFrame([(w,) for w in net.ids] or [], "word string")
+    place = F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(SHARED))
+    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("place", place)
+    # SHARED rows, so they go to every task.
+    full = rare.groupBy("place").agg(F.sum("n").alias("full"))
+    share = rare.join(F.broadcast(full), "place").select("word", F.log(F.col("n") / F.col("full")).alias("p"))
+    sent = spark.sparkContext.broadcast(net.ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = sent.value
+        for batch in batches:
+            ts, found, n = [], [], []
+            for t, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = Counter(w for w in tokens(text.as_py() or "") if w not in ids)
+                ts += [t] * len(held)
+                found += held.keys()
+                n += held.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["t", "word", "c"])
+
+    words = texts.select("t", "text").mapInArrow(run, "t long, word string, c long")
+    return words.join(share, "word").groupBy("t").agg(F.sum(F.col("c") * F.col("p")).alias("inner"))
+
+
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """score() by a network that train() has fitted to the same rows. Rows of an empty table, of nulls only or repeated ones
-    are scored like any other; ids may be null. How the table is cut into tasks moves the fit a little."""
-    return score(docs, train(docs, text_col), id_col, text_col)
+    """score() by a network that train() has fitted to the same rows, with the log-probability of every word outside the vocabulary
+    given its place, so that each word of the corpus is predicted itself. Rows of an empty table, of nulls only or repeated
+    ones are scored like any other; ids may be null. How the table is cut into tasks moves the fit a little."""
+    from ._common import cut
+
+    counts = cut(word_counts(docs, text_col), "words")
+    net = train(docs, text_col, counts)
+    source = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")).alias("k"), F.col(text_col).alias("text"))
+    inner = within_places(source.select("k.t", "text").dropDuplicates(["t"]), net, counts)
+    out = score(source, net, "k", "text").select("k.id", "k.t", "n_tokens", "log_likelihood").join(inner, "t", "left")
+    total = F.round(F.col("log_likelihood") + F.coalesce("inner", F.lit(0.0)), 3)
+    out = out.select(F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"))
+    return out.withColumn("per_token", F.round(F.try_divide("log_likelihood", "n_tokens"), 6))
