@@ -231,7 +231,7 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     exclusive. Passages that repeat within one document only are none; null and short texts have none. Rows without an
     id are left out, and repeated rows count once.
 
-    The hashes find passages at the threshold with a probability of over 0.99 and exact ones always."""
+    Where the texts of a key are not all alike, passages are lost, exact ones too, as not every two of them are compared."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     found = cut(candidates(source), "candidates")
