@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import great_circle_km
+from ..sources.shared import cut
 from .moments import gram
 
 #: Kilometres of a degree of latitude, of a mile, and the sphere's radius that the kernel uses.
@@ -203,14 +204,25 @@ def cutoff_km(value: float | str) -> float:
     return float(m[1]) * (MILE if m[2].startswith("m") else 1.0)
 
 
+def _followed(points: DataFrame, order: tuple[str, str]) -> DataFrame:
+    """points in ranges of the order, with the smallest distance (d) to the three places that follow each. A range is handed the
+    three first places after it; no more than three of each range reach the driver."""
+    dealt = cut(points.select("_lat", "_lon").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "places")
+    w = Window.partitionBy("_part").orderBy(*order)
+    ahead = sorted(dealt.withColumn("_n", F.row_number().over(w)).where("_n <= 3").select("_part", "_n", "_lat", "_lon").collect())
+    after = [(r["_lat"], r["_lon"], part) for part in {r["_part"] for r in ahead} for r in [x for x in ahead if x["_part"] > part][:3]]
+    after = points.sparkSession.createDataFrame(after, "_lat double, _lon double, _part int")
+    rows = dealt.withColumn("_own", F.lit(True)).unionByName(after.withColumn("_own", F.lit(False)))
+    near = F.least(*[great_circle_km(F.col("_lat"), F.col("_lon"), F.lead("_lat", j).over(w), F.lead("_lon", j).over(w)) for j in (1, 2, 3)])
+    return rows.withColumn("d", near).where("_own").select("_part", "_lat", "_lon", "d")
+
+
 def default_cutoff(points: DataFrame) -> float:
     """Median of the smallest distance to three neighbours in the order of latitude and then in that of longitude, the two
     medians added up and floored to two digits."""
     total = 0.0
     for order in (("_lat", "_lon"), ("_lon", "_lat")):
-        w = Window.orderBy(*order)
-        near = F.least(*[great_circle_km(F.col("_lat"), F.col("_lon"), F.lead("_lat", j).over(w), F.lead("_lon", j).over(w)) for j in (1, 2, 3)])
-        total += points.select(near.alias("d")).agg(F.median("d")).first()[0] or 0.0
+        total += _followed(points, order).agg(F.median("d")).first()[0] or 0.0
     if not total:
         raise ValueError("give a cutoff")
     unit = 10 ** (floor(log10(total)) - 1)
