@@ -19,9 +19,11 @@ VOCABULARY = CLASS * CLASS
 SHARED = 8 * CLASS
 #: One in so many places of every text is a training target: all of them.
 EVERY = 1
-#: Passes over the corpus; each begins with the mean of what the tasks of the one before have learnt.
-ROUNDS, RATE, SEED = 1, 0.1, 7
-STEP = 4096
+#: Parts of the corpus, by a hash of the row. Each is one round of training, which begins with the mean of what the tasks of the
+#: round before have learnt; together the rounds are one pass.
+ROUNDS, RATE, SEED = 2, 0.1, 7
+#: Words of a gradient step.
+STEP = 16_384
 #: Words that a task counts before it hands them on.
 HELD = 200_000
 
@@ -126,6 +128,49 @@ class Network:
             learn.step(self.b, dz.sum(axis=0), "b")
         return out
 
+    def learn(self, near: np.ndarray, word: np.ndarray, rates: Adagrad) -> None:
+        """A step on log_p() of all these places at once, in the order of the words, so that a class's places are neighbours. Scores
+        are small numbers, so their exponentials are taken as they are."""
+        order = np.argsort(word.astype(np.uint16), kind="stable")
+        near, word, n = near[:, order], word[order], np.float32(len(word))
+        h, top, low, at = self.hidden(near), word // CLASS, word % CLASS, np.arange(len(word))
+        p = h @ self.c[:, :-1].T
+        p += self.c[:, -1]
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p[at, top] -= 1
+        dh = p @ self.c[:, :-1]
+        rates.step(self.c, np.hstack([p.T @ h, p.sum(axis=0)[:, None]]) / n, "c")
+        bounds = np.searchsorted(top, np.arange(CLASS + 1))
+        grad = np.zeros_like(self.w)
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            own = slice(bounds[k], bounds[k + 1])
+            q = h[own] @ self.w[k, :, :-1].T
+            q += self.w[k, :, -1]
+            np.exp(q, out=q)
+            q /= q.sum(axis=1, keepdims=True)
+            q[at[: len(q)], low[own]] -= 1
+            dh[own] += q @ self.w[k, :, :-1]
+            grad[k, :, :-1], grad[k, :, -1] = q.T @ h[own], q.sum(axis=0)
+        rates.step(self.w, grad / n, "w")
+        h *= -h
+        h += 1
+        dh *= h
+        dh /= n
+        # Each place of the window: sums of dh by the word found there.
+        de, da = np.zeros_like(self.e), np.zeros_like(self.a)
+        for k, x in enumerate(near):
+            order = np.argsort(x.astype(np.uint16), kind="stable")
+            own = x[order]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            sums = np.add.reduceat(dh[order], first, axis=0)
+            da[k] = (sums * self.e[own[first]]).sum(axis=0)
+            de[own[first]] += sums * self.a[k]
+        rows = np.unique(near)
+        rates.step(self.e, de[rows], "e", rows)
+        rates.step(self.a, da, "a")
+        rates.step(self.b, dh.sum(axis=0), "b")
+
     def rows(self) -> np.ndarray:
         """All parameters as rows of DIM + 1 numbers."""
         wide = lambda x: np.hstack([x, np.zeros((len(x), 1), np.float32)])
@@ -174,9 +219,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def train(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = None) -> Network:
-    """The most frequent words of all texts (ties in the order of the words) make the vocabulary. Each task trains on its own
-    texts, Spark sums what the tasks have learnt, weighed by their targets, and the mean goes on. All parameters together
-    are about 8,300 rows, however large the corpus; what the tasks send grows with their number."""
+    """The most frequent words of all texts (ties in the order of the words) make the vocabulary. In each of ROUNDS rounds every task
+    trains on the texts of its rows that are of that round, Spark sums what the tasks have learnt, weighed by their targets,
+    and the mean goes on. Every word of the corpus is a target once; a null text has none. All parameters together are
+    about 8,300 rows, however large the corpus; what the tasks send grows with their number."""
     from ._common import cut, uncut
 
     own = counts is None
@@ -189,20 +235,24 @@ def train(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = No
     known[: len(best)] = [r["n"] for r in best]
     known[VOCABULARY - SHARED :] = max(0, total - known.sum()) / SHARED
     net = Network([r["word"] for r in best], np.log((known + 0.5) / (known + 0.5).sum()))
-    for _ in range(ROUNDS):
+    part = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(max(ROUNDS, 1)))
+    for turn in range(ROUNDS):
         sent = docs.sparkSession.sparkContext.broadcast(net)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pd.DataFrame]:
             import copy
 
-            own, learn, held, seen = copy.deepcopy(sent.value), Adagrad(), [], 0
-            size = 0
+            own, rates, held, seen, size = copy.deepcopy(sent.value), Adagrad(), [], 0, 0
 
-            def step() -> None:
+            def step(least: int) -> int:
+                """Whole steps of what is held; the rest waits for more, or is a step if it has least words."""
                 near, word = np.concatenate([x[0] for x in held], axis=1), np.concatenate([x[1] for x in held])
-                for at in range(0, len(word), STEP):
-                    own.log_p(near[:, at : at + STEP], word[at : at + STEP], learn)
-                held.clear()
+                at = 0
+                while len(word) - at >= STEP or len(word) - at >= least:
+                    own.learn(near[:, at : at + STEP], word[at : at + STEP], rates)
+                    at += min(STEP, len(word) - at)
+                held[:] = [(near[:, at:], word[at:])]
+                return len(word) - at
 
             for batch in batches:
                 for text in batch.column(0):
@@ -212,16 +262,15 @@ def train(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = No
                         held.append((own.windows(ids, at), ids[at]))
                         size, seen = size + len(at), seen + len(at)
                     if size >= STEP:
-                        step()
-                        size = 0
-            if held:
-                step()
+                        size = step(STEP)
+            if size:
+                step(1)
             if seen:
                 rows = own.rows() * seen
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), seen, np.int64)), *[pa.array(rows[:, i].astype(np.float32)) for i in range(DIM + 1)]], names=["r", "seen", *[f"v{i}" for i in range(DIM + 1)]])
 
         cols = [f"v{i}" for i in range(DIM + 1)]
-        learnt = docs.select(text_col).mapInArrow(run, "r int, seen long, " + ", ".join(f"{c} float" for c in cols))
+        learnt = docs.where(part == turn).select(text_col).mapInArrow(run, "r int, seen long, " + ", ".join(f"{c} float" for c in cols))
         mean = learnt.groupBy("r").agg(*[(F.sum(c) / F.sum("seen")).alias(c) for c in cols]).orderBy("r").toPandas()
         if len(mean):
             net.put(mean[cols].to_numpy())
