@@ -49,9 +49,12 @@ class Network:
         self.w = np.zeros((CLASS, CLASS, DIM + 1), np.float32)
         self.w[:, :, -1] = np.log(p / p.sum(axis=1, keepdims=True))
 
-    def encode(self, text: str) -> np.ndarray:
-        get, base = self.ids.get, VOCABULARY - SHARED
-        return np.array([i if (i := get(w)) is not None else base + zlib.crc32(w.encode("utf-8", "surrogatepass")) % SHARED for w in tokens(text)], np.int32)
+    def encode(self, text: str, rare: list | None = None) -> np.ndarray:
+        """The id of every word; rare, if given, gets those outside the vocabulary."""
+        get, base, said = self.ids.get, VOCABULARY - SHARED, tokens(text)
+        if rare is not None:
+            rare += [w for w in said if w not in self.ids]
+        return np.array([i if (i := get(w)) is not None else base + zlib.crc32(w.encode("utf-8", "surrogatepass")) % SHARED for w in said], np.int32)
 
     def windows(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ids around each place, a row for each place of the window; VOCABULARY beyond the ends."""
@@ -277,93 +280,83 @@ def train(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = No
     return net
 
 
-def score_text(net: Network, text: str) -> tuple[int, float]:
-    ids, total, part = net.encode(text), 0.0, 1 << 14
-    for at in range(0, len(ids), part):
-        spot = np.arange(at, min(at + part, len(ids)))
-        total += float(net.log_p_only(net.windows(ids, spot), ids[spot]).sum(dtype=np.float64))
-    return len(ids), total
-
-
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", rare: bool = False) -> DataFrame:
     """id_col, n_tokens, log_likelihood (the sum over all words of the log-probability given the words around each) and
-    per_token for every row; a text without words has 0 and null."""
+    per_token for every row; a text without words has 0 and null. With rare, also the words outside the vocabulary."""
     sent, kind = docs.sparkSession.sparkContext.broadcast(net.ready()), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = sent.value
+        net, part = sent.value, 1 << 14
         for batch in batches:
             n, total, held, size = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), [], 0
+            said: list[list[str]] = [[] for _ in range(batch.num_rows)]
 
             def flush() -> None:
-                """Short texts go through the network together."""
+                """Places of one text or of several go through the network together."""
                 near = np.concatenate([x[1] for x in held], axis=1)
                 word = np.concatenate([x[2] for x in held])
                 found = net.log_p_only(near, word).astype(np.float64)
                 ends = np.cumsum([len(x[2]) for x in held])
-                total[[x[0] for x in held]] = np.add.reduceat(found, np.concatenate([[0], ends[:-1]]))
+                np.add.at(total, [x[0] for x in held], np.add.reduceat(found, np.concatenate([[0], ends[:-1]])))
                 held.clear()
 
             for k, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                if len(text) > 200_000:
-                    n[k], total[k] = score_text(net, text)
-                    continue
-                ids = net.encode(text)
+                ids = net.encode(text.as_py() or "", said[k] if rare else None)
                 n[k] = len(ids)
-                if len(ids):
-                    held.append((k, net.windows(ids, np.arange(len(ids))), ids))
-                    size += len(ids)
-                if size >= 1 << 14:
-                    flush()
-                    size = 0
+                for at in range(0, len(ids), part):
+                    spot = np.arange(at, min(at + part, len(ids)))
+                    held.append((k, net.windows(ids, spot), ids[spot]))
+                    size += len(spot)
+                    if size >= part:
+                        flush()
+                        size = 0
             if held:
                 flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(total, 3))], names=["id", "n_tokens", "log_likelihood"])
+            cols = [batch.column(0), pa.array(n), pa.array(np.round(total, 3))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(said, pa.list_(pa.string()))] if rare else cols, names=["id", "n_tokens", "log_likelihood", "rare"][: 4 if rare else 3])
 
-    out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n_tokens long, log_likelihood double")
-    return out.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", F.round(F.try_divide(F.col("log_likelihood"), F.col("n_tokens")), 6).alias("per_token"))
+    schema = f"id {kind}, n_tokens long, log_likelihood double" + ", rare array<string>" * rare
+    out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, schema)
+    return out.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", F.round(F.try_divide(F.col("log_likelihood"), F.col("n_tokens")), 6).alias("per_token"), *["rare"] * rare)
 
 
-def within_places(texts: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
-    """t, inner: for the texts (columns t and text, each t once) that hold words outside the vocabulary, the sum of the log-probabilities of
-    these words given their places, which are their shares of what counts has there. Every word of the corpus has its own
-    share; the counts stay in Spark."""
+def shares(net: Network, counts: DataFrame) -> DataFrame:
+    """h, p: of every word of counts outside the vocabulary a hash, and the logarithm of its share of what its place has."""
     spark = counts.sparkSession
     known = spark.createDataFrame([(w,) for w in net.ids] or [], "word string")
     place = F.pmod(F.crc32(F.encode("word", "UTF-8")), F.lit(SHARED))
     rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("place", place)
     # SHARED rows, so they go to every task.
     full = rare.groupBy("place").agg(F.sum("n").alias("full"))
-    share = rare.join(F.broadcast(full), "place").select("word", F.log(F.col("n") / F.col("full")).alias("p"))
-    sent = spark.sparkContext.broadcast(net.ids)
+    return rare.join(F.broadcast(full), "place").select(F.xxhash64("word").alias("h"), F.log(F.col("n") / F.col("full")).alias("p"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = sent.value
-        for batch in batches:
-            ts, found, n = [], [], []
-            for t, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held = Counter(w for w in tokens(text.as_py() or "") if w not in ids)
-                ts += [t] * len(held)
-                found += held.keys()
-                n += held.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(found, pa.string()), pa.array(n, pa.int64())], names=["t", "word", "c"])
 
-    words = texts.select("t", "text").mapInArrow(run, "t long, word string, c long")
-    return words.join(share, "word").groupBy("t").agg(F.sum(F.col("c") * F.col("p")).alias("inner"))
+def _inner(rows: DataFrame, key: str, net: Network, counts: DataFrame) -> DataFrame:
+    """key, inner: the sum of shares() over rare, the words of each row outside the vocabulary. Only hashes are shuffled."""
+    said = rows.select(key, F.explode("rare").alias("word")).select(key, F.xxhash64("word").alias("h"))
+    return said.join(shares(net, counts), "h").groupBy(key).agg(F.sum("p").alias("inner"))
+
+
+def within_places(texts: DataFrame, net: Network, counts: DataFrame) -> DataFrame:
+    """t, inner: for the texts (columns t and text, each t once) that hold words outside the vocabulary, the sum of the log-probabilities of
+    these words given their places, which are their shares of what counts has there. Every word of the corpus has its own
+    share; the counts stay in Spark."""
+    return _inner(score(texts, net, "t", "text", rare=True).select("t", "rare"), "t", net, counts)
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """score() by a network that train() has fitted to the same rows, with the log-probability of every word outside the vocabulary
     given its place, so that each word of the corpus is predicted itself. Rows of an empty table, of nulls only or repeated
     ones are scored like any other; ids may be null. How the table is cut into tasks moves the fit a little."""
-    from ._common import cut
+    from ._common import cut, uncut
 
     counts = cut(word_counts(docs, text_col), "words")
     net = train(docs, text_col, counts)
-    source = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t")).alias("k"), F.col(text_col).alias("text"))
-    inner = within_places(source.select("k.t", "text").dropDuplicates(["t"]), net, counts)
-    out = score(source, net, "k", "text").select("k.id", "k.t", "n_tokens", "log_likelihood").join(inner, "t", "left")
+    scored = score(docs.select(F.struct(F.col(id_col).alias("id")).alias("k"), F.col(text_col).alias("text")), net, "k", "text", rare=True)
+    # Written, so that a row's number stays what it is.
+    scored = cut(scored.withColumn("r", F.monotonically_increasing_id()), "scored")
+    inner = cut(_inner(scored, "r", net, counts), "inner")
+    uncut(counts)
     total = F.round(F.col("log_likelihood") + F.coalesce("inner", F.lit(0.0)), 3)
-    out = out.select(F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"))
+    out = scored.select("k.id", "n_tokens", "log_likelihood", "r").join(inner, "r", "left").select(F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"))
     return out.withColumn("per_token", F.round(F.try_divide("log_likelihood", "n_tokens"), 6))
