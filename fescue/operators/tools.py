@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def n_unique(df: DataFrame, *what: str, where: dict[str, str] | None = None) -> DataFrame:
     """One row: .N rows, .U distinct rows, a column or columns joined by ^ for their distinct values, NA(x) for nulls of x; a name
@@ -41,9 +43,11 @@ def compare_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     out = None
     for k in keys:
         cols = k.split("^")
-        x, y = (df.select(*cols).where(~_any_null(df, cols)).distinct() for df in (a, b))
-        seen = x.withColumn("s", F.lit(1)).unionByName(y.withColumn("s", F.lit(2))).groupBy(*cols).agg(F.sum("s").alias("s"))
-        row = seen.agg(F.count_if(F.col("s") == 1).alias("only_a"), F.count_if(F.col("s") == 2).alias("only_b"), F.count_if(F.col("s") == 3).alias("common")).select(F.lit(k).alias("key"), "only_a", "only_b", "common")
+        # A key column may have any name, so the key is one value beside the mark.
+        x, y = (df.where(~_any_null(df, cols)).select(F.struct(*cols).alias("key"), F.lit(mark).alias("mark")).distinct() for df, mark in ((a, 1), (b, 2)))
+        seen = x.union(y).groupBy("key").agg(F.sum("mark").alias("mark"))
+        told = {"only_a": 1, "only_b": 2, "common": 3}
+        row = seen.agg(*[F.count_if(F.col("mark") == m).alias(name) for name, m in told.items()]).select(F.lit(k).alias("key"), *told)
         out = row if out is None else out.union(row)
     return out
 
@@ -51,11 +55,15 @@ def compare_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def to_integer(df: DataFrame, *cols: str, name: str = "id") -> DataFrame:
     """df with 1, 2, ... for the distinct values of the columns in their order; null where one of them is. Values are ranked
     within parts of their range, so no task ranks them all."""
-    keys = df.select(*cols).where(~_any_null(df, list(cols))).distinct()
-    parts = keys.repartitionByRange(*cols).withColumn("_p", F.spark_partition_id())
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    first = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_first"))
-    ids = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*cols))).join(F.broadcast(first), "_p").select(*cols, (F.col("_first") + F.col("_r")).cast("long").alias(name))
+    keys = df.where(~_any_null(df, list(cols))).select(F.struct(*cols).alias("key")).distinct()
+    # Written once, so that both uses see the same parts.
+    parts = cut(keys.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "keys")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    # A row for each task that had keys.
+    first = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("key"))
+    ids = parts.withColumn("place", place).join(F.broadcast(first), "part")
+    ids = ids.select(*[F.col("key")[c].alias(c) for c in cols], (F.col("first") + F.col("place")).cast("long").alias(name))
     return df.join(ids, list(cols), "left")
 
 
