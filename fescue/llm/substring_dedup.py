@@ -29,7 +29,9 @@ AROUND = 64
 #: Diagonals that one comparison covers.
 BAND = 32
 #: Shingles on either side of a minimum that members of a group are compared by, and members that one task compares at a time.
-REACH, BLOCK = 90, 256
+REACH, BLOCK = 60, 256
+#: Length of a stretch that two members' surroundings must share to be compared in full; a few under SHORTEST, for the same slack.
+NEARLY = SHORTEST - 4
 #: What a shingle that only one of two texts has outweighs: 1 / (1 / SIMILAR - 1) = 4 of those that both have, less some slack.
 SLACK = 3.75
 #: Texts of a batch that share a key from which its rows are dealt into SALTS parts.
@@ -126,13 +128,14 @@ class Content:
 
 def seeds(s: np.ndarray, content: Content) -> tuple[np.ndarray, np.ndarray]:
     """(key, place): for every compact window of RUN shingles or more the minimum together with the BESIDE shingles after it,
-    and with those before it, where the window has them. Texts with an equal run of RUN shingles share such a key."""
+    and with those before it, where the window has them; the last bit tells the hash function. Texts with an equal run of RUN shingles share such a key."""
     high = np.uint64(0x9FB21C651E98DF25)
     keys, places = [], []
-    for key, c, left, right in windows(s, RUN):
+    for j, (key, c, left, right) in enumerate(windows(s, RUN)):
         for side, fits, start in ((1, right >= BESIDE, c), (2, left >= BESIDE, c - BESIDE)):
             a = start[fits]
-            keys.append(_mix((content.of(a, a + BESIDE + 1) ^ key[fits]) * high + np.uint64(side)))
+            whole = _mix((content.of(a, a + BESIDE + 1) ^ key[fits]) * high + np.uint64(side))
+            keys.append((whole & ~np.uint64(1)) | np.uint64(j))
             places.append(c[fits])
     return np.concatenate(keys), np.concatenate(places)
 
@@ -393,27 +396,32 @@ class _Block:
         self.has = np.zeros((len(rows), none + 1), bool)
         self.has[who, at] = True
 
-    def like(self, ctx: np.ndarray, q: int) -> np.ndarray:
-        """Members that may share a passage over place q of ctx: on a stretch of LEAST or more over that place and the member's own,
-        what is shared outweighs what only one of the two has, as it does where the similarity is SIMILAR, with some slack
-        because words put in or left out shift the places after them."""
+    def like(self, ctx: np.ndarray, q: int, ask: np.ndarray) -> np.ndarray:
+        """Of the asked members those that may share a passage over place q of ctx: on a stretch of NEARLY or more over that place and
+        the member's own, what is shared outweighs what only one of the two has, as it does where the similarity is SIMILAR,
+        with some slack because words put in or left out shift the places after them."""
         none = len(self.values)
         spot = np.full(2 * REACH + 1, none)
         at = np.searchsorted(self.values, ctx).clip(max=none - 1)
         inside = slice(REACH - q, REACH - q + len(ctx))
         spot[inside] = np.where(self.values[at] == ctx, at, none)
+        shared = self.has[ask[:, None], spot[None, :]]
+        some = shared.sum(axis=1) >= LEAST
+        ask, shared = ask[some], shared[some]
+        if not len(ask):
+            return ask
         own = np.zeros(none + 1, bool)
         own[spot] = True
         own[none] = False
-        shared = self.has[:, spot]
-        gain = np.where(shared, np.float32(1), np.float32(-SLACK)) - np.float32(SLACK) * ~own[self.near]
-        gain[self.near == none] = -1e4
+        near = self.near[ask]
+        gain = np.where(shared, np.float32(1), np.float32(-SLACK)) - np.float32(SLACK) * ~own[near]
+        gain[near == none] = -1e4
         gain[:, : inside.start] = gain[:, inside.stop :] = -1e4
-        total = np.zeros((len(self.rows), 2 * REACH + 2), np.float32)
+        total = np.zeros((len(ask), 2 * REACH + 2), np.float32)
         np.cumsum(gain, axis=1, out=total[:, 1:])
         end = np.arange(REACH + 1, 2 * REACH + 2)
         lowest = np.minimum.accumulate(total, axis=1)
-        return np.flatnonzero((total[:, end] >= lowest[:, np.minimum(REACH, end - LEAST)]).any(axis=1))
+        return ask[(total[:, end] >= lowest[:, np.minimum(REACH, end - NEARLY)]).any(axis=1)]
 
     def links(self, opened: list[tuple[int, int, int | None, np.ndarray]]) -> list[tuple]:
         """Links of the opened members (t, p, class, shingles), each with members that it is not joined with by those before. Members
@@ -423,8 +431,9 @@ class _Block:
             q, a = min(p, REACH), max(0, p - REACH)
             me = at.get((t, p))
             mine = {int(self.label[me])} if me is not None else {self.known[c]} if c in self.known else set()
-            for k in self.like(ctx, q).tolist():
-                if self.t[k] == t or int(self.label[k]) in mine:
+            ask = np.flatnonzero((self.t != t) & ~np.isin(self.label, list(mine)))
+            for k in self.like(ctx, q, ask).tolist() if len(ask) else []:
+                if int(self.label[k]) in mine:
                     continue
                 b, met = max(0, self.rows[k][1] - REACH), False
                 for x in passages(ctx, self.ctx[k], q):
@@ -439,12 +448,12 @@ class _Block:
 
 
 def _rest(pairs: DataFrame, named: DataFrame, source: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links of members of a key whose passages are not of one class yet (named: t, lo, hi, label): those in no passage and those of
+    """Links of members of a key, of those of the first hash function, whose passages are not of one class yet (named: t, lo, hi, label): those in no passage and those of
     other classes than the first are held against all members, a large key in blocks, so that each block of such members
     meets each block of all in a task."""
     cover = named.select(F.col("t").alias("_t"), "lo", "hi", "label")
     # Two passages of a text may both hold a place where they overlap a little.
-    rows = pairs.join(cover, (F.col("t") == F.col("_t")) & F.col("p").between(F.col("lo"), F.col("hi") - SHINGLE), "left").groupBy("k", "t", "p").agg(F.min("label").alias("label"))
+    rows = pairs.where(F.col("k").bitwiseAND(1) == 0).join(cover, (F.col("t") == F.col("_t")) & F.col("p").between(F.col("lo"), F.col("hi") - SHINGLE), "left").groupBy("k", "t", "p").agg(F.min("label").alias("label"))
     rows = cut(rows, "labelled")
     sizes = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("label").alias("main"), F.max("label").alias("last"), F.count("label").alias("m")).where("n > 2 and (n > m or main <> last)")
     rows = rows.join(sizes.select("k", "n", "main"), "k").withColumn("open", ~F.col("label").eqNullSafe(F.col("main")) | F.col("label").isNull())
