@@ -9,7 +9,7 @@ from ..sources.shared import cut, uncut
 
 
 def _components(df: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
-    """level of a -> component (the least level of a that is linked through shared levels of b)."""
+    """level of a -> component (the least level of a that is linked through shared levels of b). Raises if it takes over most turns."""
     pairs = cut(df.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).distinct(), "pairs")
     now, last = cut(pairs.select("a").distinct().withColumn("label", F.col("a")), "labels"), None
     for _ in range(most):
@@ -23,6 +23,9 @@ def _components(df: DataFrame, a: str, b: str, most: int = 60) -> DataFrame:
         after = cut(jump, "labels")
         uncut(now)
         now = after
+    else:
+        raise RuntimeError(f"components did not settle in {most} turns")
+    uncut(pairs)
     return now
 
 
