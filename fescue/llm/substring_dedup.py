@@ -30,6 +30,8 @@ AROUND = 64
 BAND = 32
 #: Shingles on either side of a minimum that members of a group are compared by, and members that one task compares at a time.
 REACH, BLOCK = 60, 256
+#: Members that are verified at a time.
+FEW = 32
 #: Length of a stretch that two members' surroundings must share to be compared in full; a few under SHORTEST, for the same slack.
 NEARLY = SHORTEST - 4
 #: What a shingle that only one of two texts has outweighs: 1 / (1 / SIMILAR - 1) = 4 of those that both have, less some slack.
@@ -271,6 +273,22 @@ def _longest(hit: np.ndarray, cost: float) -> tuple[int, int]:
     return (int(start[end] + found[0]), int(start[end] + found[-1] + 1)) if len(found) else (0, 0)
 
 
+def _longest_of(hit: np.ndarray, n: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray]:
+    """_longest() of every row of hit, of which the first n places count: starts and ends."""
+    rows, width = hit.shape
+    at, apart = np.arange(width), 1e12
+    total = np.zeros((rows, width + 1))
+    np.cumsum(np.where(hit, 1.0, np.where(at < n[:, None], -cost, -1e9)), axis=1, out=total[:, 1:])
+    # Rows lie so far apart that one search through all of them stays within each one.
+    base = apart * np.arange(rows)[:, None]
+    start = np.searchsorted((base - np.minimum.accumulate(total, axis=1)).ravel(), (base - total).ravel()).reshape(rows, -1)
+    start -= (width + 1) * np.arange(rows)[:, None]
+    end = np.argmax(np.arange(width + 1) - start, axis=1)
+    found = hit & (at >= start[np.arange(rows), end][:, None]) & (at < end[:, None])
+    some = found.any(axis=1)
+    return np.where(some, found.argmax(axis=1), 0), np.where(some, width - found[:, ::-1].argmax(axis=1), 0)
+
+
 def _held_in(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of x are among the sorted values."""
     if not len(values):
@@ -278,12 +296,16 @@ def _held_in(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[np.searchsorted(values, x).clip(max=len(values) - 1)] == x
 
 
+#: What a shingle of one run only outweighs; the last takes the longest run without any.
+COSTS = 4.0, 6.0, 8.0, 1e6
+
+
 def verify(a: np.ndarray, b: np.ndarray, hit: np.ndarray | None = None) -> tuple[int, int, int, int, float] | None:
     """The passage that two runs of shingle hashes share: (start, end in a, start, end in b, Jaccard similarity), or None if
     there is none of SHORTEST shingles and SIMILAR. It is the longest run whose shared shingles outweigh the others, first where
     only one run has others, then where both have as many. hit tells which of a are in b, if that is known."""
     hit, tried = _held_in(a, np.unique(b)) if hit is None else hit, set()
-    for cost in (4.0, 6.0, 8.0, 1e6):  # the last takes the longest run without any other shingle
+    for cost in COSTS:
         a0, a1 = _longest(hit, cost)
         if a1 - a0 < LEAST or (a0, a1) in tried:
             continue
@@ -313,7 +335,7 @@ def passages(a: np.ndarray, b: np.ndarray, over: int | None = None) -> list[tupl
             out.append((lo + got[0], lo + got[1], *got[2:]))
             x, y = got[:2]
         else:
-            x, y = _longest(hit, 8.0)
+            x, y = _longest(hit, COSTS[2])
             if y - x < LEAST:
                 continue
         left += [(lo, lo + x), (lo + y, hi)]
@@ -393,23 +415,34 @@ class _Block:
         who = np.repeat(np.arange(len(rows)), n)
         place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + REACH - np.minimum([r[1] for r in rows], REACH)[who]
         self.near[who, place] = at
+        self.n = np.array(n)
+        self.run = np.full((len(rows), 2 * REACH + 1), none)
+        self.run[who, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)] = at
         self.has = np.zeros((len(rows), none + 1), bool)
         self.has[who, at] = True
-
-    def like(self, ctx: np.ndarray, q: int, ask: np.ndarray) -> np.ndarray:
-        """Of the asked members those that may share a passage over place q of ctx: on a stretch of NEARLY or more over that place and
-        the member's own, what is shared outweighs what only one of the two has, as it does where the similarity is SIMILAR,
-        with some slack because words put in or left out shift the places after them."""
+        self.once = self.has.sum(axis=1) == self.n
+
+    def places(self, ctx: np.ndarray) -> np.ndarray:
+        """Where ctx's shingles are among the values; those that no member has stand behind the last."""
+        at = np.searchsorted(self.values, ctx).clip(max=len(self.values) - 1)
+        return np.where(self.values[at] == ctx, at, len(self.values))
+
+    def shared(self, opened: list[np.ndarray]) -> np.ndarray:
+        """How many of the shingles of each opened member (their places among the values) each member has, as one product of matrices."""
+        used, at = np.unique(np.concatenate(opened), return_inverse=True)
+        who = np.repeat(np.arange(len(opened)), [len(x) for x in opened])
+        times = np.bincount(who * len(used) + at, minlength=len(opened) * len(used)).reshape(len(opened), -1)
+        return times.astype(np.float32) @ self.has[:, used].T.astype(np.float32)
+
+    def like(self, found: np.ndarray, q: int, ask: np.ndarray) -> np.ndarray:
+        """Of the asked members those that may share a passage over place q of a context, whose places among the values are found: on a
+        stretch of NEARLY or more over that place and the member's own, what is shared outweighs what only one of the two has, as it
+        does where the similarity is SIMILAR, with some slack because words put in or left out shift the places after them."""
         none = len(self.values)
         spot = np.full(2 * REACH + 1, none)
-        at = np.searchsorted(self.values, ctx).clip(max=none - 1)
-        inside = slice(REACH - q, REACH - q + len(ctx))
-        spot[inside] = np.where(self.values[at] == ctx, at, none)
+        inside = slice(REACH - q, REACH - q + len(found))
+        spot[inside] = found
         shared = self.has[ask[:, None], spot[None, :]]
-        some = shared.sum(axis=1) >= LEAST
-        ask, shared = ask[some], shared[some]
-        if not len(ask):
-            return ask
         own = np.zeros(none + 1, bool)
         own[spot] = True
         own[none] = False
@@ -423,27 +456,56 @@ class _Block:
         lowest = np.minimum.accumulate(total, axis=1)
         return ask[(total[:, end] >= lowest[:, np.minimum(REACH, end - NEARLY)]).any(axis=1)]
 
+    def open_to(self, found: np.ndarray, q: int, ask: np.ndarray) -> np.ndarray:
+        """Of the asked members those that passages() has to look at: verify() is told for all at once, and a whole context that is no
+        passage leaves nothing to look at where its longest run holds place q. Members that repeat a shingle are looked at; found must not."""
+        none, at, rows = len(self.values), np.arange(2 * REACH + 1), len(ask)
+        place = np.full(none + 1, -1)
+        place[found] = np.arange(len(found))
+        place[none] = -1
+        hit, n, pos = self.has[ask[:, None], found[None, :]], np.full(rows, len(found)), place[self.run[ask]]
+        look = ~self.once[ask]
+        for cost in COSTS:
+            a0, a1 = _longest_of(hit, n, cost)
+            met = (pos >= a0[:, None]) & (pos < a1[:, None])
+            b0, b1 = _longest_of(met, self.n[ask], cost)
+            common = (met & (at >= b0[:, None]) & (at < b1[:, None])).sum(axis=1)
+            la, lb = a1 - a0, b1 - b0
+            look |= (la >= LEAST) & (lb >= LEAST) & (np.maximum(la, lb) >= SHORTEST) & (common >= SIMILAR * (la + lb - common))
+            if cost == COSTS[2]:
+                look |= (la >= LEAST) & ~((a0 <= q) & (q < a1))
+        return ask[look]
+
     def links(self, opened: list[tuple[int, int, int | None, np.ndarray]]) -> list[tuple]:
         """Links of the opened members (t, p, class, shingles), each with members that it is not joined with by those before. Members
         of a class are joined from the start."""
         at, out = {r[:2]: k for k, r in enumerate(self.rows)}, []
-        for t, p, c, ctx in opened:
+        found = [self.places(ctx) for *_, ctx in opened]
+        enough = self.shared(found) >= LEAST
+        for n, (t, p, c, ctx) in enumerate(opened):
             q, a = min(p, REACH), max(0, p - REACH)
             me = at.get((t, p))
             mine = {int(self.label[me])} if me is not None else {self.known[c]} if c in self.known else set()
-            ask = np.flatnonzero((self.t != t) & ~np.isin(self.label, list(mine)))
-            for k in self.like(ctx, q, ask).tolist() if len(ask) else []:
-                if int(self.label[k]) in mine:
-                    continue
-                b, met = max(0, self.rows[k][1] - REACH), False
-                for x in passages(ctx, self.ctx[k], q):
-                    if x[0] <= q < x[1]:
-                        met = True
-                        out.append((t, a + x[0], a + x[1], int(self.t[k]), b + x[2], b + x[3], round(x[4], 6)))
-                if met and me is not None:
-                    self.label[self.label == self.label[k]] = self.label[me]
-                elif met:
-                    mine.add(int(self.label[k]))
+            ask = np.flatnonzero(enough[n] & (self.t != t))
+            ask = ask[~np.isin(self.label[ask], list(mine))] if len(ask) else ask
+            ask = self.like(found[n], q, ask) if len(ask) else ask
+            once = len(np.unique(ctx)) == len(ctx)
+            while len(ask):
+                # A few at a time: a link joins this member with all of a class, and they need not be asked any more.
+                few, ask = ask[:FEW], ask[FEW:]
+                for k in self.open_to(found[n], q, few).tolist() if once else few.tolist():
+                    if int(self.label[k]) in mine:
+                        continue
+                    b, met = max(0, self.rows[k][1] - REACH), False
+                    for x in passages(ctx, self.ctx[k], q):
+                        if x[0] <= q < x[1]:
+                            met = True
+                            out.append((t, a + x[0], a + x[1], int(self.t[k]), b + x[2], b + x[3], round(x[4], 6)))
+                    if met and me is not None:
+                        self.label[self.label == self.label[k]] = self.label[me]
+                    elif met:
+                        mine.add(int(self.label[k]))
+                ask = ask[~np.isin(self.label[ask], list(mine))] if len(ask) else ask
         return out
 
 

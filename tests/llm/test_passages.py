@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from fescue.llm import substring_dedup as sd
+
 SCHEMA = "doc_id long, text string"
 
 
@@ -121,3 +124,36 @@ def test_long_texts_are_worked_on_in_parts(spark, gap):
     finally:
         S.CHUNK = old
     assert [(r.start_word, r.end_word) for r in by[1]] == [(2900 + 37 * gap, 2960 + 37 * gap)]
+
+
+def test_many_pairs_at_once_as_one_by_one():
+    rng = np.random.default_rng(3)
+    hit = rng.random((200, 121)) < 0.9
+    n = rng.integers(0, 122, 200)
+    hit &= np.arange(121) < n[:, None]
+    for cost in sd.COSTS:
+        start, end = sd._longest_of(hit, n, cost)
+        assert [(int(a), int(b)) for a, b in zip(start, end)] == [sd._longest(h[:k], cost) for h, k in zip(hit, n)]
+    # Contexts around a shared passage with changed, added and lost shingles, some of them short or with repeats.
+    base, ctx, rows = np.arange(1, 122), [], []
+    for k in range(150):
+        c = base.copy()
+        for at in rng.integers(0, 121, rng.integers(0, 5)):
+            c[at : at + 5] = rng.integers(1000, 10**6, len(c[at : at + 5]))
+        if k % 4 == 0:
+            at = rng.integers(0, 100)
+            c = np.delete(c, slice(at, at + rng.integers(0, 12)))[:121]
+        if k % 7 == 0:
+            c[5] = c[6]
+        c = c[: rng.integers(70, 122)].astype(np.int32)
+        ctx.append(c)
+        rows.append((k, 60, None))
+    block, found = sd._Block(rows, ctx), 0
+    for k in range(150):
+        if len(np.unique(ctx[k])) < len(ctx[k]):
+            continue
+        told = set(block.open_to(block.places(ctx[k]), 60, np.arange(150)).tolist())
+        right = {j for j in range(150) if any(x[0] <= 60 < x[1] for x in sd.passages(ctx[k], ctx[j], 60))}
+        assert right <= told
+        found += len(right)
+    assert found > 2000
