@@ -43,6 +43,7 @@ class Absorbed:
     iterations: int = 0
     rows: int = 0
     levels: dict = field(default_factory=dict)  # of a key, where they were counted on the way
+    shift: np.ndarray | None = None  # what was taken from each column before raw and gram were summed
 
     def without(self, df: DataFrame, prefix: str = "_m_") -> DataFrame:
         """df with a column prefix + name for each column, free of the effects. The coefficients meet the rows by key."""
@@ -58,7 +59,31 @@ class Absorbed:
         return out.select(*df.columns, *[taken[c].alias(prefix + c) for c in self.cols])
 
 
-def absorb(df: DataFrame, blocks: list[Block], cols: list[str], weight: str | None = None, tol: float = 1e-9, most: int = 2_000, dense: int = DENSE) -> Absorbed:
+def _places(df: DataFrame, cols: list[str]) -> dict[str, float]:
+    """The median of each column in a few rows: near the data, wherever they lie, which is all that a shift has to be."""
+    some = df.select(*cols).limit(100).collect()
+    return {c: float(np.median([r[c] for r in some])) for c in cols} if some else {}
+
+
+def absorb(df: DataFrame, blocks: list[Block], cols: list[str], weight: str | None = None, tol: float = 1e-9, most: int = 2_000, dense: int = DENSE, centre: list[str] = ()) -> Absorbed:
+    """The columns of centre are moved near 0 before any product is summed, so that a large mean does not swallow what varies
+    about it. gram and the coefficients are then still those of the columns as they are, if a level of an effect takes up the
+    shift; raw is that of the moved columns."""
+    moved = _places(df, list(centre)) if centre else {}
+    shift = np.array([moved.get(c, 0.0) for c in cols])
+    if shift.any():
+        df = df.withColumns({c: F.col(c) - x for c, x in moved.items() if x})
+    out = _absorb(df, blocks, cols, weight, tol, most, dense)
+    out.shift = shift
+    level = next((k for k, (held, _) in enumerate(out.tables) if any(not b.unit for b in held)), None)
+    if level is not None and shift.any():
+        held, table = out.tables[level]
+        b = next(b for b, block in enumerate(held) if not block.unit)
+        out.tables[level] = held, table.withColumns({f"a{b}_{i}": F.col(f"a{b}_{i}") + float(x) for i, x in enumerate(shift) if x})
+    return out
+
+
+def _absorb(df: DataFrame, blocks: list[Block], cols: list[str], weight: str | None, tol: float, most: int, dense: int) -> Absorbed:
     keys = list(dict.fromkeys(b.key for b in blocks))
     base, df = df, df.withColumn("_wt", F.col(weight) if weight else F.lit(1.0))
     if len(keys) == 1 and len(blocks) == 1 and not blocks[0].unit and len(cols) <= NARROW:

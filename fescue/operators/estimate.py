@@ -375,14 +375,18 @@ def fit(s: Sample, kind: str = "ols", tol: float = 1e-9, weight: str | None = No
     cols = [y, *e, *x, *z]
     one = "_one"
     df = df.withColumn(one, F.lit(1.0))
-    a = absorb(df, s.blocks, [*cols, one], weight, fe_tol)
-    raw = a.raw
-    n_w = raw[-1, -1]
+    # A shift of a column ends up in the levels of an effect or in the intercept, where there are any.
+    takes_up = any(not b.unit for b in s.blocks) or (s.request.intercept and not s.blocks and not e)
+    varying = [c for c, name in zip(cols, [y, *s.endo, *s.x, *s.inst]) if name != "(Intercept)"]
+    a = absorb(df, s.blocks, [*cols, one], weight, fe_tol, centre=varying if takes_up and kind == "ols" else [])
+    near, shift = a.raw, a.shift
+    n_w = near[-1, -1]
+    raw = near + np.outer(shift, near[-1]) + np.outer(near[-1], shift) + n_w * np.outer(shift, shift)
     n, counted = a.rows, a.levels
     g = a.gram[:-1, :-1]
     a = Absorbed(g, raw[:-1, :-1], a.tables, [*cols, one], a.iterations)
     ix, ie, iz = [cols.index(c) for c in x], [cols.index(c) for c in e], [cols.index(c) for c in z]
-    diag = np.diag(raw)[:-1]
+    diag = np.diag(near)[:-1]
     stages: dict = {}
     if not e:
         kept = [ix[k] for k in drop_collinear(g[np.ix_(ix, ix)], tol, diag[ix])]
@@ -415,12 +419,21 @@ def fit(s: Sample, kind: str = "ols", tol: float = 1e-9, weight: str | None = No
         else:
             resid[ix[s.x.index(nm)]] -= beta[k]
     ssr = float(max(resid[:-1] @ g @ resid[:-1], 0.0))
+    if not s.blocks and shift.any():
+        # What was solved for are the moved columns; the slopes are the same, the intercept is told for the columns as they are.
+        at = names.index("(Intercept)")
+        back = np.eye(len(names))
+        back[at] -= shift[kept]
+        beta, bread = back @ beta, back @ bread @ back.T
+        beta[at] += shift[0]
+        resid[kept[at]] = -beta[at]
+        g = raw[:-1, :-1]
     if sizes is None:
         sizes = [counted[k] for k in s.keys()] if all(k in counted for k in s.keys()) else level_counts(s)
     nparams = parameters(len(names), s, sizes)
     sigma2 = (ssr / max(n - nparams, 1)) if dispersion is None else dispersion
     mean_y = raw[0, -1] / n_w if n_w else float("nan")
-    stats = {"mean_y": mean_y, "ssr_null": float(raw[0, 0] - (mean_y * raw[0, -1] if s.request.intercept or s.effects else 0.0)), "ssr_fe": float(g[0, 0]), "sum_w": float(n_w), "gram": g, "raw": raw}
-    if stats["ssr_null"] <= 1e-12 * max(raw[0, 0], 1e-300) and kind == "ols" and (s.request.intercept or s.effects):
+    stats = {"mean_y": mean_y, "ssr_null": float(near[0, 0] - near[0, -1] ** 2 / n_w if n_w and (s.request.intercept or s.effects) else raw[0, 0]), "ssr_fe": float(g[0, 0]), "sum_w": float(n_w), "gram": g, "raw": raw}
+    if stats["ssr_null"] <= 1e-12 * max(near[0, 0], 1e-300) and kind == "ols" and (s.request.intercept or s.effects):
         raise ValueError("the outcome is constant")
     return Model(kind, s, names, beta, bread, sigma2, n, nparams, ssr, a, combo, resid, dropped, sizes, stats, weight=weight, z=y, rows=df, stages=stages)

@@ -179,7 +179,8 @@ def demean(df: DataFrame, columns: list[str], effects: str, weights: str | None
     s = sample(df, parse(f"{columns[0]} ~ {' + '.join(columns[1:]) or '1'} | {effects}")[0], weights)
     cols = {f"_c{k}": F.expr(c).cast("double") for k, c in enumerate(columns)}
     rows = s.df.withColumns(cols)
-    out = absorb(rows, s.blocks, list(cols), s.weight, tol).without(rows)
+    level = any(not b.unit for b in s.blocks)
+    out = absorb(rows, s.blocks, list(cols), s.weight, tol, centre=list(cols) if level else []).without(rows)
     keep = [c for c in df.columns if c not in columns]
     return out.select(*keep, *[F.col(f"_m__c{k}").alias(c) for k, c in enumerate(columns)])
 
