@@ -221,12 +221,12 @@ def vcov_newey_west(spark, d):
     return se(spark, fe.feols(days, "v ~ n"), "NW(3) ~ day").where("term = 'n'")
 
 
-_PANEL = """with t as (select user_id % 50 as i, cast(ts as date) as day, count(*) as n, sum(value) / 1000 as v from events group by 1, 2), r as (select *, dense_rank() over (order by day) as k from t),
+_PANEL = """with t as (select user_id as i, cast(ts as date) as day, count(*) as n, sum(value) / 1000 as v from events group by 1, 2), r as (select *, dense_rank() over (order by day) as k from t),
 b as (select regr_slope(v, n) as b, regr_intercept(v, n) as a, avg(n) as mn, count(*) as m, count(distinct day) as t from r), s as (select k, i, (n - mn)*(v - a - b*n) as u, (n - mn)*(n - mn) as qq, b, m, b.t as t from r, b)"""
 
 
 def _panel(spark, d):
-    return table(spark, d, "events").groupBy((F.col("user_id") % 50).alias("i"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), (F.sum("value") / 1000).alias("v"))
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("i"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), (F.sum("value") / 1000).alias("v"))
 
 
 @query(_PANEL + """, p as (select k, sum(u) as u from s group by k), w as (select sum(u*u) as v from p union all select 2*(1 - 1/3.0)*sum(x.u*y.u) from p x join p y on x.k = y.k + 1 union all select 2*(1 - 2/3.0)*sum(x.u*y.u) from p x join p y on x.k = y.k + 2)
@@ -438,13 +438,13 @@ def glm_residuals(spark, d):
 # Panels and differences in differences.
 
 
-@query("""with t as (select user_id % 50 as i, cast(ts as date) as day, count(*) as n from events group by 1, 2) select t.i, cast(t.day as varchar) as day, t.n, p.n as before, q.n as after, t.n - p.n as diff from t left join t p on p.i = t.i and p.day = t.day - 1 left join t q on q.i = t.i and q.day = t.day + 2""")
+@query("""with t as (select user_id as i, cast(ts as date) as day, count(*) as n from events group by 1, 2) select t.i, cast(t.day as varchar) as day, t.n, p.n as before, q.n as after, t.n - p.n as diff from t left join t p on p.i = t.i and p.day = t.day - 1 left join t q on q.i = t.i and q.day = t.day + 2""")
 def panel_lags(spark, d):
     p = fe.Panel(_panel(spark, d).select("i", "day", "n"), "i", "day", step=1)
     return p.lag("n", 1, "before").lead("n", 2, "after").diff("n", 1, "diff").data().withColumn("day", F.col("day").cast("string"))
 
 
-@query("""with t as (select user_id % 50 as i, cast(ts as date) as day, count(*) as n from events group by 1, 2), j as (select t.n as n, p.n as l from t join t p on p.i = t.i and p.day = t.day - 1)
+@query("""with t as (select user_id as i, cast(ts as date) as day, count(*) as n from events group by 1, 2), j as (select t.n as n, p.n as l from t join t p on p.i = t.i and p.day = t.day - 1)
 select '(Intercept)' as term, round(regr_intercept(n, l), 6) as estimate from j union all select 'l', round(regr_slope(n, l), 6) from j""")
 def lag_in_formula(spark, d):
     m = fe.feols(_panel(spark, d), "n ~ l(n, 1)", panel=("i", "day", 1))
@@ -520,10 +520,11 @@ def distinct_counts(spark, d):
     return out.toDF("n", "suppliers", "pairs", "large")
 
 
-@query("""select 'k' as key, (select count(*) from (select distinct o_custkey from orders) where o_custkey not in (select c_custkey from customer where c_custkey % 3 <> 0)) as only_a, (select count(*) from customer where c_custkey % 3 <> 0 and c_custkey not in (select o_custkey from orders)) as only_b,
-(select count(*) from customer where c_custkey % 3 <> 0 and c_custkey in (select o_custkey from orders)) as common""")
+@query("""select 'k' as key, (select count(*) from (select distinct o_custkey from orders) where o_custkey not in (select user_id from events)) as only_a,
+(select count(*) from (select distinct user_id from events) where user_id not in (select o_custkey from orders)) as only_b,
+(select count(*) from (select distinct user_id from events) where user_id in (select o_custkey from orders)) as common""")
 def keys_compared(spark, d):
-    return fe.compare_keys(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k")), ["k"])
+    return fe.compare_keys(table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "events").select(F.col("user_id").alias("k")), ["k"])
 
 
 @query("select o_custkey as level, count(*) as n from orders group by 1 having count(*) = 1 or (min(case when o_totalprice > 200000 then 1 else 0 end) = 0 and max(case when o_totalprice > 200000 then 1 else 0 end) = 0)")
