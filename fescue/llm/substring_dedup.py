@@ -52,7 +52,7 @@ _powers = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2 ** 64."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 22)
+        size = max(2 * n, 1 << 16)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, x in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, x, np.uint64)
