@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, new_path, uncut
 
-__all__ = ["ascii_lower", "components", "cut", "key128", "new_path", "shield", "uncut", "words"]
+__all__ = ["ascii_lower", "components", "cut", "key128", "new_path", "shield", "top_rows", "uncut", "words"]
 
 #: The six ASCII white-space characters that separate words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -43,6 +43,15 @@ def key128(*cs: Column | str) -> Column:
     return F.struct(F.xxhash64(*cs).alias("a"), F.xxhash64(F.lit(7), *cs).alias("b"))
 
 
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank", parts: int = 64) -> DataFrame:
+    """The first k rows of each key in the given order, with their rank (int, from 1). A key's rows are dealt into parts by a
+    hash first, so that no task ever has more of them than its part, or than parts times k."""
+    first = Window.partitionBy(*keys, "__part").orderBy(*order)
+    some = df.withColumn("__part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(parts)).cast("int"))
+    some = some.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= k).drop("__part", "__rank")
+    return some.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v long): node, label (the smallest node that can be reached).
 

@@ -80,6 +80,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import search
+
+    return search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), 10)
+
+
 def queries() -> dict:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -97,6 +103,22 @@ select doc_id, cast(count(*) as bigint) as n_lines, cast(sum(case when gone then
 from marked group by doc_id
 """
 
+_OP13_SQL = r"""
+with term as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+tf as (select doc_id, t, count(*) as tf from term group by doc_id, t),
+doc as (select doc_id, cast(sum(tf) as bigint) as n from tf group by doc_id),
+whole as (select count(*) as nd, cast(sum(n) as bigint) as l from doc),
+word as (select t, cast(floor(1000 * ln((2 * nd + 2) / cast(2 * count(*) + 1 as double))) as bigint) as w from tf, whole group by t, nd),
+ask as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+asked as (select item_id, t, count(*) as times from ask group by item_id, t),
+scored as (select item_id, tf.doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l)))) as bigint) as score
+  from asked join tf using (t) join word using (t) join doc on tf.doc_id = doc.doc_id, whole group by item_id, tf.doc_id),
+ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1_SQL}
+    return {"op1_line_dedup": _OP1_SQL, "op13_lexical_search": _OP13_SQL}
