@@ -80,6 +80,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical_search import search
 
@@ -103,6 +109,26 @@ select doc_id, cast(count(*) as bigint) as n_lines, cast(sum(case when gone then
 from marked group by doc_id
 """
 
+_OP11_SQL = r"""
+with piece as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[.,;:!?\x0A-\x0D]')) as p from documents),
+split as (select lang, [x for x in string_split_regex(p, '[\x20\x09]+') if x <> ''] as w from piece),
+gram as (select lang, 1 as k, unnest(w) as g from split
+  union all select lang, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) from split where len(w) >= 2
+  union all select lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) from split where len(w) >= 3),
+f as (select lang, k, g, cast(count(*) as hugeint) as f from gram group by lang, k, g),
+total as (select lang, sum(f) as n from f where k = 1 group by lang),
+cand as (select lang, k, g, f as a, string_split(g, ' ') as w from f where k >= 2 and f >= 10),
+long as (select lang, a as b, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as g from cand where k = 3),
+gone as (select distinct cand.lang, cand.g from cand join long using (lang, g) where 100 * b >= 50 * cand.a),
+cuts as (select lang, g, a, 1 as cut, w[1] as x, array_to_string(w[2:], ' ') as y from cand union all select lang, g, a, 2, w[1] || ' ' || w[2], w[3] from cand where k = 3),
+part as (select cuts.*, fx.f as l, fy.f as r, (cast(1000000 as hugeint) * a * a) // (fx.f * fy.f) as score from cuts join f fx on fx.lang = cuts.lang and fx.g = x join f fy on fy.lang = cuts.lang and fy.g = y),
+best as (select *, row_number() over (partition by lang, g order by score, cut) as nr from part),
+ranked as (select best.*, row_number() over (partition by lang order by score desc, a desc, g) as rank from best anti join gone using (lang, g) where nr = 1)
+select lang, cast(rank as int) as rank, g as phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join total using (lang) where rank <= 2000
+"""
+
 _OP13_SQL = r"""
 with term as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
@@ -121,4 +147,4 @@ select item_id, rank, doc_id, score from ranked where rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1_SQL, "op13_lexical_search": _OP13_SQL}
+    return {"op1_line_dedup": _OP1_SQL, "op11_collocations": _OP11_SQL, "op13_lexical_search": _OP13_SQL}
