@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, new_path, uncut
 
-__all__ = ["ascii_lower", "components", "cut", "key128", "new_path", "shield", "top_rows", "uncut", "words"]
+__all__ = ["ascii_lower", "components", "cut", "key128", "new_path", "released", "shield", "top_rows", "uncut", "words"]
 
 #: The six ASCII white-space characters that separate words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -29,6 +30,13 @@ def shield(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame,
     return docs.select(*[F.col(f"`{c}`").alias(rest.get(c, c)) for c in docs.columns]), back
 
 
+def released(spark: SparkSession) -> None:
+    """Frees the disk of shuffles that no table needs any more; Spark removes them when the driver's garbage is collected, which
+    a small driver may not do for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case and nothing else; lower() does just that where every character is one byte."""
     return F.when(F.char_length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

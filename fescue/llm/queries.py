@@ -86,6 +86,13 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import drop_repeats
+
+    out = drop_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lexical_search import search
 
@@ -129,6 +136,21 @@ select lang, cast(rank as int) as rank, g as phrase, cast(a as bigint) as a, cas
 from ranked join total using (lang) where rank <= 2000
 """
 
+_OP12_SQL = r"""
+with doc as (select doc_id, encode(coalesce(text, '')) as t from documents),
+win as (select doc_id, t, unnest(range(0, octet_length(t) - 99)) as p from doc),
+later as (select doc_id, p from (select doc_id, p, row_number() over (partition by t[p + 1:p + 100] order by doc_id, p) as nr from win) where nr > 1),
+island as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as k from
+  (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 100 then 0 else 1 end as fresh from later)),
+span as (select doc_id, min(p) as a, max(p) + 100 as z from island group by doc_id, k),
+total as (select doc_id, cast(sum(z - a) as bigint) as n_removed, count(*) as n_spans from span group by doc_id),
+edge as (select doc_id, z as a, lead(a) over (partition by doc_id order by a) as z from span union all select doc_id, 0, min(a) from span group by doc_id),
+piece as (select doc.doc_id, coalesce(a, 0) as a, t[coalesce(a, 0) + 1:coalesce(z, octet_length(t))] as s from doc left join edge on doc.doc_id = edge.doc_id),
+kept as (select doc_id, sha256(unhex(string_agg(hex(s), '' order by a))) as kept_sha256 from piece group by doc_id)
+select doc.doc_id, cast(octet_length(t) as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, kept_sha256
+from doc join kept on doc.doc_id = kept.doc_id left join total on doc.doc_id = total.doc_id
+"""
+
 _OP13_SQL = r"""
 with term as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
@@ -147,4 +169,4 @@ select item_id, rank, doc_id, score from ranked where rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1_SQL, "op11_collocations": _OP11_SQL, "op13_lexical_search": _OP13_SQL}
+    return {"op1_line_dedup": _OP1_SQL, "op11_collocations": _OP11_SQL, "op12_suffix_dedup": _OP12_SQL, "op13_lexical_search": _OP13_SQL}
