@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,9 +33,11 @@ def shield(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame,
 
 def released(spark: SparkSession) -> None:
     """Frees the disk of shuffles that no table needs any more; Spark removes them when the driver's garbage is collected, which
-    a small driver may not do for hours."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    a small driver may not do for hours. What Python lets go of, the JVM learns of a little later, so it takes two rounds."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, cut, top_rows, uncut
+from ._common import ascii_lower, cut, released, top_rows, uncut
 
 #: Pieces end at these characters; their words are parted by spaces and tabs.
 ENDS, GAPS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
@@ -32,22 +32,20 @@ def pieces(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return found.select("lang", one.alias("piece")).where("piece is not null").groupBy("lang", "piece").agg(F.count("*").alias("m"))
 
 
-def _added(batches: Iterable[pa.RecordBatch], sql: str, on_disk: bool = False) -> Iterator[pa.RecordBatch]:
-    """sql's rows over the batches as a table t, by a duckdb that has MEMORY and, for its groups and, on_disk, for the table too, a
-    folder of its own, which is removed with all it has when the rows are read."""
+def _added(batches: Iterable[pa.RecordBatch], sql: str) -> Iterator[pa.RecordBatch]:
+    """sql's rows over the batches as t, which duckdb reads as they come. It has MEMORY and, for groups beyond that, a folder of
+    its own, which is removed with all it has when the rows are read."""
     import duckdb
 
+    batches = iter(batches)
+    first = next(batches, None)
+    if first is None:
+        return
     with tempfile.TemporaryDirectory(prefix="grams-") as folder:
-        con = duckdb.connect(os.path.join(folder, "t.db") if on_disk else ":memory:", config={"memory_limit": MEMORY, "threads": 1, "temp_directory": folder, "preserve_insertion_order": False})
+        con = duckdb.connect(config={"memory_limit": MEMORY, "threads": 1, "temp_directory": folder, "preserve_insertion_order": False})
         try:
-            made = False
-            for part in batches:
-                con.register("part", pa.Table.from_batches([part]))
-                con.execute("insert into t select * from part" if made else "create table t as select * from part")
-                con.unregister("part")
-                made = True
-            if made:
-                yield from con.sql(sql).to_arrow_reader(50_000)
+            con.register("t", pa.RecordBatchReader.from_batches(first.schema, chain([first], batches)))
+            yield from con.sql(sql).to_arrow_reader(50_000)
         finally:
             con.close()
 
@@ -96,7 +94,7 @@ def counts(found: DataFrame, most_words: int, least: int, n_words: int) -> DataF
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = (x for batch in batches for block in batch.column(1) for x in pa.ipc.open_stream(block.as_buffer()))
-        yield from _added(opened, f"select lang, gram, k, cast(sum(f) as bigint) as f from t group by lang, gram, k having sum(f) >= {int(least)}", True)
+        yield from _added(opened, f"select lang, gram, k, cast(sum(f) as bigint) as f from t group by lang, gram, k having sum(f) >= {int(least)}")
 
     return found.mapInArrow(part, "bucket int, block binary").repartition("bucket").mapInArrow(whole, "lang string, gram string, k byte, f long")
 
@@ -136,9 +134,11 @@ def collocations(docs: DataFrame, least: int = 10, most_words: int = 3, covered:
     A null text has no words, a null language is und. Every row counts, repeated ones too; other columns are not read. A
     language without candidates has no row; an empty table gives none."""
     found = cut(pieces(docs, text_col, lang_col), "pieces")
+    released(docs.sparkSession)
     size = F.size(F.split("piece", " ", -1))
     total = cut(found.groupBy("lang").agg(F.sum(F.col("m") * size).alias("n"), F.sum(size).alias("distinct")), "totals")
     every = cut(counts(found, most_words, least, total.agg(F.sum("distinct")).first()[0] or 0), "grams")
+    released(docs.sparkSession)
     phrases = every.where("k >= 2")
     inner = phrases.where("k >= 3").select("lang", F.col("f").alias("g"), F.explode(_inside(F.col("gram"), F.col("k").cast("int"))).alias("gram"))
     inner = inner.groupBy("lang", "gram").agg(F.max("g").alias("g"))
