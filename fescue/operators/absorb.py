@@ -21,6 +21,10 @@ from .moments import counted_gram, gram, pseudo_inverse
 NARROW = 8
 #: Turns in which a squared residual that is near rounding error has to be halved; one that is not goes on for as long as it takes.
 PATIENCE = 48
+#: Share of a column's sum of squares that the effects leave below which it is absorbed a second time.
+DOUBT = 1e-6
+#: Rounding errors: of a sum of products, as a share of the sum of squares; of a value that coefficients were taken from.
+SUMMED, ROUNDED = 1e-13, 1e-12
 #: Levels of all effects but the largest up to which they are solved for exactly on the driver.
 DENSE = 1_200
 
@@ -43,44 +47,47 @@ class Absorbed:
     iterations: int = 0
     rows: int = 0
     levels: dict = field(default_factory=dict)  # of a key, where they were counted on the way
-    shift: np.ndarray | None = None  # what was taken from each column before raw and gram were summed
+    noise: np.ndarray | None = None  # sums of squares up to which nothing is left of a column
 
-    def without(self, df: DataFrame, prefix: str = "_m_") -> DataFrame:
-        """df with a column prefix + name for each column, free of the effects. The coefficients meet the rows by key."""
-        out, taken = df, {c: F.col(c) for c in self.cols}
+    def without(self, df: DataFrame, prefix: str = "_m_", only: list[str] | None = None) -> DataFrame:
+        """df with a column prefix + name for each column (of only), free of the effects. The coefficients meet the rows by key."""
+        asked = [(i, c) for i, c in enumerate(self.cols) if only is None or c in only]
+        out, taken = df, {c: F.col(c) for _, c in asked}
         for k, (blocks, table) in enumerate(self.tables):
             key = blocks[0].key
-            named = table.select(F.col("key").alias(f"_key{k}"), *[F.col(f"a{b}_{i}").alias(f"_a{k}_{b}_{i}") for b in range(len(blocks)) for i in range(len(self.cols))])
+            named = table.select(F.col("key").alias(f"_key{k}"), *[F.col(f"a{b}_{i}").alias(f"_a{k}_{b}_{i}") for b in range(len(blocks)) for i, _ in asked])
             out = out.join(named, F.col(key) == F.col(f"_key{k}"), "left")
-            for i, c in enumerate(self.cols):
+            for i, c in asked:
                 for b, block in enumerate(blocks):
                     unit = F.col(block.unit) if block.unit else F.lit(1.0)
                     taken[c] = taken[c] - F.col(f"_a{k}_{b}_{i}") * unit
-        return out.select(*df.columns, *[taken[c].alias(prefix + c) for c in self.cols])
+        return out.select(*df.columns, *[taken[c].alias(prefix + c) for _, c in asked])
 
 
-def _places(df: DataFrame, cols: list[str]) -> dict[str, float]:
-    """The median of each column in a few rows: near the data, wherever they lie, which is all that a shift has to be."""
-    some = df.select(*cols).limit(100).collect()
-    return {c: float(np.median([r[c] for r in some])) for c in cols} if some else {}
-
-
-def absorb(df: DataFrame, blocks: list[Block], cols: list[str], weight: str | None = None, tol: float = 1e-9, most: int = 2_000, dense: int = DENSE, centre: list[str] = ()) -> Absorbed:
-    """The columns of centre are moved near 0 before any product is summed, so that a large mean does not swallow what varies
-    about it. gram and the coefficients are then still those of the columns as they are, if a level of an effect takes up the
-    shift; raw is that of the moved columns."""
-    moved = _places(df, list(centre)) if centre else {}
-    shift = np.array([moved.get(c, 0.0) for c in cols])
-    if shift.any():
-        df = df.withColumns({c: F.col(c) - x for c, x in moved.items() if x})
+def absorb(df: DataFrame, blocks: list[Block], cols: list[str], weight: str | None = None, tol: float = 1e-9, most: int = 2_000, dense: int = DENSE) -> Absorbed:
+    """Sums of products less what the effects explain lose their digits where next to nothing of a column is left by the effects.
+    Such columns are replaced by what the first coefficients leave of them, which the effects explain no less and no more,
+    and are absorbed again; the coefficients of both rounds add up. What varies within a level is then found however far
+    levels lie apart, with several effects, slopes and weights too. The rows are read a second time only where it is needed."""
     out = _absorb(df, blocks, cols, weight, tol, most, dense)
-    out.shift = shift
-    level = next((k for k, (held, _) in enumerate(out.tables) if any(not b.unit for b in held)), None)
-    if level is not None and shift.any():
-        held, table = out.tables[level]
-        b = next(b for b, block in enumerate(held) if not block.unit)
-        out.tables[level] = held, table.withColumns({f"a{b}_{i}": F.col(f"a{b}_{i}") + float(x) for i, x in enumerate(shift) if x})
-    return out
+    whole, left = np.diag(out.raw), np.diag(out.gram)
+    out.noise = SUMMED * whole
+    doubt = np.flatnonzero(left < DOUBT * whole) if blocks else []
+    if not len(doubt):
+        return out
+    again = [cols[k] for k in doubt]
+    rest = out.without(df, "_left_", again)
+    second = _absorb(rest.withColumns({c: F.col("_left_" + c) for c in again}).select(*df.columns), blocks, cols, weight, tol, most, dense)
+    tables = []
+    for held, table in second.tables:
+        old = next(t for b, t in out.tables if b == held)
+        names = [f"a{b}_{i}" for b in range(len(held)) for i in range(len(cols))]
+        both = table.select("key", *names).join(old.select(F.col("key").alias("_old"), *[F.col(n).alias("_" + n) for n in names]), F.col("key") == F.col("_old"))
+        tables.append((held, both.select("key", *[(F.col(n) + F.col("_" + n) if int(n.split("_")[1]) in doubt else F.col(n)).alias(n) for n in names])))
+    # What is smaller than the rounding error of the columns as they came in is none of theirs.
+    noise = SUMMED * np.diag(second.raw)
+    noise[doubt] += ROUNDED**2 * whole[doubt]
+    return Absorbed(second.gram, out.raw, tables, cols, out.iterations + second.iterations, out.rows, out.levels or second.levels, noise)
 
 
 def _absorb(df: DataFrame, blocks: list[Block], cols: list[str], weight: str | None, tol: float, most: int, dense: int) -> Absorbed:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..functions.dist import t_p, t_quantile
 from ..plans.formula import Effect, Request, call, split_top
-from .absorb import Absorbed, Block, absorb
+from .absorb import DOUBT, ROUNDED, Absorbed, Block, absorb
 from .moments import drop_collinear, pseudo_inverse, usable
 
 NUMERIC = (T.NumericType, T.BooleanType)
@@ -375,28 +375,31 @@ def fit(s: Sample, kind: str = "ols", tol: float = 1e-9, weight: str | None = No
     cols = [y, *e, *x, *z]
     one = "_one"
     df = df.withColumn(one, F.lit(1.0))
-    # A shift of a column ends up in the levels of an effect or in the intercept, where there are any.
-    takes_up = any(not b.unit for b in s.blocks) or (s.request.intercept and not s.blocks and not e)
-    varying = [c for c, name in zip(cols, [y, *s.endo, *s.x, *s.inst]) if name != "(Intercept)"]
-    a = absorb(df, s.blocks, [*cols, one], weight, fe_tol, centre=varying if takes_up and kind == "ols" else [])
-    near, shift = a.raw, a.shift
-    n_w = near[-1, -1]
-    raw = near + np.outer(shift, near[-1]) + np.outer(near[-1], shift) + n_w * np.outer(shift, shift)
-    n, counted = a.rows, a.levels
+    a = absorb(df, s.blocks, [*cols, one], weight, fe_tol)
+    near, raw, shift, n_w = a.raw, a.raw, np.zeros(len(cols) + 1), a.raw[-1, -1]
+    if s.request.intercept and not s.blocks and not e and n_w:
+        # Columns whose mean is large against what varies about it are moved there; the intercept takes that up.
+        centre = np.append(near[-1, :-1] / n_w, 0.0)
+        far = (np.diag(near) - n_w * centre**2 < DOUBT * np.diag(near)) & np.array([c not in (one, "_x0") for c in [*cols, one]])
+        if far.any():
+            shift = np.where(far, centre, 0.0)
+            a = absorb(df.withColumns({c: F.col(c) - float(v) for c, v in zip(cols, shift) if v}), [], [*cols, one], weight, fe_tol)
+            a.noise += ROUNDED**2 * np.where(far, np.diag(near), 0.0)
+            near = a.raw
+    n, counted, noise = a.rows, a.levels, a.noise
     g = a.gram[:-1, :-1]
     a = Absorbed(g, raw[:-1, :-1], a.tables, [*cols, one], a.iterations)
     ix, ie, iz = [cols.index(c) for c in x], [cols.index(c) for c in e], [cols.index(c) for c in z]
-    diag = np.diag(near)[:-1]
     stages: dict = {}
     if not e:
-        kept = [ix[k] for k in drop_collinear(g[np.ix_(ix, ix)], tol, diag[ix])]
+        kept = [ix[k] for k in drop_collinear(g[np.ix_(ix, ix)], tol, noise[ix])]
         names = [s.x[ix.index(k)] for k in kept]
         combo = np.zeros((len(cols) + 1, len(kept)))
         combo[kept, range(len(kept))] = 1
         dropped = [n for k, n in zip(ix, s.x) if k not in kept]
     else:
         order = [*iz, *ix]
-        w = [order[k] for k in drop_collinear(g[np.ix_(order, order)], tol, diag[order])]
+        w = [order[k] for k in drop_collinear(g[np.ix_(order, order)], tol, noise[order])]
         inner = np.linalg.inv(g[np.ix_(w, w)])
         pi = inner @ g[np.ix_(w, ie)]
         keep_x = [k for k in ix if k in w]
@@ -404,7 +407,7 @@ def fit(s: Sample, kind: str = "ols", tol: float = 1e-9, weight: str | None = No
         full[w, : len(ie)] = pi
         full[keep_x, range(len(ie), len(ie) + len(keep_x))] = 1
         hat = full[:-1].T @ g @ full[:-1]
-        stay = drop_collinear(hat, tol, np.array([diag[k] for k in [*ie, *keep_x]]))
+        stay = drop_collinear(hat, tol, noise[[*ie, *keep_x]])
         combo, names = full[:, stay], [[*[f"fit_{n}" for n in s.endo], *[s.x[ix.index(k)] for k in keep_x]][k] for k in stay]
         dropped = [n for k, n in zip(ix, s.x) if k not in w]
         stages = {"w": w, "pi": pi, "z": [k for k in w if k in iz], "x": keep_x, "e": ie, "inner": inner}
@@ -433,7 +436,10 @@ def fit(s: Sample, kind: str = "ols", tol: float = 1e-9, weight: str | None = No
     nparams = parameters(len(names), s, sizes)
     sigma2 = (ssr / max(n - nparams, 1)) if dispersion is None else dispersion
     mean_y = raw[0, -1] / n_w if n_w else float("nan")
-    stats = {"mean_y": mean_y, "ssr_null": float(near[0, 0] - near[0, -1] ** 2 / n_w if n_w and (s.request.intercept or s.effects) else raw[0, 0]), "ssr_fe": float(g[0, 0]), "sum_w": float(n_w), "gram": g, "raw": raw}
-    if stats["ssr_null"] <= 1e-12 * max(near[0, 0], 1e-300) and kind == "ols" and (s.request.intercept or s.effects):
+    ssr_null = float(near[0, 0] - near[0, -1] ** 2 / n_w if n_w and (s.request.intercept or s.effects) else raw[0, 0])
+    if s.blocks and kind == "ols" and ssr_null < DOUBT * near[0, 0]:
+        ssr_null = df.agg(F.sum((F.col(weight) if weight else F.lit(1.0)) * (F.col(y) - float(mean_y)) ** 2)).first()[0]
+    stats = {"mean_y": mean_y, "ssr_null": ssr_null, "ssr_fe": float(a.gram[0, 0]), "sum_w": float(n_w), "gram": g, "raw": raw}
+    if stats["ssr_null"] <= ROUNDED**2 * max(raw[0, 0], 1e-300) and kind == "ols" and (s.request.intercept or s.effects):
         raise ValueError("the outcome is constant")
     return Model(kind, s, names, beta, bread, sigma2, n, nparams, ssr, a, combo, resid, dropped, sizes, stats, weight=weight, z=y, rows=df, stages=stages)

@@ -147,7 +147,7 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
             break
     # All columns again, at the predictor that the last regression was made at.
     model.rows = working(at(before, s.df))
-    model.stats |= {"deviance": old_dev, "turns": turn + 1}
+    model.stats |= {"deviance": old_dev, "turns": turn + 1, "working_ssr": model.ssr}
     model.beta = np.array([dict(zip(state.names, state.beta)).get(n, 0.0) for n in model.names])
     final = state
     model.stats["state"] = final
@@ -172,8 +172,7 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
 
 def _dispersion(model: Model) -> float:
     """Weighted squared working residuals over n - K; the regression's own sum of squares is just that."""
-    total = float(max(model.resid[:-1] @ model.stats["gram"] @ model.resid[:-1], 0.0))
-    return total / max(model.n - model.nparams, 1)
+    return model.stats["working_ssr"] / max(model.n - model.nparams, 1)
 
 
 def theta_step(df: DataFrame, w: Column, theta: float) -> tuple[float, float, float]:

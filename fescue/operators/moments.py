@@ -52,11 +52,11 @@ def usable(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
-def drop_collinear(g: np.ndarray, tol: float = 1e-9, raw: np.ndarray | None = None, share: float = 1e-10) -> list[int]:
-    """Columns that stay when each is taken in turn and one whose pivot is below tol, or below share of the raw sum of squares
-    it had before anything was taken out, is dropped."""
+def drop_collinear(g: np.ndarray, tol: float = 1e-9, noise: np.ndarray | float = 0.0, share: float = 1e-10) -> list[int]:
+    """Columns that stay when each is taken in turn and one whose pivot is below tol, or below share of the sum of squares that the
+    effects leave of it, or below the rounding error of that sum, is dropped."""
     a, kept = np.array(g, float), []
-    floor = np.maximum(tol, share * (np.diag(g) if raw is None else raw))
+    floor = np.maximum(np.maximum(tol, share * np.diag(g)), noise)
     for j in range(len(a)):
         if a[j, j] > floor[j]:
             kept.append(j)

@@ -95,6 +95,18 @@ def feols_1fe(spark, d):
     return coefs(spark, fe.feols(line(spark, d), "y ~ q + x | s"))
 
 
+@query(LINE_SQL + ", t2 as (select y + 3e4 * s as y, q + 1e4 * s as q, s from t), dm as (select y - avg(y) over (partition by s) as y, q - avg(q) over (partition by s) as q from t2) select 'x' as term, round(sum(q*y)/sum(q*q), 6) as estimate from dm")
+def feols_levels_far_apart(spark, d):
+    """What varies within levels is a millionth of a millionth of the sums of squares."""
+    return coefs(spark, fe.feols(line(spark, d).selectExpr("y + 3e4D * s as y", "q + 1e4D * s as x", "s"), "y ~ x | s"))
+
+
+@query(LINE_SQL + ", m as (select avg(c) filter (where hit = 0) as a, avg(c) filter (where hit = 1) as b from t) select 'x' as term, round(ln(b / a) / 1000, 10) as estimate from m")
+def poisson_far_from_zero(spark, d):
+    """A regressor such as seconds since 1970, with a mean of a million times what varies about it."""
+    return coefs(spark, fe.fepois(line(spark, d).withColumn("x", F.expr("1.7e9D + 1000 * hit")), "c ~ x"), digits=10).where("term = 'x'")
+
+
 @query(LINE_SQL + _DEMEAN.format(k="s, f") + "r as (select sum(q*y)/sum(q*q) as v from dm) select 'q' as term, round(v, 6) as estimate from r")
 def feols_combined_fe(spark, d):
     return coefs(spark, fe.feols(line(spark, d), "y ~ q | s^f"))
