@@ -162,6 +162,7 @@ class Model:
     panel: tuple | None = None
     rows: DataFrame | None = None
     stages: dict = field(default_factory=dict)
+    own_scores: object = None  # a function, where scores are more than weight * residual * regressor
 
     @property
     def coef(self) -> dict[str, float]:
@@ -178,6 +179,8 @@ class Model:
     @property
     def scores(self) -> DataFrame:
         """Scores _g0, _g1, ... beside all columns of the sample."""
+        if self.own_scores:
+            return self.own_scores()
         df, w = self.score_rows, F.col(self.weight) if self.weight else F.lit(1.0)
         return df.withColumns({f"_g{k}": w * F.col("_u") * F.col(f"_q{k}") for k in range(len(self.names))})
 

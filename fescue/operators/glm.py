@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from math import exp, lgamma, log
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..sources.shared import cut
+from .absorb import absorb
 from .estimate import Model, Sample, fit, level_counts, sample
+from .levels import solve_levels
 
 
 @dataclass(frozen=True)
@@ -111,7 +114,12 @@ class _State:
         return _State(names, np.array([(mine.get(n, 0.0) + was.get(n, 0.0)) / 2 for n in names]), tables)
 
 
-def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, start: _State | None = None, fe_tol: float = 1e-10) -> Model:
+def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, start: _State | None = None, fe_tol: float = 1e-10, levels: bool = False) -> Model:
+    """IRLS. levels: the coefficients of a single effect are solved for after each turn, given the others', so that steps are taken on
+    the likelihood that is concentrated on these; without it that begins where ten halvings of a step do not help."""
+    single = len(s.blocks) == 1 and not s.blocks[0].unit
+    if levels and not single:
+        raise ValueError("levels are solved for where there is one effect without slopes")
     w = F.col(s.weight) if s.weight else F.lit(1.0)
     # The turns read what the fit needs, kept where it fits and worked out again where it is lost.
     base, sizes = s.df.select(*[c for c in s.df.columns if re.fullmatch(r"_([ywo]|[xf]\d+|s\d+_\d+)", c)]).persist(StorageLevel.MEMORY_AND_DISK), None
@@ -125,7 +133,11 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
         mu, slope = F.col("_mu"), F.col("_slope")
         return rows.withColumns({"_irls": w * slope * slope / family.variance(mu), "_z": F.col("_eta") - off + (F.col("_y") - mu) / slope}).where("_irls > 0")
 
-    old_dev, state, model = None, start, None
+    def solved(state: _State) -> _State:
+        known = _State(state.names, state.beta, []).predictor(s, base)
+        return _State(state.names, state.beta, [(state.tables[0][0], solve_levels(known, s.blocks[0].key, family, w))])
+
+    old_dev, state, model, done = None, start, None, False
     for turn in range(most):
         before = state
         model = fit(s, family.name, weight="_irls", y="_z", rows=working(at(before, base)), sizes=sizes, dispersion=1.0, fe_tol=fe_tol)
@@ -134,7 +146,10 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
         tables = model.effect_tables()
         tables = tables if len(tables) < 2 else [(blocks, cut(t, "effects")) for blocks, t in tables]
         after = _State(model.names, model.beta, tables)
-        for _ in range(10):
+        for attempt in range(20 if single else 10):
+            if levels or attempt == 10:
+                levels = True
+                after = solved(after)
             df = at(after, base)
             dev = df.agg(F.sum(w * family.deviance(F.col("_y"), F.col("_mu")))).first()[0]
             if dev is not None and np.isfinite(dev) and (old_dev is None or dev <= old_dev * (1 + 1e-10) + 1e-10) or state is None:
@@ -145,9 +160,11 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
         old_dev = dev
         if done:
             break
+    if not done:
+        warnings.warn(f"the {family.name} fit has not settled after {turn + 1} turns: deviance {old_dev}", stacklevel=2)
     # All columns again, at the predictor that the last regression was made at.
-    model.rows = working(at(before, s.df))
-    model.stats |= {"deviance": old_dev, "turns": turn + 1, "working_ssr": model.ssr}
+    model.rows = working(at(before, s.df)).withColumn("_one", F.lit(1.0))
+    model.stats |= {"deviance": old_dev, "turns": turn + 1, "converged": done, "working_ssr": model.ssr}
     model.beta = np.array([dict(zip(state.names, state.beta)).get(n, 0.0) for n in model.names])
     final = state
     model.stats["state"] = final
@@ -184,12 +201,48 @@ def theta_step(df: DataFrame, w: Column, theta: float) -> tuple[float, float, fl
     return tuple(got)
 
 
+def _with_theta(s: Sample, model: Model, state: _State, theta: float) -> None:
+    """The model's matrices from the observed information of coefficients, effects and theta together, which the effects are
+    concentrated out of: they follow the regressors and theta, as far as a weighted regression on them tells.
+
+    With weights -d2l/deta2 and z the derivative of the score wrt theta over these weights, what theta shares with the other
+    parameters are the products of z with them; what the effects leave of z and of the regressors comes from one absorption."""
+    w, y, t = F.col(s.weight) if s.weight else F.lit(1.0), F.col("_y"), F.lit(float(theta))
+    mu = F.exp(F.col("_eta"))
+    part = mu + t
+    rows = state.predictor(s, s.df).withColumns({"_obs": w * (y + t) * mu * t / (part * part), "_shift": mu * (y - mu) / (part * part)})
+    rows = rows.withColumns({"_zt": w * F.col("_shift") / F.col("_obs"), "_z": F.col("_eta") - (F.col("_o") if s.offset else F.lit(0.0)) + w * (y - mu) * t / part / F.col("_obs")})
+    again = fit(s, "negbin", weight="_obs", y="_z", rows=rows, sizes=model.sizes, dispersion=1.0)
+    cols = ["_zt", *[f"_x{s.x.index(n)}" for n in again.names]]
+    a = absorb(rows, s.blocks, cols, "_obs")
+    _, curve, _ = theta_step(rows, w, theta)
+    information = a.gram.copy()
+    information[0, 1:] *= -1
+    information[1:, 0] *= -1
+    information[0, 0] = -curve - (a.raw[0, 0] - a.gram[0, 0])
+    v = np.linalg.inv(information)
+    model.names, model.beta, model.combo, model.resid, model.absorbed = again.names, again.beta, again.combo, again.resid, again.absorbed
+    model.rows, model.weight, model.z, model.collinear, model.bread = again.rows, "_obs", "_z", again.collinear, v[1:, 1:]
+    model.stats |= {"theta": theta, "theta_se": float(np.sqrt(v[0, 0])) if v[0, 0] > 0 else float("nan"), "theta_share": v[1:, 0]}
+    grad = special.digamma(y + t) - special.digamma(t) + F.log(t) + 1 - F.log(part) - (y + t) / part
+
+    def scores() -> DataFrame:
+        """Scores that the matrix takes to what each row adds to the coefficients, theta's part included."""
+        df = a.without(model.score_rows, "_left_", ["_zt"])
+        own = w * grad + (F.col("_zt") - F.col("_left__zt")) * F.col("_obs") * F.col("_u")
+        share = np.linalg.solve(model.bread, v[1:, 0])
+        return df.withColumn("_gt", own).withColumns({f"_g{k}": F.col("_obs") * F.col("_u") * F.col(f"_q{k}") + float(share[k]) * F.col("_gt") for k in range(len(model.names))})
+
+    model.own_scores = scores
+
+
 def fenegbin_fit(s: Sample, tol: float = 1e-8, most: int = 30, bounds: tuple[float, float] = (1e-3, 1e4)) -> Model:
-    """Coefficients given theta by IRLS and theta given the means by Newton steps, in turn, until neither moves."""
+    """Coefficients given theta by IRLS and theta given the means by Newton steps, in turn, until neither moves. Standard errors
+    are those of the observed information of all parameters, theta among them."""
     w = F.col(s.weight) if s.weight else F.lit(1.0)
     m = s.df.agg(F.avg("_y"), F.var_samp("_y")).first()
     theta = max(m[0] ** 2 / max((m[1] or 0.0) - m[0], 1e-4), 0.05)
-    state, model = None, None
+    state, model, settled = None, None, False
     for _ in range(most):
         model = feglm_fit(s, negbin(theta), start=state)
         state = model.stats["state"]
@@ -200,11 +253,15 @@ def fenegbin_fit(s: Sample, tol: float = 1e-8, most: int = 30, bounds: tuple[flo
             theta = float(min(max(theta * exp(max(min(move, 1.5), -1.5)), bounds[0]), bounds[1]))
             if abs(move) < 1e-7 or theta in bounds:
                 break
-        if abs(theta - before) < tol * (1 + theta) * 100:
+        if settled := abs(theta - before) < tol * (1 + theta) * 100:
             break
+    if not settled:
+        warnings.warn(f"theta has not settled after {most} turns: {theta}", stacklevel=2)
     _, curve, ll = theta_step(df, w, theta)
     model.kind = "negbin"
-    model.stats |= {"theta": theta, "ll": ll, "theta_se": (-1 / curve) ** 0.5 if curve < 0 else float("nan")}
+    model.stats |= {"theta": theta, "ll": ll, "theta_se": float("nan"), "converged": settled and model.stats["converged"]}
+    if theta not in bounds:
+        _with_theta(s, model, state, theta)
     y0 = {"mean": model.stats["mean_y"]}
     null = s.df.withColumn("_eta", F.log(F.lit(y0["mean"])))
     t0 = theta

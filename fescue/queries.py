@@ -420,6 +420,31 @@ def probit(spark, d):
     return coefs(spark, fe.feglm(line(spark, d), "hit ~ x", "probit"))
 
 
+@query(LINE_SQL + ", m as (select hit, avg(c) as m from t group by hit), v as (select t.hit, max(m) as m, count(*) as n, sum((c - m)*(c - m)) as ss from t join m on t.hit = m.hit group by t.hit) select 'hit' as term, round(sqrt(sum(ss/(n*n*m*m))*(select count(*)*1.0/(count(*) - 2) from t)), 7) as std_error from v")
+def poisson_robust(spark, d):
+    return se(spark, fe.fepois(line(spark, d), "c ~ hit"), "hetero").where("term = 'hit'").select("term", "std_error")
+
+
+@query(LINE_SQL + """, k as (select s, cast(count(*) as double) as n, cast(count(*) filter (where q > 0.5) as double) as m, cast(sum(hit) as double) as h from t group by s),
+r as (select s, 2*(n - h) as a, n - m + 2*m - 3*h as b, -h as c from k where h > 0 and h < n) select s, round(ln((-b + sqrt(b*b - 4*a*c))/(2*a)), 6) as effect from r""")
+def levels_solved(spark, d):
+    """What each supplier adds to a logit whose other part is ln 2 where q is over a half."""
+    from .operators.glm import FAMILIES
+    from .operators.levels import solve_levels
+
+    known = line(spark, d).selectExpr("s", "hit as _y", "if(q > 0.5, ln(2D), 0D) as _eta")
+    mixed = known.groupBy("s").agg(F.min("_y").alias("a"), F.max("_y").alias("b")).where("a < b").select("s")
+    return solve_levels(known.join(mixed, "s", "left_semi"), "s", FAMILIES["logit"], F.lit(1.0)).select(F.col("key").alias("s"), F.round("c0", 6).alias("effect"))
+
+
+@query()
+def negbin_errors(spark, d):
+    """Standard errors of the observed information, theta's uncertainty included."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("n"), F.avg("l_discount").alias("v"), F.first("l_orderkey").alias("o"))
+    m = fe.fenegbin(li.withColumn("g", F.col("o") % 5), "n ~ v | g")
+    return se(spark, m, "hetero", 5).union(rows(spark, [(".theta", round(m.stats["theta"], 3), round(m.stats["theta_se"], 3))], "term string, estimate double, std_error double"))
+
+
 @query()
 def negative_binomial(spark, d):
     e = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
