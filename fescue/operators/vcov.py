@@ -255,6 +255,27 @@ def _near(cells: DataFrame, k: int, cut: float, distance: str) -> np.ndarray:
     return np.array([x or 0.0 for x in sums]).reshape(k, k)
 
 
+def _meats(scores: DataFrame, ways: list[tuple[int, ...]], n_keys: int, k: int) -> dict[tuple[int, ...], tuple[np.ndarray, float]]:
+    """For each combination of the keys _k0, _k1, ... the outer products of its cells' summed scores, and how many cells it has. The
+    rows are read once: grouping sets sum the scores of all combinations, and a second sum by combination leaves K by K each."""
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [F.sum(f"_g{i}").alias(f"_g{i}") for i in range(k)]
+    keys = [F.col(f"_k{i}") for i in range(n_keys)]
+    if len(ways) == 1:
+        cells = scores.groupBy(*keys).agg(*sums).withColumn("_way", F.lit(0).cast("long"))
+    else:
+        cells = scores.select(*keys, *[f"_g{i}" for i in range(k)]).groupingSets([[keys[i] for i in way] for way in ways], *keys).agg(F.grouping_id().alias("_way"), *sums)
+    found = {r["_way"]: r for r in cells.groupBy("_way").agg(F.count("*").alias("n"), *[F.sum(F.col(f"_g{i}") * F.col(f"_g{j}")).alias(f"p{i}_{j}") for i, j in pairs]).collect()}
+    out = {}
+    for way in ways:
+        # A key that is not in the combination sets its bit, the first key's the highest.
+        r, m = found[sum(1 << (n_keys - 1 - i) for i in range(n_keys) if i not in way)], np.zeros((k, k))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"p{i}_{j}"]
+        out[way] = m, float(r["n"])
+    return out
+
+
 def vcov(model, kind=None, ssc: Ssc | None = None) -> tuple[np.ndarray, float]:
     """The matrix, and the degrees of freedom of t."""
     if isinstance(kind, np.ndarray):
@@ -280,11 +301,9 @@ def vcov(model, kind=None, ssc: Ssc | None = None) -> tuple[np.ndarray, float]:
     elif req.kind == "cluster":
         scores = model.scores.withColumns({f"_k{i}": _expr(v) for i, v in enumerate(req.vars)})
         ways, sizes = [c for r in range(1, len(req.vars) + 1) for c in combinations(range(len(req.vars)), r)], {}
-        meats = {}
-        for way in ways:
-            cells = scores.groupBy(*[f"_k{i}" for i in way]).agg(*[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(k)]).withColumn("_one", F.lit(1.0))
-            g = gram(cells, [f"_g{i}" for i in range(k)] + ["_one"])
-            meats[way], sizes[way] = g[:-1, :-1], g[-1, -1]
+        meats = _meats(scores, ways, len(req.vars), k)
+        sizes = {way: n_cells for way, (_, n_cells) in meats.items()}
+        meats = {way: m for way, (m, _) in meats.items()}
         groups = min(sizes[(i,)] for i in range(len(req.vars)))
         meat = np.zeros((k, k))
         for way in ways:

@@ -217,6 +217,30 @@ def vcov_twoway(spark, d):
     return se(spark, _slope_model(spark, d), "twoway ~ s + f")
 
 
+def _ways_sql(keys: list[str], smallest: int) -> str:
+    """The clustered error of one slope: cells of all combinations of the keys, odd ones added and even ones taken away; a negative
+    sum counts as 1e-10."""
+    from itertools import combinations
+
+    ways = [w for r in range(1, len(keys) + 1) for w in combinations(keys, r)]
+    cells = " union all ".join(f"select {'' if len(w) % 2 else '-'}sum(u*u) as v from (select sum(u) as u from sc group by {', '.join(w)})" for w in ways)
+    return f""", cells as ({cells}), m as (select sum(v) as v from cells), z as (select max(b) as b, max((select v from m))*{smallest}/({smallest} - 1.0)*(max(n) - 1.0)/(max(n) - 2.0)/max(qq)/max(qq) as v from sc)
+select 'q' as term, round(b, 6) as estimate, round(sqrt(case when v < 0 then 1e-10 else v end), 7) as std_error from z"""
+
+
+_WAYS = _SCORES.replace("s, f, o, qq", "s, f, o, nr, fg as h, qq").replace("g as fg, o from t", "g as fg, o, nr from t")
+
+
+@query(_WAYS + _ways_sql(["s", "f", "nr"], 3))
+def vcov_threeway(spark, d):
+    return se(spark, _slope_model(spark, d), "threeway ~ s + f + nr")
+
+
+@query(_WAYS + _ways_sql(["s", "f", "nr", "h"], 2))
+def vcov_fourway(spark, d):
+    return se(spark, fe.feols(line(spark, d).withColumnRenamed("g", "h"), "y ~ q | s"), "fourway ~ s + f + nr + h")
+
+
 @query(_SCORES + ", k as (select o, sum(u) as u from sc group by o) select 'q' as term, round(max(b), 6) as estimate, round(sqrt((select sum(u*u) from k))/max(qq), 7) as std_error from sc")
 def vcov_no_correction(spark, d):
     return se(spark, _slope_model(spark, d), fe.cluster("o", ssc=fe.Ssc(adj=False, cluster_adj=False)))
