@@ -16,7 +16,7 @@ from ..functions import columns as C
 from ..functions.dist import t_p, t_quantile
 from ..plans.formula import Effect, Request, call, split_top
 from .absorb import DOUBT, ROUNDED, Absorbed, Block, absorb
-from .moments import drop_collinear, pseudo_inverse, usable
+from .moments import drop_collinear, usable
 
 NUMERIC = (T.NumericType, T.BooleanType)
 

@@ -364,7 +364,7 @@ def model_matrix(spark, d):
     return fe.feols(line(spark, d), "y ~ q + x").model_matrix().agg(F.round(F.sum("q"), 4).alias("q"), F.round(F.sum("x"), 4).alias("x"), F.count("*").alias("n"))
 
 
-@query()
+@query(LINE_SQL + ", k as (select q, 5.0 as k, q * 2 as q2 from t) select 'k is constant' as problem from k having min(k) = max(k) union all select 'q2 is explained by the other variables' from k having regr_r2(q2, q) > 1 - 1e-10")
 def collinear_columns(spark, d):
     m = fe.feols(line(spark, d).withColumn("k", F.lit(5.0)).withColumn("q2", F.col("q") * 2), "y ~ q + k + q2")
     return rows(spark, [(x,) for x in fe.collinearity(m)], "problem string")
