@@ -116,6 +116,14 @@ select doc_id, cast(count(*) as bigint) as n_lines, cast(sum(case when gone then
 from marked group by doc_id
 """
 
+_OP7_SQL = """
+with page as (select page_id, encode(coalesce(html, '')) as b from pages),
+known as (select page_id, cast(octet_length(b) as bigint) as payload_bytes, sha256(b) as payload_digest from page),
+first as (select payload_digest, min(page_id) as first from known where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when page_id > first then 'revisit' else 'response' end as record_type, case when page_id > first then first end as refers_to
+from known left join first using (payload_digest)
+"""
+
 _OP11_SQL = r"""
 with piece as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[.,;:!?\x0A-\x0D]')) as p from documents),
@@ -169,4 +177,4 @@ select item_id, rank, doc_id, score from ranked where rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1_SQL, "op11_collocations": _OP11_SQL, "op12_suffix_dedup": _OP12_SQL, "op13_lexical_search": _OP13_SQL}
+    return {"op1_line_dedup": _OP1_SQL, "op7_warc": _OP7_SQL, "op11_collocations": _OP11_SQL, "op12_suffix_dedup": _OP12_SQL, "op13_lexical_search": _OP13_SQL}
