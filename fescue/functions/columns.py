@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from math import floor, gcd
+from math import floor
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import dense_ranks, grid, quantiles
+
 #: A factor with more levels than this is meant as a fixed effect.
 MOST_LEVELS = 5_000
 
@@ -126,6 +129,39 @@ def ref_levels(df: DataFrame, c: Column | str, ref) -> tuple[Column, list]:
     return out, [first, *[v for v in found if v != first]]
 
 
+def orthogonal(df: DataFrame, value: Column, degree: int) -> list[Column]:
+    """Polynomials of value of degree 1 to degree that are orthogonal to each other and to a constant over the rows, with squares that
+    add up to 1 and positive leading coefficients. Each comes from the two before it by the three-term recurrence, whose numbers
+    are two sums over the rows, so there is a pass for each degree. Nulls, NaN and infinities do not count and stay what they are."""
+    rows = df.select(value.alias("v")).where("v is not null and not isnan(v) and abs(v) < double('infinity')")
+    n, centre, spread = rows.agg(F.count("*"), F.avg("v"), F.stddev_pop("v")).first()
+    if not spread:
+        raise ValueError("a polynomial needs values that differ")
+    z = (value - centre) / spread
+    rows = rows.select(((F.col("v") - centre) / spread).alias("z"))
+
+    def at(p: np.ndarray, x: Column) -> Column:
+        out = F.lit(float(p[-1]))
+        for a in p[-2::-1]:
+            out = out * x + float(a)
+        return out
+
+    before, p, size_before, size, shift = np.zeros(1), np.ones(1), 1.0, float(n), 0.0
+    out = []
+    for k in range(1, degree + 1):
+        longer = np.append(0.0, p)
+        longer[: len(p)] -= shift * p
+        longer[: len(before)] -= (size / size_before if k > 1 else 0.0) * before
+        before, p, size_before = p, longer, size
+        value_k = at(p, F.col("z"))
+        size, first = rows.agg(F.sum(value_k * value_k), F.sum(F.col("z") * value_k * value_k)).first()
+        if size < 1e-12 * n:
+            raise ValueError(f"a polynomial of degree {degree} needs more than {k} distinct values")
+        shift = first / size
+        out.append(at(p, z) / float(np.sqrt(size)))
+    return out
+
+
 def cut_points(df: DataFrame, c: Column, how: str) -> list[tuple[float, bool]]:
     """Upper bounds and whether they belong to the bin: a number of bins of equal counts, or values, q1 (quartiles) and p20
     (percentiles, by linear interpolation) that end in ] (inclusive) or [ (exclusive)."""
@@ -135,9 +171,9 @@ def cut_points(df: DataFrame, c: Column, how: str) -> list[tuple[float, bool]]:
     else:
         asked = [((m[1] or "", float(m[2])), m[3] == "]") for m in re.finditer(r"([pq]?)(-?[\d.]+)\s*([\]\[])", how if how[-1] in "[]" else how + "]")]
     shares = [v / (4 if kind == "q" else 100) for (kind, v), _ in asked if kind]
-    got = iter(df.select(F.percentile(c.cast("double"), F.array(*map(F.lit, shares)))).first()[0] if shares else [])
-    bounds = sorted({(next(got) if kind else v, inside) for (kind, v), inside in asked}, key=lambda x: (x[0], x[1]))
-    return bounds
+    got = iter(quantiles(df, c, shares) if shares else [])
+    bounds = {(next(got) if kind else v, inside) for (kind, v), inside in asked}
+    return sorted((b for b in bounds if b[0] is not None), key=lambda x: (x[0], x[1]))
 
 
 def cut_column(df: DataFrame, c: Column | str, how: str) -> Column:
@@ -183,19 +219,13 @@ class Panel:
             self.df = self.df.withColumn("_t", F.row_number().over(Window.partitionBy(self.id).orderBy(self.time)).cast("long"))
         elif step == "consecutive":
             times = self.df.select(self.time).where(F.col(self.time).isNotNull()).distinct()
-            ranks = times.withColumn("_t", F.dense_rank().over(Window.orderBy(self.time)).cast("long"))
-            self.df = self.df.join(ranks, self.time, "left")
+            self.df = self.df.join(dense_ranks(times, [self.time], "_t"), self.time, "left")
         else:
             t = F.col(self.time).cast("double") if numeric else F.unix_date(F.col(self.time)).cast("double")
             if step == "unitary":
-                found = sorted(r[0] for r in self.df.select(t.alias("t")).where("t is not null").distinct().collect())
-                gaps = [b - a for a, b in zip(found, found[1:])]
-                if any(not g.is_integer() for g in gaps):
-                    raise ValueError("a unitary step needs times that are whole numbers")
-                unit = gcd(*map(int, gaps)) if gaps else 1
+                start, unit = grid(self.df, t)
             else:
-                unit = float(step)
-            start = self.df.select(F.min(t)).first()[0] or 0.0
+                start, unit = self.df.select(F.min(t)).first()[0] or 0.0, float(step)
             place = (t - start) / unit
             if step != "unitary" and self.df.where(F.abs(place - F.round(place)) > 1e-9).limit(1).count():
                 raise ValueError(f"steps are not multiples of {unit}")

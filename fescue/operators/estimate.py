@@ -35,7 +35,10 @@ def term_columns(df: DataFrame, term: str, contrast: bool) -> list[tuple[str, Co
             ref2=C.value_list(named.get("ref2")), keep2=C.value_list(named.get("keep2")) or None, factor2=force, auto_ref=contrast and second is None,
         )
     if c and c[0] == "poly" and len(c[1]) == 2:
-        return [(f"poly({c[1][0]}, {c[1][1]}){k}", F.pow(F.expr(c[1][0]).cast("double"), F.lit(float(k)))) for k in range(1, int(c[1][1]) + 1)]
+        value, degree = F.expr(c[1][0]).cast("double"), int(c[1][1])
+        raw = c[2].get("raw", "").strip().lower() in ("true", "t")
+        made = [F.pow(value, F.lit(float(k))) for k in range(1, degree + 1)] if raw else C.orthogonal(df, value, degree)
+        return [(f"poly({c[1][0]}, {c[1][1]}){k}", p) for k, p in enumerate(made, 1)]
     if c and c[0] == "I":
         return [(term, F.expr(c[1][0]).cast("double"))]
     parts = split_top(term, ":")

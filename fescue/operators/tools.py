@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..functions.order import dense_ranks
 
 
 def n_unique(df: DataFrame, *what: str, where: dict[str, str] | None = None) -> DataFrame:
@@ -52,18 +52,29 @@ def compare_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def to_integer(df: DataFrame, *cols: str, name: str = "id") -> DataFrame:
-    """df with 1, 2, ... for the distinct values of the columns in their order; null where one of them is. Values are ranked
-    within parts of their range, so no task ranks them all."""
-    keys = df.where(~_any_null(df, list(cols))).select(F.struct(*cols).alias("key")).distinct()
-    # Written once, so that both uses see the same parts.
-    parts = cut(keys.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "keys")
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    # A row for each task that had keys.
-    first = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("key"))
-    ids = parts.withColumn("place", place).join(F.broadcast(first), "part")
-    ids = ids.select(*[F.col("key")[c].alias(c) for c in cols], (F.col("first") + F.col("place")).cast("long").alias(name))
+def dictionary(tables: list[DataFrame], *cols: str, name: str = "id", order: str | None = None) -> DataFrame:
+    """One dictionary for several tables: each combination of the columns that any of them holds, with 1, 2, ... in the order of its
+    values. With order (an expression over each table's rows, such as a time), in the order in which the combinations are first
+    seen: a table's before the next one's, the least value of order first, equal ones by their values, however the tables
+    are cut. Combinations with a null or NaN have no entry."""
+    seen = None
+    for k, df in enumerate(tables):
+        rows = df.where(~_any_null(df, list(cols)))
+        met = [F.lit(k).alias("_table")] + ([F.expr(order).alias("_when")] if order else [])
+        part = rows.select(F.struct(*cols).alias("key"), *(met if order else []))
+        seen = part if seen is None else seen.union(part)
+    if order:
+        keys = seen.groupBy("key").agg(F.min(F.struct("_table", "_when")).alias("_seen"))
+        ids = dense_ranks(keys, ["_seen", "key"], "_id")
+    else:
+        ids = dense_ranks(seen.distinct(), ["key"], "_id")
+    return ids.select(*[F.col("key")[c].alias(c) for c in cols], F.col("_id").alias(name))
+
+
+def to_integer(df: DataFrame, *cols: str, name: str = "id", order: str | None = None, items: DataFrame | None = None) -> DataFrame:
+    """df with 1, 2, ... for the distinct values of the columns in their order, or in that of their first row by order; null where one
+    of them is. items: a dictionary() that is used in place of the table's own; values that it does not hold give null."""
+    ids = dictionary([df], *cols, name=name, order=order) if items is None else items
     return df.join(ids, list(cols), "left")
 
 

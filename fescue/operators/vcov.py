@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import dense_ranks, quantiles
 from ..functions.special import great_circle_km
 from ..sources.shared import cut
 from .moments import gram
@@ -164,35 +165,58 @@ def _outer(df: DataFrame, k: int) -> np.ndarray:
     return gram(df, [f"_g{i}" for i in range(k)])
 
 
+def _blocks(cells: DataFrame, reach: int) -> DataFrame:
+    """cells in blocks of consecutive ranks; a block is also handed the reach ranks before it, whose rows are not its own."""
+    size = max(4 * reach, 1024)
+    own, last = F.floor(F.col("_rank") / size), F.floor((F.col("_rank") + reach) / size)
+    return cells.withColumn("_block", F.explode(F.sequence(own, last))).withColumn("_own", F.col("_block") == own)
+
+
 def _lagged(cells: DataFrame, k: int, lag: int, unit: list[str]) -> np.ndarray:
-    """Sum over lags, with Bartlett weights, of products of sums by (unit and) rank of period."""
-    out = _outer(cells, k)
-    names = [f"_g{i}" for i in range(k)]
-    for step in range(1, lag + 1):
-        w = Window.partitionBy(*unit).orderBy("_rank").rangeBetween(-step, -step)
-        both = cells.select(*names, *[F.first(c).over(w).alias(f"_b{c}") for c in names]).where(F.col(f"_b{names[0]}").isNotNull())
-        sums = both.agg(*[F.sum(F.col(a) * F.col(f"_b{b}")) for a in names for b in names]).first()
-        g = np.array([x or 0.0 for x in sums]).reshape(k, k)
-        out += (1 - step / (lag + 1)) * (g + g.T)
-    return out
+    """Sum over lags, with Bartlett weights, of products of sums by (unit and) rank of period. What the lags before a row weigh
+    together comes from two sums over them, of the scores and of the scores times their distance."""
+    names, out = [f"_g{i}" for i in range(k)], _outer(cells, k)
+    if lag < 1:
+        return out
+    w = Window.partitionBy(*unit, "_block").orderBy("_rank").rangeBetween(-lag, -1)
+    # Places count within the block, so that the two sums do not cancel far from the first period.
+    place = (F.col("_rank") - F.col("_block") * max(4 * lag, 1024)) / F.lit(lag + 1.0)
+    rows = _blocks(cells, lag).withColumn("_near", place)
+    before = {f"_b{c}": (1 - F.col("_near")) * F.sum(c).over(w) + F.sum(F.col(c) * F.col("_near")).over(w) for c in names}
+    both = rows.select("_own", *names, *[x.alias(c) for c, x in before.items()]).where("_own")
+    g = np.array([x or 0.0 for x in both.agg(*[F.sum(F.col(a) * F.col(f"_b{b}")) for a in names for b in names]).first()]).reshape(k, k)
+    return out + g + g.T
 
 
 def _ranked(scores: DataFrame, time: str, k: int, unit: str | None) -> tuple[DataFrame, int]:
     keys = [_expr(unit).alias("_unit")] if unit else []
     cells = scores.groupBy(*keys, _expr(time).alias("_time")).agg(*[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(k)])
-    # Periods are few; each gets its rank, so gaps in the calendar do not count.
-    ranks = cells.select("_time").distinct().withColumn("_rank", F.dense_rank().over(Window.orderBy("_time")).cast("long"))
+    # Each period gets its rank, so gaps in the calendar do not count.
+    ranks = dense_ranks(cells.select("_time").distinct(), ["_time"], "_rank")
     return cells.join(ranks, "_time"), ranks.count()
 
 
 def _bandwidth(cells: DataFrame, names: list[str], t: int) -> int:
-    """Newey and West's (1994) plug-in for the Bartlett kernel, without prewhitening; the intercept does not count."""
+    """Newey and West's (1994) plug-in for the Bartlett kernel, of scores that a first-order autoregression has whitened; the intercept
+    does not count unless it is alone.
+
+    The autoregression comes from products of neighbouring periods. Its residuals, added up over the scores, are u(t) - v(t - 1)
+    with u the sum of a period's scores and v a weighted one, so two numbers for each period are looked at further."""
     use = [f"_g{i}" for i, n in enumerate(names) if n != "(Intercept)"] or ["_g0"]
-    h = cells.select("_rank", sum((F.col(c) for c in use), F.lit(0.0)).alias("h"))
-    m = floor(4 * (t / 100) ** (2 / 9))
-    w = lambda j: Window.orderBy("_rank").rangeBetween(-j, -j)
-    got = h.select("h", *[F.first("h").over(w(j)).alias(f"h{j}") for j in range(1, m + 1)]).agg(F.sum(F.col("h") * F.col("h")), *[F.sum(F.col("h") * F.col(f"h{j}")) for j in range(1, m + 1)]).first()
-    s = [(x or 0.0) / t for x in got]
+    k, m = len(use), floor(3 * (t / 100) ** (2 / 9))
+    w = lambda j: Window.partitionBy("_block").orderBy("_rank").rangeBetween(-j, -j)
+    met = _blocks(cells.select("_rank", *use), 1).select("_own", *use, *[F.first(c).over(w(1)).alias(f"_b{c}") for c in use]).where(F.col("_own") & F.col(f"_b{use[0]}").isNotNull())
+    sums = met.agg(*[F.sum(F.col(a) * F.col(f"_b{b}")) for a in use for b in use], *[F.sum(F.col(f"_b{a}") * F.col(f"_b{b}")) for a in use for b in use]).first()
+    if sums[0] is None:
+        return 0
+    ahead, before = (np.array(sums[i : i + k * k], float).reshape(k, k) for i in (0, k * k))
+    pull = np.linalg.lstsq(before, ahead.T, rcond=None)[0].T.sum(axis=0)
+    u = sum((F.col(c) for c in use), F.lit(0.0))
+    v = sum((float(p) * F.col(c) for p, c in zip(pull, use)), F.lit(0.0))
+    rows = _blocks(cells.select("_rank", u.alias("u"), v.alias("v")), m + 1).withColumn("h", F.col("u") - F.first("v").over(w(1)))
+    late = rows.select("_own", "h", *[F.first("h").over(w(j)).alias(f"h{j}") for j in range(1, m + 1)]).where("_own")
+    got = late.agg(F.sum(F.col("h") * F.col("h")), *[F.sum(F.col("h") * F.col(f"h{j}")) for j in range(1, m + 1)]).first()
+    s = [(x or 0.0) / (t - 1) for x in got]
     s0, s1 = s[0] + 2 * sum(s[1:]), 2 * sum(j * x for j, x in enumerate(s))
     return max(0, floor(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * t ** (1 / 3))) if s0 else 0
 
@@ -222,7 +246,7 @@ def default_cutoff(points: DataFrame) -> float:
     medians added up and floored to two digits."""
     total = 0.0
     for order in (("_lat", "_lon"), ("_lon", "_lat")):
-        total += _followed(points, order).agg(F.median("d")).first()[0] or 0.0
+        total += quantiles(_followed(points, order), "d", [0.5])[0] or 0.0
     if not total:
         raise ValueError("give a cutoff")
     unit = 10 ** (floor(log10(total)) - 1)

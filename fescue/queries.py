@@ -257,6 +257,18 @@ def vcov_newey_west(spark, d):
     return se(spark, fe.feols(days, "v ~ n"), "NW(3) ~ day").where("term = 'n'")
 
 
+@query(_DAYS + """, p as (select count(*) as t, floor(3*pow(count(*)/100.0, 2/9.0)) as m from s), g as (select k, n*(v - a - b*n) as x from r, (select b, a from b)),
+a as (select sum(x.x*y.x)/sum(y.x*y.x) as a from g x join g y on x.k = y.k + 1), h as (select x.k, x.x - a*y.x as h from g x join g y on x.k = y.k + 1, a),
+c as (select x.k - y.k as j, sum(x.h*y.h) as v from h x join h y on x.k - y.k between 0 and (select m from p) group by 1),
+l as (select floor(1.1447*pow(pow(2*sum(j*v)/(2*sum(v) - sum(case when j = 0 then v else 0 end)), 2), 1/3.0)*pow((select t from p), 1/3.0)) as l from c),
+w as (select sum(case when x.k = y.k then 1 else 2*(1 - (x.k - y.k)/((select l from l) + 1)) end*x.u*y.u) as v from s x join s y on x.k - y.k between 0 and (select l from l))
+select 'n' as term, round(max(b), 6) as estimate, round(sqrt((select v from w)*max(t)/(max(t) - 1.0)*(max(t) - 1.0)/(max(t) - 2.0))/sum(qq), 7) as std_error from s""")
+def vcov_newey_west_automatic(spark, d):
+    """The lag is found from the whitened scores."""
+    days = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), (F.sum("value") / 1000).alias("v"))
+    return se(spark, fe.feols(days, "v ~ n"), "NW ~ day").where("term = 'n'")
+
+
 _PANEL = """with t as (select user_id as i, cast(ts as date) as day, count(*) as n, sum(value) / 1000 as v from events group by 1, 2), r as (select *, dense_rank() over (order by day) as k from t),
 b as (select regr_slope(v, n) as b, regr_intercept(v, n) as a, avg(n) as mn, count(*) as m, count(distinct day) as t from r), s as (select k, i, (n - mn)*(v - a - b*n) as u, (n - mn)*(n - mn) as qq, b, m, b.t as t from r, b)"""
 
@@ -575,6 +587,35 @@ def integer_ids(spark, d):
     return fe.to_integer(table(spark, d, "lineitem"), "l_returnflag", "l_suppkey").groupBy("id").agg(F.count("*").alias("n"))
 
 
+@query(LINE_SQL + ", m as (select avg(q) as a, count(*) as n from t), p as (select y, q, q - a as p1 from t, m), a as (select sum(q*p1*p1)/sum(p1*p1) as a1, sum(p1*p1) as n1 from p), r as (select y, p1, (q - a1)*p1 - n1/n as p2 from p, a, m) select '(Intercept)' as term, round(avg(y), 6) as estimate from r union all select 'poly(q, 2)1', round(sum(p1*y)/sqrt(sum(p1*p1)), 6) from r union all select 'poly(q, 2)2', round(sum(p2*y)/sqrt(sum(p2*p2)), 6) from r")
+def orthogonal_terms(spark, d):
+    return coefs(spark, fe.feols(line(spark, d), "y ~ poly(q, 2)"))
+
+
+@query(LINE_SQL + ", dm as (select q - avg(q) over (partition by s) as q, y - avg(y) over (partition by s) as y, x - avg(x) over (partition by s) as x, z - avg(z) over (partition by s) as z, y*q - avg(y*q) over (partition by s) as yq from t)" + " union all".join(f" select '{n}' as outcome, round(sum(q*{c})/sum(q*q), 6) as estimate from dm" for n, c in (("y", "y"), ("x", "x"), ("z", "z"), ("y * q", "yq"))))
+def prepared_outcomes(spark, d):
+    """Three outcomes from one reading of the rows, and one that was not prepared."""
+    p = fe.prepare(line(spark, d), "c(y, x, z) ~ q | s")
+    got = {y: p.coef(y)["q"] for y in p.outcomes} | {"y * q": p.another("y * q")["q"]}
+    return rows(spark, [(y, round(b, 6)) for y, b in got.items()], "outcome string, estimate double")
+
+
+@query(" union all ".join(f"select cast({p} as double) as share, round(cast(quantile_cont(l_extendedprice, {p}) as double), 4) as price from lineitem" for p in (0.0, 0.013, 0.25, 0.5, 0.9, 0.999, 1.0)))
+def exact_quantiles(spark, d):
+    shares = [0.0, 0.013, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = fe.quantiles(table(spark, d, "lineitem"), "l_extendedprice", shares)
+    return rows(spark, [(s, round(v, 4)) for s, v in zip(shares, got)], "share double, price double")
+
+
+@query("""with s as (select o_custkey as k, 0 as t, o_orderkey as w from orders union all select user_id, 1, event_id from events), f as (select k, min((t, w)) as w from s group by k), i as (select k, row_number() over (order by w, k) as id from f)
+select i.id, i.k, count(*) as n from orders o join i on i.k = o.o_custkey group by 1, 2""")
+def joint_ids(spark, d):
+    """Ids of the customers of two tables, in the order in which they are first met."""
+    orders, events = table(spark, d, "orders").selectExpr("o_custkey as k", "o_orderkey as w"), table(spark, d, "events").selectExpr("user_id as k", "event_id as w")
+    ids = fe.dictionary([orders, events], "k", order="w")
+    return fe.to_integer(orders, "k", items=ids).groupBy("id", "k").agg(F.count("*").alias("n"))
+
+
 @query("select count(*) as n, count(distinct l_suppkey) as suppliers, count(distinct (l_suppkey, l_returnflag)) as pairs, count(distinct case when l_quantity > 40 then l_suppkey end) as large from lineitem")
 def distinct_counts(spark, d):
     out = fe.n_unique(table(spark, d, "lineitem"), ".N", "l_suppkey", "l_suppkey^l_returnflag", "l_suppkey[large]", where={"l_suppkey[large]": "l_quantity > 40"})
