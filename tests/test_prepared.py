@@ -26,8 +26,8 @@ def test_ten_outcomes_are_absorbed_once(data, monkeypatch, effects, weights):
         alone = fe.feols(data.where("a is not null"), f"{y} ~ {'a + b' if x is None else 'b'}{effects}", weights=weights)
         assert p.coef(y, x) == pytest.approx(alone.coef, rel=1e-6)
         assert list(p.table(y, x).std_error) == pytest.approx(list(alone.coeftable("iid").std_error), rel=1e-6)
-    alone = fe.feols(data.where("a is not null"), f"y1 * b + 100 ~ a + b{effects}", weights=weights)
-    assert p.another("y1 * b + 100") == pytest.approx(alone.coef, rel=1e-6) and len(times) == 1
+    alone = fe.feols(data.where("a is not null"), f"(y1 * b + 100) ~ a + b{effects}", weights=weights)
+    assert p.another("(y1 * b + 100)") == pytest.approx(alone.coef, rel=1e-6) and len(times) == 1
 
 
 def test_what_is_not_prepared(data):
