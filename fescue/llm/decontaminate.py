@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -58,15 +60,18 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS):
         self.q, self.items, keys, who, place = q, [], [], [], []
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
         for item_id, text in items:
             c = codes(normal(text))
             if not len(c):
                 continue
             g, k = grams(c, q), int(len(c) * edits)
-            # One edit changes q grams at most. Where the bound would say nothing, fewer edits are allowed.
-            while k and len(g) - k * q < 1:
-                k -= 1
-            if not len(g):
+            if len(g) - k * q < 1:
+                # One edit changes q grams at most, so the bound says nothing here. Of k + 1 pieces, k edits leave one as it is.
+                edge = [len(c) * j // (k + 1) for j in range(k + 2)]
+                for a, b in zip(edge, edge[1:]):
+                    pieces.setdefault(b - a, []).append((int(grams(c[a:b], b - a)[0]), len(self.items), a))
+                self.items.append(Item(item_id, c, k, np.iinfo(np.int64).max))
                 continue
             keys.append(g)
             who.append(np.full(len(g), len(self.items), np.int32))
@@ -79,6 +84,8 @@ class Index:
             _, at, n = np.unique(key, return_inverse=True, return_counts=True)
             stay = np.ones(len(key), bool)
             for i, item in enumerate(self.items):
+                if item.need == np.iinfo(np.int64).max:
+                    continue
                 own = np.flatnonzero(who == i) if len(self.items) < 64 else np.arange(np.searchsorted(who, i), np.searchsorted(who, i + 1))
                 spare = own[np.argsort(-n[at[own]], kind="stable")][: int(item.need * SPARED)]
                 spare = spare[n[at[spare]] > 1]
@@ -95,6 +102,30 @@ class Index:
         self.longest = max((len(x.text) + 2 * x.edits for x in self.items), default=0)
         self.edits = np.array([x.edits for x in self.items], np.int64)
         self.need = np.array([x.need for x in self.items], np.int64)
+        self.pieces = {n: (np.array([h for h, _, _ in found], np.uint64), [(i, a) for _, i, a in found]) for n, found in ((n, sorted(x)) for n, x in pieces.items())}
+
+    def short(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of items whose bound says nothing: where a piece stands, the item is held against the text."""
+        out, starts = [], {}
+        for n, (keys, owners) in self.pieces.items():
+            g = grams(c, n)
+            first = np.searchsorted(keys, g)
+            for at in np.flatnonzero(keys[first.clip(max=len(keys) - 1)] == g).tolist():
+                k = int(first[at])
+                while k < len(keys) and keys[k] == g[at]:
+                    i, offset = owners[k]
+                    starts.setdefault(i, set()).add(at - offset)
+                    k += 1
+        for i, places in starts.items():
+            m, edits = len(self.items[i].text), self.items[i].edits
+            at = np.array(sorted(places))
+            if not edits:
+                at = at[np.all(c[at[:, None] + np.arange(m)] == self.items[i].text, axis=1)]
+                out += [(i, a, a + m, 0) for a in at.tolist()]
+            else:
+                for a in at.tolist():
+                    out += [(i, *x) for x in best(self.items[i].text, c, a, a, edits)]
+        return out
 
     def regions(self, c: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, lowest, highest diagonal) where bands share enough grams. A band of an item spans twice its allowed shift
@@ -134,18 +165,18 @@ class Index:
         return out
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
-    """(edits, end) of the best match of the whole item that ends in text, on diagonals low - most to high + most; None if it
-    takes more than most edits. Of equals the one that ends first."""
+def _last_row(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> np.ndarray:
+    """Edits that take the whole item to a part of text that ends at place low - most + len(item) + d, for each d, on diagonals
+    low - most to high + most."""
     low, high = low - most, high + most
     width, m = high - low + 1, len(item)
     padded = np.zeros(width + m + 1, np.uint32)
     a, b = max(low, 0), min(high + m + 1, len(text))
-    if b <= a:
-        return None
-    padded[a - low : b - low] = text[a:b]
     # Cell d of row i: the first i characters of the item against the text up to diagonal low + d.
     big, steps = np.int64(1 << 30), np.arange(width, dtype=np.int64)
+    if b <= a:
+        return np.full(width, big)
+    padded[a - low : b - low] = text[a:b]
     ends = steps + low
     row = np.where((ends >= 0) & (ends <= len(text)), 0, big)
     for i in range(m):
@@ -153,8 +184,30 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
         after[:-1] = np.minimum(after[:-1], row[1:] + 1)
         after = np.where((ends + i + 1 >= 0) & (ends + i + 1 <= len(text)), after, big)
         row = np.minimum.accumulate(after - steps) + steps
+    return row
+
+
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
+    """(edits, end) of the best match of the whole item that ends in text, on diagonals low - most to high + most; None if it
+    takes more than most edits. Of equals the one that ends first."""
+    row = _last_row(item, text, low, high, most)
     at = int(np.argmin(row))
-    return (int(row[at]), low + at + m) if row[at] <= most else None
+    return (int(row[at]), low - most + at + len(item)) if row[at] <= most else None
+
+
+def best(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the matches on these diagonals, the fewest edits first and of equals the one that ends first, without
+    those that end so near a better one that they must overlap it."""
+    row, m, out, taken = _last_row(item, text, low, high, most), len(item), [], []
+    for d in sorted(np.flatnonzero(row <= most).tolist(), key=lambda d: (row[d], d)):
+        e, near = low - most + d + m, bisect_left(taken, d)
+        if any(abs(x - d) < m - most for x in taken[max(0, near - 1) : near + 1]):
+            continue
+        taken.insert(near, d)
+        # Backwards from its end, the match's start is found in the same way.
+        back = text[max(0, e - m - most) : e][::-1]
+        out.append((e - align(item[::-1], back, -most, most, most)[1] if row[d] else e - m, e, int(row[d])))
+    return out
 
 
 def matches(c: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
@@ -162,23 +215,23 @@ def matches(c: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     out, step, lap = set(), CHUNK, index.longest + index.q
     for base in range(0, max(len(c), 1), step):
         part = c[base : base + step + lap]
+        found = index.short(part)
         for i, low, high in index.regions(part):
-            item = index.items[i]
-            best = align(item.text, part, low, high, item.edits)
-            if best:
-                # Backwards from its end, the match's start is found in the same way.
-                m, e = len(item.text), best[1]
-                back = part[max(0, e - m - item.edits) : e][::-1]
-                start = e - align(item.text[::-1], back, -item.edits, item.edits, item.edits)[1] if best[0] else e - m
-                out.add((item.item_id, base + start, base + e, best[0]))
+            found += [(i, *x) for x in best(index.items[i].text, part, low, high, index.items[i].edits)]
+        out |= {(i, base + start, base + end, n) for i, start, end, n in found}
         if base + step >= len(c):
             break
     # Of matches of one item that overlap, as neighbouring bands or pieces may give, the best is the match.
-    best: list[tuple[int, int, int, int]] = []
-    for m in sorted(out, key=lambda m: (m[0], m[3], m[1])):
-        if not any(b[0] == m[0] and b[1] < m[2] and m[1] < b[2] for b in best):
-            best.append(m)
-    return sorted(best)
+    kept: list[tuple[int, int, int, int]] = []
+    for i, group in groupby(sorted(out, key=lambda m: (m[0], m[3], m[1], m[2])), key=lambda m: m[0]):
+        spans: list[tuple[int, int]] = []
+        for _, start, end, n in group:
+            at = bisect_left(spans, (start, end))
+            if (at and spans[at - 1][1] > start) or (at < len(spans) and spans[at][0] < end):
+                continue
+            spans.insert(at, (start, end))
+            kept.append((index.items[i].item_id, start, end, n))
+    return sorted(kept)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -200,8 +253,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     white space as single spaces).
 
     An item of m characters within k edits of a passage shares m - q + 1 - k * q grams with it or more, on diagonals that
-    lie 2k apart at most. Items shorter than q characters are not looked for; an item for which the bound says nothing is
-    allowed fewer edits. Null and empty texts hold no items, null ids are returned as they are, and repeated rows have
+    lie 2k apart at most. Where that number is below 1 (items of fewer than q characters, or of 10 and 11 with the given
+    values), one of k + 1 pieces of the item stands in the passage unchanged, and is looked for. A text that holds an item
+    several times has a row for each; of matches of one item that overlap only the best counts. Null and empty texts hold no items, null ids are returned as they are, and repeated rows have
     their matches repeated. With an empty benchmark nothing is found. The benchmark travels in blocks of ITEM_CHARS
     characters."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -252,6 +306,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without a leak; rows without an id stay."""
-    bad = leaks(docs.where(F.col(id_col).isNotNull()), benchmark, id_col, text_col).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    """The rows of docs without a leak; rows without an id stay. Columns may have any name."""
+    bad = leaks(docs.where(F.col(id_col).isNotNull()), benchmark, id_col, text_col).select(id_col).distinct()
+    return docs.join(bad, docs[id_col] == bad[id_col], "left_anti")
