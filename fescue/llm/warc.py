@@ -149,7 +149,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list:
         fs, root = _at(self.path)
         info = fs.get_file_info(root)
-        found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root))
+        found = [info] if info.is_file else fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        # Folders of unfinished or hidden files are none of the archive's.
+        found = [x for x in found if x.path == root or not any(p.startswith(("_", ".")) for p in x.path[len(root) :].strip("/").split("/"))]
         return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith((".warc", ".warc.gz"))] or [_File("")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
@@ -174,10 +176,20 @@ _ARROW = pa.schema([*[(c, pa.string()) for c in FIELDS], ("content_length", pa.i
 
 
 def _head(data: bytes, at: int) -> dict:
-    first, *lines = data.decode("utf-8").split("\r\n")
+    """Fields by their names in lower case. A line that begins with a blank goes on with the one before; values of a field that is
+    repeated are parted by line feeds, which no value holds. Bytes that are not UTF-8 are taken as Latin-1."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        text = data.decode("latin-1")
+    first, *lines = re.sub(r"\r\n[ \t]+", " ", text).split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError(f"no record begins at byte {at}")
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    out: dict = {}
+    for k, _, v in (line.partition(":") for line in lines):
+        k, v = k.strip().lower(), v.strip()
+        out[k] = f"{out[k]}\n{v}" if k in out and k != "content-length" else v
+    return out
 
 
 def _payload(head: dict, block: bytes) -> bytes:
@@ -221,55 +233,86 @@ def records(raw, wanted=lambda head: True, payloads: bool = True, size: int = 1
         at += length + 4
 
 
-def packed_records(raw, wanted=lambda head: True, payloads: bool = True, size: int = 1 << 16) -> Iterator[tuple[dict, bytes | None]]:
-    """records() of an archive with a gzip member for each record. Of a member only as much is unpacked as its header takes,
-    and the rest if the record is wanted; where its length is told, the reader goes straight on to the next."""
-    end, at = raw.size(), 0
-    while at < end:
-        raw.seek(at)
-        start = raw.read(1 << 12)
-        length, unpack, data, read = _member_length(start), zlib.decompressobj(31), b"", len(start)
-        held = unpack.decompress(start)
-        data += held
-
-        def more() -> bool:
-            nonlocal data, read
-            if unpack.eof or at + read >= end:
+class _Unpacked:
+    """What the gzip members of a file hold, as one run of bytes. told: how long the member is that the bytes at hand began with, if
+    its header says so."""
+
+    def __init__(self, raw, size: int):
+        self.raw, self.size, self.data, self.unpack = raw, size, bytearray(), None
+        self.at, self.told, self.read = 0, None, 0
+
+    def more(self) -> bool:
+        """More bytes in data; False at the end of the file. A torn member raises ValueError."""
+        if self.unpack is not None and not self.unpack.eof:
+            if not (got := self.raw.read(self.size)):
+                raise ValueError(f"the member at byte {self.at} does not end")
+        else:
+            got = self.unpack.unused_data if self.unpack is not None else b""
+            start = self.read - len(got)
+            if len(got) < 1 << 12:
+                new = self.raw.read(1 << 12)
+                self.read += len(new)
+                got += new
+            if not got:
                 return False
-            got = raw.read(size)
-            read += len(got)
-            data += unpack.decompress(got)
+            self.told = None if self.data else _member_length(got)
+            self.at, self.unpack = start, zlib.decompressobj(31)
+            self.data += self.unpack.decompress(got)
             return True
+        self.read += len(got)
+        self.data += self.unpack.decompress(got)
+        return True
 
-        while (stop := data.find(b"\r\n\r\n")) < 0:
-            if not more():
-                raise ValueError(f"a header that begins in the member at byte {at} does not end")
-        head = _head(data[:stop], at)
-        need = int(head["content-length"])
-        if wanted(head):
-            block = None
-            if payloads:
-                parts = [data]
-                have = len(data)
-                while have < stop + 4 + need:
-                    data = b""
-                    if not more():
-                        raise ValueError(f"the block in the member at byte {at} does not end")
-                    parts.append(data)
-                    have += len(data)
-                block = _payload(head, b"".join(parts)[stop + 4 : stop + 4 + need])
-            yield head, block
-        if length is None:
-            while not unpack.eof:
-                data = b""
-                if not more() and not unpack.eof:
-                    raise ValueError(f"the member at byte {at} does not end")
-            length = read - len(unpack.unused_data)
-        at += length
+    def leave(self) -> None:
+        """On to the next member, without reading the rest of this one."""
+        self.read = self.at + self.told
+        self.raw.seek(self.read)
+        self.unpack, self.told = None, None
+        self.data.clear()
+
+
+def packed_records(raw, wanted=lambda head: True, payloads: bool = True, size: int = 1 << 16) -> Iterator[tuple[dict, bytes | None]]:
+    """records() of an archive of gzip members. As a rule each record has a member of its own, but a member may hold several records, and a
+    record may go on in the next member. Of a record that is not wanted the block is unpacked but not kept; where a member tells
+    its length, as those of this module's writer do, it holds one record and the reader goes straight on to the next."""
+    raw.seek(0)
+    held = _Unpacked(raw, size)
+    while True:
+        # Records end in two line ends.
+        blank = 0
+        while blank < len(held.data) and held.data[blank] in b"\r\n":
+            blank += 1
+        del held.data[:blank]
+        if not held.data:
+            if not held.more():
+                return
+            continue
+        while (stop := held.data.find(b"\r\n\r\n")) < 0:
+            if not held.more():
+                raise ValueError(f"a header that begins in the member at byte {held.at} does not end")
+        head = _head(bytes(held.data[:stop]), held.at)
+        del held.data[: stop + 4]
+        need, want = int(head["content-length"]), wanted(head)
+        if want and payloads:
+            while len(held.data) < need:
+                if not held.more():
+                    raise ValueError(f"the block in the member at byte {held.at} does not end")
+            yield head, _payload(head, bytes(held.data[:need]))
+        elif want:
+            yield head, None
+        if held.told is not None:
+            held.leave()
+            continue
+        while need > len(held.data):
+            need -= len(held.data)
+            held.data.clear()
+            if not held.more():
+                raise ValueError(f"the block in the member at byte {held.at} does not end")
+        del held.data[:need]
 
 
 class WarcSource(DataSource):
-    """Format warc. Reading: path (a folder or file of .warc or .warc.gz files), payload=false to leave blocks unread. Writing: columns of
+    """Format warc. Reading: path (a .warc or .warc.gz file, or a folder that holds such at any depth), payload=false to leave blocks unread. Writing: columns of
     FIELDS, headers and payload, any of them but record_type and record_id missing; mode append into a new folder;
     compression gzip (a member for each record) or none."""
 
