@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 #: The generator's multiplier, as the paper has it.
 STEP = 2862933555777941757
@@ -41,14 +42,17 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     The id and the number of shards decide the shard; with one more shard a row stays or moves into the new one
     (grown_shard). size: the text's UTF-8 bytes (null: none) plus 8. slot: the row's place in its shard, from 0 without
     gaps, in the order of a hash of id and checksum, then id, size and checksum; rows equal in all of them are alike, so
-    it does not matter which comes first. A null id stands for 0 and comes before 0.
+    it does not matter which comes first. A null id stands for 0 and comes before 0. Ids that are no numbers are placed by
+    their 64-bit hash.
 
     Only ids, sizes and checksums are shuffled. Rows are numbered within PARTS parts of a shard, and the parts' offsets
     (shards times PARTS rows at most) are added."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    numbers = isinstance(docs.schema[id_col].dataType, NumericType)
+    key = F.col(id_col) if numbers else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.lit(5), F.col(id_col)))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(8).cast("long")).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        jump_shard(F.col(id_col), shards).alias("shard"), jump_shard(F.col(id_col), shards + 1).alias("grown_shard"),
+        jump_shard(key, shards).alias("shard"), jump_shard(key, shards + 1).alias("grown_shard"),
         F.pmod(F.xxhash64(F.lit(3), F.col(id_col), F.crc32(F.encode(text, "UTF-8"))), F.lit(PARTS)).cast("int").alias("_part"),
     )
     counts = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
