@@ -17,6 +17,7 @@ from ..functions import special
 from ..sources.shared import cut
 from .absorb import absorb
 from .estimate import Model, Sample, fit, level_counts, sample
+from .fixed_point import solve_effects
 from .levels import solve_levels
 
 
@@ -114,12 +115,14 @@ class _State:
         return _State(names, np.array([(mine.get(n, 0.0) + was.get(n, 0.0)) / 2 for n in names]), tables)
 
 
-def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, start: _State | None = None, fe_tol: float = 1e-10, levels: bool = False) -> Model:
-    """IRLS. levels: the coefficients of a single effect are solved for after each turn, given the others', so that steps are taken on
-    the likelihood that is concentrated on these; without it that begins where ten halvings of a step do not help."""
-    single = len(s.blocks) == 1 and not s.blocks[0].unit
-    if levels and not single:
-        raise ValueError("levels are solved for where there is one effect without slopes")
+def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, start: _State | None = None, fe_tol: float = 1e-10, levels: bool | None = False) -> Model:
+    """IRLS. levels: the coefficients of the effects are solved for after each turn, given the regressors', so that steps are taken on
+    the likelihood that is concentrated on these; without it that begins where ten halvings of a step do not help. One
+    effect has its levels' roots, several are found by sweeps. None: where there are effects, all without slopes."""
+    plain = bool(s.blocks) and not any(b.unit for b in s.blocks)
+    levels = plain if levels is None else levels
+    if levels and not plain:
+        raise ValueError("levels are solved for where there are effects, and none has slopes")
     w = F.col(s.weight) if s.weight else F.lit(1.0)
     # The turns read what the fit needs, kept where it fits and worked out again where it is lost.
     base, sizes = s.df.select(*[c for c in s.df.columns if re.fullmatch(r"_([ywo]|[xf]\d+|s\d+_\d+)", c)]).persist(StorageLevel.MEMORY_AND_DISK), None
@@ -135,9 +138,14 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
 
     def solved(state: _State) -> _State:
         known = _State(state.names, state.beta, []).predictor(s, base)
-        return _State(state.names, state.beta, [(state.tables[0][0], solve_levels(known, s.blocks[0].key, family, w))])
-
-    old_dev, state, model, done = None, start, None, False
+        if len(s.blocks) == 1:
+            return _State(state.names, state.beta, [(state.tables[0][0], solve_levels(known, s.blocks[0].key, family, w))])
+        held = {blocks[0].key: blocks for blocks, _ in state.tables}
+        found, sweeps = solve_effects(known, list(held), family, w, {blocks[0].key: t for blocks, t in state.tables})
+        counted.append(sweeps)
+        return _State(state.names, state.beta, [(held[k], t) for k, t in found.items()])
+
+    old_dev, state, model, done, counted = None, start, None, False, []
     for turn in range(most):
         before = state
         model = fit(s, family.name, weight="_irls", y="_z", rows=working(at(before, base)), sizes=sizes, dispersion=1.0, fe_tol=fe_tol)
@@ -146,7 +154,7 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
         tables = model.effect_tables()
         tables = tables if len(tables) < 2 else [(blocks, cut(t, "effects")) for blocks, t in tables]
         after = _State(model.names, model.beta, tables)
-        for attempt in range(20 if single else 10):
+        for attempt in range(20 if plain else 10):
             if levels or attempt == 10:
                 levels = True
                 after = solved(after)
@@ -164,7 +172,7 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
         warnings.warn(f"the {family.name} fit has not settled after {turn + 1} turns: deviance {old_dev}", stacklevel=2)
     # All columns again, at the predictor that the last regression was made at.
     model.rows = working(at(before, s.df)).withColumn("_one", F.lit(1.0))
-    model.stats |= {"deviance": old_dev, "turns": turn + 1, "converged": done, "working_ssr": model.ssr}
+    model.stats |= {"deviance": old_dev, "turns": turn + 1, "converged": done, "working_ssr": model.ssr, "sweeps": sum(counted)}
     model.beta = np.array([dict(zip(state.names, state.beta)).get(n, 0.0) for n in model.names])
     final = state
     model.stats["state"] = final
@@ -236,7 +244,7 @@ def _with_theta(s: Sample, model: Model, state: _State, theta: float) -> None:
     model.own_scores = scores
 
 
-def fenegbin_fit(s: Sample, tol: float = 1e-8, most: int = 30, bounds: tuple[float, float] = (1e-3, 1e4)) -> Model:
+def fenegbin_fit(s: Sample, tol: float = 1e-8, most: int = 30, bounds: tuple[float, float] = (1e-3, 1e4), levels: bool | None = False) -> Model:
     """Coefficients given theta by IRLS and theta given the means by Newton steps, in turn, until neither moves. Standard errors
     are those of the observed information of all parameters, theta among them."""
     w = F.col(s.weight) if s.weight else F.lit(1.0)
@@ -244,7 +252,7 @@ def fenegbin_fit(s: Sample, tol: float = 1e-8, most: int = 30, bounds: tuple[flo
     theta = max(m[0] ** 2 / max((m[1] or 0.0) - m[0], 1e-4), 0.05)
     state, model, settled = None, None, False
     for _ in range(most):
-        model = feglm_fit(s, negbin(theta), start=state)
+        model = feglm_fit(s, negbin(theta), start=state, levels=levels)
         state = model.stats["state"]
         df, before = state.predictor(s, s.df), theta
         for _ in range(20):

@@ -145,9 +145,11 @@ def first_stages(model: Model) -> dict[str, Model]:
     return out
 
 
-def feglm(df: DataFrame, formula: str, family="gaussian", *, glm_tol: float = 1e-8, glm_iter: int = 25, fixef_rm: str = "perfect", **kw) -> Model | ModelSet:
+def feglm(df: DataFrame, formula: str, family="gaussian", *, glm_tol: float = 1e-8, glm_iter: int = 25, fixef_rm: str = "perfect", levels: bool | None = False, **kw) -> Model | ModelSet:
+    """Generalised linear models. levels: the effects' coefficients are solved for in every turn, given the regressors'
+    (None: where no effect has slopes)."""
     fam = resolve(family)
-    return run(df, formula, lambda s: feglm_fit(s, fam, glm_tol, glm_iter), fixef_rm=fixef_rm, family=fam.name, **kw)
+    return run(df, formula, lambda s: feglm_fit(s, fam, glm_tol, glm_iter, levels=levels), fixef_rm=fixef_rm, family=fam.name, **kw)
 
 
 def fepois(df: DataFrame, formula: str, **kw) -> Model | ModelSet:
@@ -159,12 +161,14 @@ def felogit(df: DataFrame, formula: str, **kw) -> Model | ModelSet:
 
 
 def femlm(df: DataFrame, formula: str, family: str = "poisson", **kw) -> Model | ModelSet:
-    """Maximum likelihood for poisson, logit, gaussian and negbin; the first three have their optimum where IRLS has it."""
-    return fenegbin(df, formula, **kw) if family == "negbin" else feglm(df, formula, family, **kw)
+    """Maximum likelihood for poisson, logit, gaussian and negbin. Effects without slopes are concentrated out: every step is one
+    of the likelihood at the effects that are best for the regressors' coefficients."""
+    levels = kw.pop("levels", None)
+    return fenegbin(df, formula, levels=levels, **kw) if family == "negbin" else feglm(df, formula, family, levels=levels, **kw)
 
 
-def fenegbin(df: DataFrame, formula: str, *, fixef_rm: str = "perfect", **kw) -> Model | ModelSet:
-    return run(df, formula, fenegbin_fit, fixef_rm=fixef_rm, family="negbin", **kw)
+def fenegbin(df: DataFrame, formula: str, *, fixef_rm: str = "perfect", levels: bool | None = False, **kw) -> Model | ModelSet:
+    return run(df, formula, lambda s: fenegbin_fit(s, levels=levels), fixef_rm=fixef_rm, family="negbin", **kw)
 
 
 def fenmlm(df: DataFrame, formula: str, nl: str, start: dict, family: str = "gaussian", **kw) -> Model:
