@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.order import dense_ranks, quantiles
 from ..functions.special import great_circle_km
-from ..sources.shared import cut
+from ..sources.shared import cut, uncut
 from .moments import gram
 
 #: Kilometres of a degree of latitude, of a mile, and the sphere's radius that the kernel uses.
 DEGREE, MILE, RADIUS = 111.0, 1.60934, 6376.0
+#: Cells that a box of the cutoff's size is cut into, each way.
+FINE = 16
 
 
 @dataclass(frozen=True)
@@ -253,30 +255,71 @@ def default_cutoff(points: DataFrame) -> float:
     return floor(total / unit) * unit
 
 
-def _near(cells: DataFrame, k: int, cut: float, distance: str) -> np.ndarray:
-    """Sum of products of the scores of all places within cut kilometres. Places are dealt into bands of latitude and, in a band,
-    into boxes that are as wide as cut where a degree of longitude is shortest, so a place meets nine boxes, not all others."""
-    step = cut / DEGREE
-    band = lambda lat: F.floor(lat / step)
-    # The widest that cut can be in degrees of longitude anywhere in a band and its neighbours.
+def _boxes(reach: float):
+    """Functions of columns: the band of a latitude, and the place of a longitude in boxes of that band, as real numbers. A band is
+    reach high, and a box as wide as reach is where a degree of longitude is shortest in the band or its neighbours."""
+    step = reach / DEGREE
     edge = lambda b: F.least(F.greatest(F.abs(b - 1), F.abs(b + 2)) * step, F.lit(89.5))
-    box = lambda lon, b: F.floor(lon / (step / F.cos(F.radians(edge(b)))))
-    names = [f"_g{i}" for i in range(k)]
-    left = cells.withColumn("_band", band(F.col("_lat"))).withColumn("_box", box(F.col("_lon"), F.col("_band")))
-    turned = F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)))
-    right = cells.select("_lat", turned.alias("_turn"), "_lon", *names).withColumn("_lon", F.col("_lon") + F.col("_turn")).where((F.col("_turn") == 0) | (F.abs("_lon") < 360))
-    right = right.withColumn("_band", F.explode(F.array(*[band(F.col("_lat")) + d for d in (-1, 0, 1)])))
-    right = right.withColumn("_box", F.explode(F.array(*[box(F.col("_lon"), F.col("_band")) + d for d in (-1, 0, 1)])))
-    right = right.select("_band", "_box", F.col("_lat").alias("_lat2"), F.col("_lon").alias("_lon2"), *[F.col(c).alias(f"_b{c}") for c in names])
-    dlat, dlon = F.col("_lat") - F.col("_lat2"), F.col("_lon") - F.col("_lon2")
+    return (lambda lat: lat / step), (lambda lon, b: lon / (step / F.cos(F.radians(edge(b)))))
+
+
+def _apart(low: dict, high: dict, distance: str) -> tuple[Column, Column]:
+    """Least and largest distance between two rectangles, of latitudes and longitudes from low to high, in degrees (spherical: in
+    kilometres); the same number for two points. Longitudes count up to half a turn."""
+    spread = lambda c: (low[c][0] - high[c][1], high[c][0] - low[c][1])
+    (south, north), (west, east) = spread("lat"), spread("lon")
+    lat = F.greatest(F.lit(0.0), south, -north), F.greatest(F.abs(south), F.abs(north))
+    lon = F.greatest(F.lit(0.0), west, -east), F.least(F.greatest(F.abs(west), F.abs(east)), F.lit(180.0))
+
+    def cosines(a: Column, b: Column) -> tuple[Column, Column]:
+        ends = F.cos(F.radians(a)), F.cos(F.radians(b))
+        return F.least(*ends), F.when((a <= 0) & (b >= 0), 1.0).otherwise(F.greatest(*ends))
+
     if distance == "spherical":
-        within = great_circle_km(F.col("_lat"), F.col("_lon"), F.col("_lat2"), F.col("_lon2"), RADIUS) <= cut
-    else:
-        shrink = F.cos(F.radians((F.col("_lat") + F.col("_lat2")) / 2))
-        within = F.pow(dlat, F.lit(2.0)) + F.pow(shrink * dlon, F.lit(2.0)) <= step**2
-    met = left.join(right, ["_band", "_box"]).where(within & (F.abs(dlon) <= 180))
-    sums = met.agg(*[F.sum(F.col(a) * F.col(f"_b{b}")) for a in names for b in names]).first()
-    return np.array([x or 0.0 for x in sums]).reshape(k, k)
+        one, two = (cosines(low["lat"][k], high["lat"][k]) for k in (0, 1))
+        half = lambda x: F.pow(F.sin(F.radians(x) / 2), F.lit(2.0))
+        return tuple(2 * RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), half(lat[k]) + one[k] * two[k] * half(lon[k])))) for k in (0, 1))
+    shrink = cosines((low["lat"][0] + low["lat"][1]) / 2, (high["lat"][0] + high["lat"][1]) / 2)
+    return tuple(F.sqrt(lat[k] * lat[k] + F.pow(shrink[k] * lon[k], F.lit(2.0))) for k in (0, 1))
+
+
+def _near(places: DataFrame, k: int, reach: float, distance: str) -> np.ndarray:
+    """Sum of products of the scores of all places within reach kilometres.
+
+    Places are dealt into bands of latitude and boxes of a band, so that one meets nine boxes, and in these into FINE by FINE
+    cells. Of two cells that lie within reach as wholes only the sums of scores meet, and of two that lie beyond it nothing does.
+    Places meet places only in pairs of cells that reach goes through, the rim. What is said of a cell are the bounds of
+    the places in it, so a cell with one place is never at the rim of another such."""
+    band, box = _boxes(reach)
+    names, at = [f"_g{i}" for i in range(k)], ["_band", "_box", "_i", "_j"]
+    limit = F.lit(float(reach if distance == "spherical" else reach / DEGREE))
+    part = lambda x, whole: F.floor((x - whole) * FINE).cast("int")
+    dealt = places.withColumn("_band", F.floor(band(F.col("_lat"))))
+    dealt = dealt.withColumn("_box", F.floor(box(F.col("_lon"), F.col("_band"))))
+    dealt = cut(dealt.withColumns({"_i": part(band(F.col("_lat")), F.col("_band")), "_j": part(box(F.col("_lon"), F.col("_band")), F.col("_box"))}), "places")
+    bounds = {f"_{c}{e}": f(f"_{c}") for c in ("lat", "lon") for e, f in (("0", F.min), ("1", F.max))}
+    cells = cut(dealt.groupBy(*at).agg(*[c.alias(n) for n, c in bounds.items()], *[F.sum(c).alias(c) for c in names]), "cells")
+    turned = cells.withColumn("_turn", F.explode(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0))))
+    turned = turned.withColumns({c: F.col(c) + F.col("_turn") for c in ("_lon0", "_lon1")}).where((F.col("_turn") == 0) | ((F.col("_lon0") < 360) & (F.col("_lon1") > -360)))
+    right = turned.select(*[F.col(c).alias("_r" + c) for c in [*at, *bounds, *names, "_turn"]])
+    right = right.withColumn("_band", F.explode(F.array(*[F.col("_r_band") + d for d in (-1, 0, 1)])))
+    # The boxes of that band that the cell's two ends come to, and their neighbours.
+    ends = [F.floor(box(F.col(c), F.col("_band"))) for c in ("_r_lon0", "_r_lon1")]
+    right = right.withColumn("_box", F.explode(F.sequence(ends[0] - 1, ends[1] + 1)))
+    sides = [{c: (F.col(f"_{c}{e}"), F.col(f"_r_{c}{e}")) for c in ("lat", "lon")} for e in ("0", "1")]
+    least, most = _apart(*sides, distance)
+    far = F.greatest(F.col("_lon1") - F.col("_r_lon0"), F.col("_r_lon1") - F.col("_lon0"))
+    met = cells.join(right, ["_band", "_box"]).where((least <= limit) & (F.greatest(F.col("_lon0") - F.col("_r_lon1"), F.col("_r_lon0") - F.col("_lon1")) <= 180))
+    inside = (most <= limit) & (far <= 180)
+    whole = met.where(inside).agg(*[F.sum(F.col(a) * F.col(f"_r{b}")) for a in names for b in names]).first()
+    rim = met.where(~inside).select(*at, *[f"_r{c}" for c in [*at, "_turn"]])
+    other = dealt.select(*[F.col(c).alias("_r" + c) for c in [*at, "_lat", "_lon", *names]])
+    pairs = rim.join(dealt, at).join(other, [f"_r{c}" for c in at]).withColumn("_r_lon", F.col("_r_lon") + F.col("_r_turn"))
+    exact = {c: (F.col(f"_{c}"), F.col(f"_r_{c}")) for c in ("lat", "lon")}
+    pairs = pairs.where((_apart(exact, exact, distance)[1] <= limit) & (F.abs(F.col("_lon") - F.col("_r_lon")) <= 180))
+    points = pairs.agg(*[F.sum(F.col(a) * F.col(f"_r{b}")) for a in names for b in names]).first()
+    uncut(dealt, cells)
+    return np.array([(a or 0.0) + (b or 0.0) for a, b in zip(whole, points)]).reshape(k, k)
 
 
 def _meats(scores: DataFrame, ways: list[tuple[int, ...]], n_keys: int, k: int) -> dict[tuple[int, ...], tuple[np.ndarray, float]]:
@@ -351,8 +394,8 @@ def vcov(model, kind=None, ssc: Ssc | None = None) -> tuple[np.ndarray, float]:
             lat = F.floor(lat / size) * size + size / 2
             lon = F.floor(lon / size) * size + size / 2
         cells = model.scores.groupBy(lat.alias("_lat"), lon.alias("_lon")).agg(*[F.sum(f"_g{i}").alias(f"_g{i}") for i in range(k)])
-        cut = cutoff_km(req.cutoff) if req.cutoff is not None else default_cutoff(cells.select("_lat", "_lon"))
-        v = bread @ _near(cells, k, cut, req.distance) @ bread
+        reach = cutoff_km(req.cutoff) if req.cutoff is not None else default_cutoff(cells.select("_lat", "_lon"))
+        v = bread @ _near(cells, k, reach, req.distance) @ bread
     v = v * adj
     if (np.diag(v) < 0).any():
         values, vectors = np.linalg.eigh((v + v.T) / 2)

@@ -289,12 +289,12 @@ def vcov_newey_west_panel(spark, d):
     return se(spark, fe.feols(_panel(spark, d), "v ~ n"), "NW(2) ~ i + day").where("term = 'n'")
 
 
-_PLACES = """with t as (select c_acctbal / 1000 as y, cast(c_custkey % 13 as double) as x, cast((c_custkey * 37) % 600 as double) / 10 - 30 as lat, cast((c_custkey * 53) % 1500 as double) / 10 - 75 as lon from customer),
+_PLACES = """with t as (select c_acctbal / 1000 as y, cast(c_custkey % 13 as double) as x, cast((cast(c_custkey as bigint) * 7919) % 6007 as double) / 100 - 30 as lat, cast((cast(c_custkey as bigint) * 104729) % 15013 as double) / 100 - 75 as lon from customer),
 b as (select regr_slope(y, x) as b, regr_intercept(y, x) as a, avg(x) as mx, count(*) as n from t), s as (select lat, lon, (x - mx)*(y - a - b*x) as u, (x - mx)*(x - mx) as qq, b, n from t, b)"""
 
 
 def _places(spark, d):
-    return table(spark, d, "customer").selectExpr("c_acctbal / 1000 as y", "cast(c_custkey % 13 as double) as x", "cast((c_custkey * 37) % 600 as double) / 10 - 30 as lat", "cast((c_custkey * 53) % 1500 as double) / 10 - 75 as lon")
+    return table(spark, d, "customer").selectExpr("c_acctbal / 1000 as y", "cast(c_custkey % 13 as double) as x", "cast((cast(c_custkey as bigint) * 7919) % 6007 as double) / 100 - 30 as lat", "cast((cast(c_custkey as bigint) * 104729) % 15013 as double) / 100 - 75 as lon")
 
 
 @query(_PLACES + """, w as (select sum(p.u*q.u) as v from s p, s q where (p.lat - q.lat)*(p.lat - q.lat) + pow(cos(radians((p.lat + q.lat)/2))*(p.lon - q.lon), 2) <= pow(200.5/111.0, 2))
@@ -451,6 +451,17 @@ def poisson_one_effect(spark, d):
     return m.fitted().groupBy("s").agg(F.sum("fitted").alias("v")).agg(F.round(F.sum("v"), 4).alias("fitted"), F.count("*").alias("levels"))
 
 
+@query(LINE_SQL + """ select 's' as part, cast(s as varchar) as level, round(cast(sum(c) as double), 4) as fitted from t group by s union all select 'f', f, round(cast(sum(c) as double), 4) from t group by f
+union all select 'q', null, round(sum(q*c), 4) from t""")
+def poisson_two_effects(spark, d):
+    """What makes a Poisson fit with two effects the likelihood's maximum: fitted values add up to the outcomes in every level of both,
+    and with the regressor they make the same products."""
+    m = fe.femlm(line(spark, d), "c ~ q | s + f", glm_tol=1e-12)
+    fitted = m.fitted()
+    by = lambda k: fitted.groupBy(F.lit(k).alias("part"), F.col(k).cast("string").alias("level")).agg(F.round(F.sum("fitted"), 4).alias("fitted"))
+    return by("s").union(by("f")).union(fitted.agg(F.round(F.sum(F.col("q") * F.col("fitted")), 4).alias("fitted")).select(F.lit("q"), F.lit(None).cast("string"), "fitted"))
+
+
 @query()
 def probit(spark, d):
     return coefs(spark, fe.feglm(line(spark, d), "hit ~ x", "probit"))

@@ -22,7 +22,7 @@ def plain(v):
     return None if pd.isna(v) else round(float(v), 5) + 0.0 if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
 
-QUICK = ["ols_multi", "wls", "feols_1fe", "feols_2fe", "slopes_fe", "split_sample", "vcov_cluster", "vcov_twoway", "vcov_newey_west_panel", "vcov_conley", "fit_statistics", "iv_sargan", "poisson_saturated", "panel_lags", "cut_quartiles", "stream_ols", "flagship"]
+QUICK = ["ols_multi", "wls", "feols_1fe", "feols_2fe", "slopes_fe", "split_sample", "vcov_cluster", "vcov_twoway", "vcov_newey_west_panel", "vcov_conley", "vcov_conley_spherical", "poisson_two_effects", "fit_statistics", "iv_sargan", "poisson_saturated", "panel_lags", "cut_quartiles", "stream_ols", "flagship"]
 
 
 @pytest.mark.parametrize("name", QUICK)
