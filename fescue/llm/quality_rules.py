@@ -15,8 +15,8 @@ BUCKETS = 1 << BUCKET_BITS
 SCALE = 10_000
 #: N-grams of the corpus's own mixture that are added to a bucket in both counts, so that rare ones weigh little.
 SMOOTHING = 60.0
-#: Trusted documents that the target model is fitted on: the first so many by a hash of the id. Their ids are broadcast.
-TRUSTED = 200_000
+#: Trusted ids up to which they are broadcast; more meet the texts in a shuffled join. All of them count either way.
+BROADCAST = 200_000
 #: Least mean log-likelihood ratio of a kept document's n-grams.
 LEAST_RATIO = -0.12
 
@@ -73,12 +73,12 @@ def bucket_weights(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_i
     """One row, weights: for every bucket the log of its share among trusted documents' n-grams over its share among all,
     as a whole number of SCALE parts, so that sums do not depend on their order.
 
-    The counts of all are over the whole corpus; those of the target are over TRUSTED trusted documents at most, as a fit
-    of labelled rows. They are summed before they are shuffled, so BUCKETS rows a task at most move. With no trusted document all
-    weights are 0."""
+    Both counts are whole: those of all are over every document, those of the target over every trusted one. They are summed
+    before they are shuffled, so BUCKETS rows a task at most move. With no trusted document all weights are 0."""
     flags = trusted_ids.select(F.col(id_col).alias("_tid")).where("_tid is not null").distinct()
-    flags = flags.orderBy(F.xxhash64("_tid"), "_tid").limit(TRUSTED).withColumn("_t", F.lit(1))
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(flags), F.col("_id") == F.col("_tid"), "left")
+    few = flags.limit(BROADCAST + 1).count() <= BROADCAST
+    flags = flags.withColumn("_t", F.lit(1)).hint("broadcast" if few else "merge")
+    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(flags, F.col("_id") == F.col("_tid"), "left")
     # A row for each word and the one after it, then one for the word and one for both; all of it in generated code.
     said = text.select(F.coalesce("_t", F.lit(0)).alias("_t"), words(F.col("_text")).alias("_a")).withColumn("_b", F.slice("_a", 2, F.greatest(F.size("_a"), F.lit(1))))
     said = said.select("_t", F.explode_outer(F.arrays_zip("_a", "_b")).alias("x")).where("x is not null")
