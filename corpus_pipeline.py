@@ -42,8 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, Jaccard similarity 0.8 or more, every link verified) the document with
-    the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id. Candidates are texts whose SimHash fingerprints differ in 4
+    bits or fewer, and those that share a min-hash band; every link is verified (5-word shingles, Jaccard similarity 0.8 or more)."""
     return keep_one(docs).select(*docs.columns)
 
 

@@ -1,4 +1,5 @@
-"""Near copies of whole documents: Jaccard similarity of word shingles, candidates by min-hash bands, every link verified."""
+"""Near copies of whole documents: Jaccard similarity of word shingles, candidates by SimHash fingerprints and by min-hash bands,
+every link verified."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from ._common import components, cut, released, shield, uncut
 from .substring_dedup import SHINGLE, shingles
 
@@ -16,6 +18,8 @@ from .substring_dedup import SHINGLE, shingles
 SIMILAR = 0.8
 #: Bands of ROWS min-hashes: a pair at the threshold shares one with a probability of 1 - (1 - 0.8 ** 6) ** 24 = 0.9993.
 BANDS, ROWS = 24, 6
+#: Bits in which the SimHash fingerprints of two linked sets differ at most.
+BITS = 4
 #: Members of a band's bucket in a block; one task compares the members of two blocks at a time.
 BLOCK = 512
 
@@ -43,21 +47,42 @@ def bands(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set: 64 bits, each 1 where it is 1 in over half of the shingles' hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 15):
+        ones += np.unpackbits(found[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found)).view(np.int64)[0])
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """id, node (a hash of the set) and keys (of the bands) for every row of docs (id, text)."""
+    """id, node (a hash of the set), fp (its fingerprint) and keys (of the bands) for every row of docs (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            node, keys = [], []
+            node, fp, keys = [], [], []
             for t in batch.column(1).cast(pa.binary()):
                 found = shingle_set(t.as_py() or b"")
                 node.append(xxhash.xxh64_intdigest(found.tobytes()))
+                fp.append(fingerprint(found))
                 keys.append(bands(found).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "fp", "keys"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, node long, fp long, keys array<long>")
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, node long, keys array<long>")
+
+def by_fingerprints(nodes: DataFrame) -> DataFrame:
+    """nodes (node, id, fp, keys) with one more key: that of the component of fingerprints, linked where they differ in BITS bits or
+    fewer, which the node's is in. Members of a component meet as those of a band's bucket do."""
+    fps = cut(nodes.select("fp").distinct(), "fingerprints")
+    edges = cut(simhash.links(fps, BITS), "near_fingerprints")
+    of = components(edges).select(F.col("node").alias("fp"), "label")
+    own = F.xxhash64(F.lit("simhash"), F.coalesce("label", "fp"))
+    out = cut(nodes.join(of, "fp", "left").select("node", "id", F.concat("keys", F.array(own)).alias("keys")), "nodes")
+    uncut(fps, edges)
+    return out
 
 
 def _sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -144,7 +169,7 @@ def _blocks(known: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """u, v: links that join the nodes (node, id, keys) of which two share a band and are similar, as all such pairs would. Only
-    nodes that share a band have their sets worked out, from the texts (id, text), and written.
+    nodes that share a key (a band, or a component of fingerprints) have their sets worked out, from the texts (id, text), and written.
 
     Each member of a bucket is first compared with the bucket's smallest. Then every two members of a bucket that are not
     in one component yet are, in blocks: a block's sets are read once, compared within the task, and only links that join
@@ -170,14 +195,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of docs that stand for their group of near copies: of each group one text, that with the smallest id (of several
     the first by a hash of its shingles and of itself), in one row; and every row without an id. Two texts are near copies if
     the sets of their SHINGLE-word shingles (A-Z in lower case, any white space as one space) have a Jaccard similarity of
-    SIMILAR or more; groups are what such pairs connect. Different texts that share an id are different documents: each stays
+    SIMILAR or more; groups are what such pairs connect. Pairs are looked for by SimHash fingerprints and, as most pairs near
+    the threshold differ in more bits than BITS, by min-hash bands too. Different texts that share an id are different documents: each stays
     unless its own group has another that stands for it. An empty table gives none. Other columns pass unchanged; of rows
     equal in id and text one stays."""
     docs, back = shield(docs, id_col, text_col)
     named = docs.where(F.col(id_col).isNotNull())
     texts = named.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("x")).alias("id"), F.col(text_col).alias("text"))
     signatures = cut(_signatures(texts), "signatures")
-    nodes = cut(signatures.groupBy("node").agg(F.first("keys").alias("keys"), F.min("id").alias("id")), "nodes")
+    nodes = cut(signatures.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("id").alias("id")), "nodes")
+    plain, nodes = nodes, by_fingerprints(nodes)
+    uncut(plain)
     found = links(nodes, texts)
     reach = components(found).select("node", "label")
     label = nodes.select("node", "id").join(reach, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
