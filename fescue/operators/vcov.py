@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from math import floor, inf, log10
 
@@ -324,19 +325,22 @@ def _near(places: DataFrame, k: int, reach: float, distance: str) -> np.ndarray:
 
 def _meats(scores: DataFrame, ways: list[tuple[int, ...]], n_keys: int, k: int) -> dict[tuple[int, ...], tuple[np.ndarray, float]]:
     """For each combination of the keys _k0, _k1, ... the outer products of its cells' summed scores, and how many cells it has. The
-    rows are read once: grouping sets sum the scores of all combinations, and a second sum by combination leaves K by K each."""
+    rows are read once, into sums by all keys together; each combination sums these on its own, so that no task holds the cells of
+    several, and leaves K by K."""
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = [F.sum(f"_g{i}").alias(f"_g{i}") for i in range(k)]
-    keys = [F.col(f"_k{i}") for i in range(n_keys)]
-    if len(ways) == 1:
-        cells = scores.groupBy(*keys).agg(*sums).withColumn("_way", F.lit(0).cast("long"))
-    else:
-        cells = scores.select(*keys, *[f"_g{i}" for i in range(k)]).groupingSets([[keys[i] for i in way] for way in ways], *keys).agg(F.grouping_id().alias("_way"), *sums)
+    names = [f"_g{i}" for i in range(k)]
+    sums = [F.sum(c).alias(c) for c in names]
+    finest = scores.groupBy(*[f"_k{i}" for i in range(n_keys)]).agg(*sums)
+    if len(ways) > 1:
+        finest = cut(finest, "cells")
+    each = [finest.groupBy(*[f"_k{i}" for i in way]).agg(*sums).select(F.lit(n).alias("_way"), *names) for n, way in enumerate(ways)]
+    cells = reduce(DataFrame.union, each)
     found = {r["_way"]: r for r in cells.groupBy("_way").agg(F.count("*").alias("n"), *[F.sum(F.col(f"_g{i}") * F.col(f"_g{j}")).alias(f"p{i}_{j}") for i, j in pairs]).collect()}
+    if len(ways) > 1:
+        uncut(finest)
     out = {}
-    for way in ways:
-        # A key that is not in the combination sets its bit, the first key's the highest.
-        r, m = found[sum(1 << (n_keys - 1 - i) for i in range(n_keys) if i not in way)], np.zeros((k, k))
+    for n, way in enumerate(ways):
+        r, m = found[n], np.zeros((k, k))
         for i, j in pairs:
             m[i, j] = m[j, i] = r[f"p{i}_{j}"]
         out[way] = m, float(r["n"])
