@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dist import t_p
+from ..sources.shared import cut
 from .estimate import Model
 from .models import feols
 
@@ -29,7 +30,10 @@ def sunab(df: DataFrame, formula: str, cohort: str, period: str, ref_p: list[int
     """feols with a 0/1 column for each treated cohort and relative period (Sun and Abraham, 2021).
 
     formula: outcome ~ other terms | effects. Never treated cohorts and those in ref_c are the reference, the relative periods
-    ref_p are left out, and the rows of always treated cohorts are dropped. Columns are named period::r:cohort::c."""
+    ref_p are left out, and the rows of always treated cohorts are dropped. Columns are named period::r:cohort::c.
+
+    The rows are written once, as all passes of the fit read them and what they come from may be dear."""
+    df = cut(df, "panel")
     kinds = cohorts(df, cohort, period).collect()
     always = [r["cohort"] for r in kinds if r["always"]]
     treated = sorted(r["cohort"] for r in kinds if not r["never"] and not r["always"] and r["cohort"] not in ref_c)
