@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import exp, lgamma, log
 
 import numpy as np
@@ -14,13 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..sources.shared import cut
+from ..sources.shared import cut, uncut
 from .absorb import absorb
 from .estimate import Model, Sample, fit, level_counts, sample
 from .fixed_point import solve_effects
 from .levels import solve_levels
 
 
+#: Rows for each combination of regressors, offset and effects from which on a fit reads sums by combination.
+MERGED = 2.0
+
+
 @dataclass(frozen=True)
 class Family:
     """Columns for columns: mean from predictor, its slope, variance, unit deviance, log-likelihood, first mean."""
@@ -115,24 +119,56 @@ class _State:
         return _State(names, np.array([(mine.get(n, 0.0) + was.get(n, 0.0)) / 2 for n in names]), tables)
 
 
-def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, start: _State | None = None, fe_tol: float = 1e-10, levels: bool | None = False) -> Model:
+def _merged(s: Sample, family: Family | None) -> DataFrame | None:
+    """One row for each combination of regressors, offset and effects, in two passes over the rows; None where rows share too little.
+
+    The families are exponential ones: given the mean, a row's score is linear in its outcome, so that a fit needs the mean outcome (_y)
+    and the weight (_w) of a combination. What a deviance or a likelihood has beside those of the mean outcome does not depend on the
+    fit; _c, _l and _ss, sums at one fixed mean and of squares, tell it. Without a family the outcome is part of the combination."""
+    w, y = F.col(s.weight) if s.weight else F.lit(1.0), F.col("_y")
+    keys = [c for c in s.df.columns if re.fullmatch(r"_(o|[xf]\d+|s\d+_\d+)", c)] + ["_y"] * (family is None)
+    count = F.sum("_rows_") if "_rows_" in s.df.columns else F.count("*")
+    found = s.df.agg(F.approx_count_distinct(F.xxhash64(*keys)), F.count("*")).first()
+    if found[0] * MERGED > found[1]:
+        return None
+    sums = [F.sum(w).alias("_w"), count.alias("_rows_")]
+    if family is not None:
+        mean = family.inverse(F.lit(0.0))
+        likelihood = family.likelihood(y, mean) if family.likelihood else F.lit(0.0)
+        sums += [(F.sum(w * y) / F.sum(w)).alias("_mean"), F.sum(w * family.deviance(y, mean)).alias("_c"), F.sum(w * likelihood).alias("_l"), F.sum(w * y * y).alias("_ss")]
+    out = s.df.groupBy(*keys).agg(*sums)
+    return cut(out if family is None else out.withColumnRenamed("_mean", "_y"), "merged")
+
+
+def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, start: _State | None = None, fe_tol: float = 1e-10, levels: bool | None = False, shown: Sample | None = None) -> Model:
     """IRLS. levels: the coefficients of the effects are solved for after each turn, given the regressors', so that steps are taken on
     the likelihood that is concentrated on these; without it that begins where ten halvings of a step do not help. One
-    effect has its levels' roots, several are found by sweeps. None: where there are effects, all without slopes."""
+    effect has its levels' roots, several are found by sweeps. None: where there are effects, all without slopes. Where many rows
+    share their regressors, offset and effects, turns read sums by combination of these. shown: the sample that the model is of, where s
+    has sums of its rows."""
     plain = bool(s.blocks) and not any(b.unit for b in s.blocks)
     levels = plain if levels is None else levels
     if levels and not plain:
         raise ValueError("levels are solved for where there are effects, and none has slopes")
-    w = F.col(s.weight) if s.weight else F.lit(1.0)
-    # The turns read what the fit needs, kept where it fits and worked out again where it is lost.
-    base, sizes = s.df.select(*[c for c in s.df.columns if re.fullmatch(r"_([ywo]|[xf]\d+|s\d+_\d+)", c)]).persist(StorageLevel.MEMORY_AND_DISK), None
+    shown, sizes = shown or s, None
+    base = _merged(s, family) if most > 1 and (FAMILIES.get(family.name) is family or family.name == "negbin") else None
+    if merged := base is not None:
+        sizes, w = level_counts(replace(s, df=base)), F.col("_w")
+    else:
+        # The turns read what the fit needs, kept where it fits and worked out again where it is lost.
+        base, w = s.df.select(*[c for c in s.df.columns if re.fullmatch(r"_([ywo]|rows_|[xf]\d+|s\d+_\d+)", c)]).persist(StorageLevel.MEMORY_AND_DISK), F.col(s.weight) if s.weight else F.lit(1.0)
+    # Deviance, log-likelihood and sum of squares within the combinations.
+    y, at0, within = F.col("_y"), family.inverse(F.lit(0.0)), (0.0, 0.0, 0.0)
+    if merged:
+        likelihood = family.likelihood(y, at0) if family.likelihood else F.lit(0.0)
+        within = [x or 0.0 for x in base.agg(F.sum(F.col("_c") - w * family.deviance(y, at0)), F.sum(F.col("_l") - w * likelihood), F.sum(F.col("_ss") - w * y * y)).first()]
     off = F.col("_o") if s.offset else F.lit(0.0)
 
     def at(state: _State | None, rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("_eta", family.link(family.start(F.col("_y")))) if state is None else state.predictor(s, rows)
         return rows.withColumns({"_mu": family.inverse(F.col("_eta")), "_slope": family.slope(F.col("_eta"))})
 
-    def working(rows: DataFrame) -> DataFrame:
+    def working(rows: DataFrame, w: Column = w) -> DataFrame:
         mu, slope = F.col("_mu"), F.col("_slope")
         return rows.withColumns({"_irls": w * slope * slope / family.variance(mu), "_z": F.col("_eta") - off + (F.col("_y") - mu) / slope}).where("_irls > 0")
 
@@ -159,7 +195,7 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
                 levels = True
                 after = solved(after)
             df = at(after, base)
-            dev = df.agg(F.sum(w * family.deviance(F.col("_y"), F.col("_mu")))).first()[0]
+            dev = df.agg(F.sum(w * family.deviance(F.col("_y"), F.col("_mu"))) + within[0]).first()[0]
             if dev is not None and np.isfinite(dev) and (old_dev is None or dev <= old_dev * (1 + 1e-10) + 1e-10) or state is None:
                 break
             after = after.halfway(state)
@@ -171,25 +207,29 @@ def feglm_fit(s: Sample, family: Family, tol: float = 1e-8, most: int = 25, star
     if not done:
         warnings.warn(f"the {family.name} fit has not settled after {turn + 1} turns: deviance {old_dev}", stacklevel=2)
     # All columns again, at the predictor that the last regression was made at.
-    model.rows = working(at(before, s.df)).withColumn("_one", F.lit(1.0))
+    model.rows = working(at(before, shown.df), F.col(shown.weight) if shown.weight else F.lit(1.0)).withColumn("_one", F.lit(1.0))
+    model.sample = shown
+    if merged:
+        model.ssr += working(at(before, base)).agg(F.sum((F.col("_ss") - w * y * y) / family.variance(F.col("_mu")))).first()[0] or 0.0
     model.stats |= {"deviance": old_dev, "turns": turn + 1, "converged": done, "working_ssr": model.ssr, "sweeps": sum(counted)}
     model.beta = np.array([dict(zip(state.names, state.beta)).get(n, 0.0) for n in model.names])
     final = state
     model.stats["state"] = final
-    cells = df.agg(F.count("*"), F.sum(w), F.sum(w * F.col("_y")), F.sum(w * (F.col("_y") - F.col("_mu")) ** 2)).first()
+    rows = F.sum("_rows_") if "_rows_" in base.columns else F.count("*")
+    cells = df.agg(rows, F.sum(w), F.sum(w * F.col("_y")), F.sum(w * (F.col("_y") - F.col("_mu")) ** 2) + max(within[2], 0.0)).first()
     model.n, model.stats["sum_w"], model.stats["mean_y"], model.ssr = int(cells[0]), cells[1], cells[2] / cells[1], cells[3]
     if not family.fixed:
         model.sigma2 = _dispersion(model)
     mean = F.lit(model.stats["mean_y"])
     if family.likelihood:
-        got = df.agg(F.sum(w * family.likelihood(F.col("_y"), F.col("_mu"))), F.sum(w * family.likelihood(F.col("_y"), mean))).first()
+        got = df.agg(F.sum(w * family.likelihood(F.col("_y"), F.col("_mu"))) + within[1], F.sum(w * family.likelihood(F.col("_y"), mean)) + within[1]).first()
         model.stats |= {"ll": got[0], "ll_null": got[1]}
     else:
-        got = df.agg(F.sum(w * family.deviance(F.col("_y"), mean))).first()
+        got = df.agg(F.sum(w * family.deviance(F.col("_y"), mean)) + within[0]).first()
         n = cells[1]
         ll = lambda d: -n / 2 * (log(2 * np.pi * d / n) + 1)
         model.stats |= {"ll": ll(old_dev), "ll_null": ll(got[0])} if family.name == "gaussian" else {"ll": float("nan"), "ll_null": float("nan")}
-    base.unpersist()
+    uncut(base) if merged else base.unpersist()
     model.effect_tables = lambda: final.tables  # type: ignore[method-assign]
     model._mean = lambda eta: family.inverse(eta)  # type: ignore[method-assign]
     return model
@@ -209,28 +249,35 @@ def theta_step(df: DataFrame, w: Column, theta: float) -> tuple[float, float, fl
     return tuple(got)
 
 
-def _with_theta(s: Sample, model: Model, state: _State, theta: float) -> None:
+def _with_theta(s: Sample, sums: Sample, model: Model, state: _State, theta: float) -> None:
     """The model's matrices from the observed information of coefficients, effects and theta together, which the effects are
     concentrated out of: they follow the regressors and theta, as far as a weighted regression on them tells.
 
     With weights -d2l/deta2 and z the derivative of the score wrt theta over these weights, what theta shares with the other
-    parameters are the products of z with them; what the effects leave of z and of the regressors comes from one absorption."""
-    w, y, t = F.col(s.weight) if s.weight else F.lit(1.0), F.col("_y"), F.lit(float(theta))
+    parameters are the products of z with them; what the effects leave of z and of the regressors comes from one absorption, of sums, the rows put together by outcome and regressors. The
+    scores are those of the rows of s."""
+    y, t = F.col("_y"), F.lit(float(theta))
     mu = F.exp(F.col("_eta"))
     part = mu + t
-    rows = state.predictor(s, s.df).withColumns({"_obs": w * (y + t) * mu * t / (part * part), "_shift": mu * (y - mu) / (part * part)})
-    rows = rows.withColumns({"_zt": w * F.col("_shift") / F.col("_obs"), "_z": F.col("_eta") - (F.col("_o") if s.offset else F.lit(0.0)) + w * (y - mu) * t / part / F.col("_obs")})
+    weight = lambda q: F.col(q.weight) if q.weight else F.lit(1.0)
+
+    def observed(q: Sample) -> DataFrame:
+        w = weight(q)
+        rows = state.predictor(q, q.df).withColumns({"_obs": w * (y + t) * mu * t / (part * part), "_shift": mu * (y - mu) / (part * part)})
+        return rows.withColumns({"_zt": w * F.col("_shift") / F.col("_obs"), "_z": F.col("_eta") - (F.col("_o") if q.offset else F.lit(0.0)) + w * (y - mu) * t / part / F.col("_obs")})
+
+    rows, w = observed(sums), weight(s)
     again = fit(s, "negbin", weight="_obs", y="_z", rows=rows, sizes=model.sizes, dispersion=1.0)
     cols = ["_zt", *[f"_x{s.x.index(n)}" for n in again.names]]
     a = absorb(rows, s.blocks, cols, "_obs")
-    _, curve, _ = theta_step(rows, w, theta)
+    _, curve, _ = theta_step(rows, weight(sums), theta)
     information = a.gram.copy()
     information[0, 1:] *= -1
     information[1:, 0] *= -1
     information[0, 0] = -curve - (a.raw[0, 0] - a.gram[0, 0])
     v = np.linalg.inv(information)
     model.names, model.beta, model.combo, model.resid, model.absorbed = again.names, again.beta, again.combo, again.resid, again.absorbed
-    model.rows, model.weight, model.z, model.collinear, model.bread = again.rows, "_obs", "_z", again.collinear, v[1:, 1:]
+    model.rows, model.weight, model.z, model.collinear, model.bread = observed(s).withColumn("_one", F.lit(1.0)), "_obs", "_z", again.collinear, v[1:, 1:]
     model.stats |= {"theta": theta, "theta_se": float(np.sqrt(v[0, 0])) if v[0, 0] > 0 else float("nan"), "theta_share": v[1:, 0]}
     grad = special.digamma(y + t) - special.digamma(t) + F.log(t) + 1 - F.log(part) - (y + t) / part
 
@@ -246,32 +293,38 @@ def _with_theta(s: Sample, model: Model, state: _State, theta: float) -> None:
 
 def fenegbin_fit(s: Sample, tol: float = 1e-8, most: int = 30, bounds: tuple[float, float] = (1e-3, 1e4), levels: bool | None = False) -> Model:
     """Coefficients given theta by IRLS and theta given the means by Newton steps, in turn, until neither moves. Standard errors
-    are those of the observed information of all parameters, theta among them."""
-    w = F.col(s.weight) if s.weight else F.lit(1.0)
-    m = s.df.agg(F.avg("_y"), F.var_samp("_y")).first()
+    are those of the observed information of all parameters, theta among them. All turns read sums by outcome, regressors, offset and
+    effects, or, where few rows share these, what the fit needs of the rows, written once."""
+    base = _merged(s, None)
+    if base is None:
+        base = cut(s.df.select(*[c for c in s.df.columns if re.fullmatch(r"_([yo]|[xf]\d+|s\d+_\d+)", c)], (F.col(s.weight) if s.weight else F.lit(1.0)).alias("_w")).withColumn("_rows_", F.lit(1).cast("long")), "rows")
+    sums, w, rows = replace(s, df=base, weight="_w"), F.col("_w"), F.col("_rows_")
+    m = base.agg(F.sum(rows * F.col("_y")) / F.sum(rows), F.sum(rows)).first()
+    m = (m[0], base.agg(F.sum(rows * (F.col("_y") - m[0]) ** 2)).first()[0] / max(m[1] - 1, 1))
     theta = max(m[0] ** 2 / max((m[1] or 0.0) - m[0], 1e-4), 0.05)
     state, model, settled = None, None, False
     for _ in range(most):
-        model = feglm_fit(s, negbin(theta), start=state, levels=levels)
+        model = feglm_fit(sums, negbin(theta), start=state, levels=levels, shown=s)
         state = model.stats["state"]
-        df, before = state.predictor(s, s.df), theta
+        df, before = cut(state.predictor(sums, base).select("_y", "_w", "_eta"), "means"), theta
         for _ in range(20):
             grad, curve, ll = theta_step(df, w, theta)
             move = grad * theta / -(curve * theta * theta + grad * theta) if curve * theta * theta + grad * theta < 0 else np.sign(grad) * 0.5
             theta = float(min(max(theta * exp(max(min(move, 1.5), -1.5)), bounds[0]), bounds[1]))
             if abs(move) < 1e-7 or theta in bounds:
                 break
+        _, curve, ll = theta_step(df, w, theta)
+        uncut(df)
         if settled := abs(theta - before) < tol * (1 + theta) * 100:
             break
     if not settled:
         warnings.warn(f"theta has not settled after {most} turns: {theta}", stacklevel=2)
-    _, curve, ll = theta_step(df, w, theta)
     model.kind = "negbin"
     model.stats |= {"theta": theta, "ll": ll, "theta_se": float("nan"), "converged": settled and model.stats["converged"]}
     if theta not in bounds:
-        _with_theta(s, model, state, theta)
+        _with_theta(s, sums, model, state, theta)
     y0 = {"mean": model.stats["mean_y"]}
-    null = s.df.withColumn("_eta", F.log(F.lit(y0["mean"])))
+    null = cut(base.groupBy("_y").agg(F.sum(w).alias("_w")).withColumn("_eta", F.log(F.lit(y0["mean"]))), "outcomes")
     t0 = theta
     for _ in range(50):
         grad, c0, ll0 = theta_step(null, w, t0)
@@ -280,6 +333,7 @@ def fenegbin_fit(s: Sample, tol: float = 1e-8, most: int = 30, bounds: tuple[flo
         if abs(move) < 1e-7 or t0 in bounds:
             break
     model.stats["ll_null"] = theta_step(null, w, t0)[2]
+    uncut(null)
     model.nparams += 1
     return model
 
@@ -288,8 +342,6 @@ def fenl(df: DataFrame, formula_rhs: str, start: dict[str, float], request, fami
     """A part that is not linear in its parameters: formula_rhs is a Spark SQL expression in which the names of start stand for
     numbers. Every turn takes numeric derivatives as columns and fits them with the other regressors and the effects by
     weighted least squares; a turn that does not lower the deviance is halved. A parameter at a bound has no standard error."""
-    from dataclasses import replace
-
     fam, names = resolve(family), list(start)
     lower, upper = lower or {}, upper or {}
     value = lambda p: F.expr(re.sub(r"\b(" + "|".join(map(re.escape, names)) + r")\b", lambda m: f"CAST({p[m[1]]!r} AS DOUBLE)", formula_rhs))
