@@ -7,10 +7,13 @@ where a result has rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ DOUBT = 1e-6
 SUMMED, ROUNDED = 1e-13, 1e-12
 #: Levels of all effects but the largest up to which they are solved for exactly on the driver.
 DENSE = 1_200
+#: Rows of a block that stays where it is while effects are solved for in turns, and fewest rows that are worth a block.
+CELLS, FEWEST = 1 << 19, 20_000
 
 
 @dataclass(frozen=True)
@@ -102,7 +107,7 @@ def _absorb(df: DataFrame, blocks: list[Block], cols: list[str], weight: str | N
         out = _one(df, blocks, cols, raw)
     else:
         out = None if any(b.unit for b in blocks) else _exact(df, keys, cols, raw, dense)
-        out = out or _iterated(df, blocks, cols, raw, tol, most)
+        out = out or _iterated(df, blocks, cols, raw, n, tol, most)
     out.rows = n
     return out
 
@@ -216,11 +221,124 @@ def _exact(df: DataFrame, keys: list[str], cols: list[str], raw: np.ndarray, den
     return Absorbed(raw - means - b.T @ a, raw, tables, cols, levels=levels)
 
 
-def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarray, tol: float, most: int) -> Absorbed:
-    """Conjugate gradients on the effects' normal equations, scaled by their diagonal, for all columns at once. Vectors are tables
-    with a row for each coefficient; a turn joins them with the rows' keys, sums by key and writes one table. Raises
-    RuntimeError where the goal is not met."""
-    m, w, slopes = len(cols), F.col("_wt"), any(b.unit for b in blocks)
+def _local(df: DataFrame, blocks: list[Block], keys: list[str], own: str | None, cols: list[str], parts: int) -> DataFrame:
+    """The rows dealt into blocks by ranges of the first key, in which levels have numbers of their own. Of a block the table has its
+    combinations of levels (k is -1: weight d, the levels' numbers c, with slopes each row and its units u) and its part of every level
+    (k tells the effect: number code, key, weight d, sums b). All rows of a level of own lie in one block, and the others' sums are
+    less what the means of own explain. Where nothing is taken out a level may be in several blocks."""
+    m, units, key_of, limit = len(cols), [k for k, b in enumerate(blocks) if b.unit], [b.key for b in blocks], 4 * CELLS
+    sums = ["d", *[f"b{i}" for i in range(m)]]
+    by = [F.col(keys[0])] if own else [F.col(keys[0]), F.xxhash64(*keys, *cols, *[blocks[k].unit for k in units])]
+    dealt = df.select(*keys, "_wt", *cols, *[blocks[k].unit for k in units if blocks[k].unit not in cols]).repartitionByRange(parts, *by)
+    w = F.col("_wt")
+    named = dealt.select(
+        *[F.col(k).cast("string").alias(f"c{j}") for j, k in enumerate(keys)], w.alias("d"), *[(w * F.col(c)).alias(f"b{i}") for i, c in enumerate(cols)],
+        *[F.col(blocks[k].unit).cast("double").alias(f"u{k}") for k in units],
+    )
+    names = [f"c{j}" for j in range(len(keys))]
+    fields = [("block", pa.int32()), ("k", pa.int32()), ("code", pa.int32()), ("key", pa.string()), *[(x, pa.float64()) for x in sums], *[(x, pa.int32()) for x in names], *[(f"u{k}", pa.float64()) for k in units]]
+    schema = pa.schema(fields)
+
+    def filled(n: int, **have) -> pa.Table:
+        return pa.table([pa.array(have[f.name], f.type) if f.name in have else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def merged(held: list) -> pa.Table:
+        every = pa.Table.from_batches(held) if isinstance(held[0], pa.RecordBatch) else pa.concat_tables([x if isinstance(x, pa.Table) else pa.Table.from_batches([x]) for x in held])
+        if units:
+            return every
+        return every.group_by(names).aggregate([(x, "sum") for x in sums]).rename_columns([*names, *sums])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size, most = TaskContext.get().partitionId(), [], 0, limit
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size > most and not units:
+                # Rows of equal levels become one, so that what is held is as long as there are combinations.
+                held = [merged(held)]
+                size, most = held[0].num_rows, max(limit, 2 * held[0].num_rows)
+        if not held:
+            return
+        t = merged(held)
+        n, codes, values = t.num_rows, {}, {}
+        for j, key in enumerate(keys):
+            told = t.column(f"c{j}").combine_chunks().dictionary_encode()
+            codes[key], values[key] = told.indices.to_numpy(), told.dictionary
+        d = t.column("d").to_numpy()
+        b = [t.column(f"b{i}").to_numpy() for i in range(m)]
+        u = {k: t.column(f"u{k}").to_numpy() for k in units}
+        yield from filled(n, block=np.full(n, block), k=np.full(n, -1), d=d, **{f"c{j}": codes[key] for j, key in enumerate(keys)}, **{f"u{k}": x for k, x in u.items()}).to_batches(1 << 16)
+        total = {}
+        if own:
+            at = codes[own]
+            total["d"] = np.bincount(at, d)
+            left = []
+            for i in range(m):
+                total[f"b{i}"] = np.bincount(at, b[i])
+                mean = np.divide(total[f"b{i}"], total["d"], out=np.zeros_like(total["d"]), where=total["d"] > 0)
+                left.append(b[i] - d * mean[at])
+            b, k = left, key_of.index(own)
+            yield from filled(len(total["d"]), block=np.full(len(total["d"]), block), k=np.full(len(total["d"]), k), code=np.arange(len(total["d"])), key=values[own], **total).to_batches(1 << 16)
+        for k, key in enumerate(key_of):
+            if key == own:
+                continue
+            at, unit, size = codes[key], u.get(k, 1.0), len(values[key])
+            part = {"d": np.bincount(at, d * unit * unit, size), **{f"b{i}": np.bincount(at, b[i] * unit, size) for i in range(m)}}
+            yield from filled(size, block=np.full(size, block), k=np.full(size, k), code=np.arange(size), key=values[key], **part).to_batches(1 << 16)
+
+    kinds = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double"}
+    return named.mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+
+
+def _passes(blocks: list[Block], keys: list[str], taken: int, m: int):
+    """What a block's task does with its cells and the coefficients met (k, key, code, p) of their levels: turn() gives the sums by level
+    (k, key, q) of what the coefficients say, less its means by level of effect taken; means() gives these (block, code, t)."""
+    column, slope = [f"c{keys.index(b.key)}" for b in blocks], [bool(b.unit) for b in blocks]
+
+    def share(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.divide(x, d, out=np.zeros_like(x), where=d > 0)
+
+    def said(cells: pd.DataFrame, met: pd.DataFrame) -> tuple[list, list, np.ndarray, np.ndarray]:
+        codes = [cells[c].to_numpy() for c in column]
+        units = [cells[f"u{k}"].to_numpy() if x else 1.0 for k, x in enumerate(slope)]
+        t = np.zeros((m, len(cells)))
+        for k, part in met.groupby("k"):
+            x, code = np.zeros(codes[k].max() + 1), part["code"].to_numpy()
+            for i in range(m):
+                x[code] = part[f"p{i}"].to_numpy()
+                t[i] += units[k] * x[codes[k]]
+        return codes, units, cells["d"].to_numpy(), t
+
+    def turn(cells: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        codes, units, d, t = said(cells, met)
+        if taken >= 0:
+            at = codes[taken]
+            total = np.bincount(at, d)
+            for i in range(m):
+                t[i] -= share(np.bincount(at, d * t[i]), total)[at]
+        out = [pd.DataFrame({"k": [], "key": [], **{f"q{i}": [] for i in range(m)}})] if met.empty else []
+        for k, part in met.groupby("k"):
+            code = part["code"].to_numpy()
+            out.append(part[["k", "key"]].assign(**{f"q{i}": np.bincount(codes[k], d * units[k] * t[i], code.max() + 1)[code] for i in range(m)}))
+        return pd.concat(out)
+
+    def means(cells: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        codes, _, d, t = said(cells, met)
+        total = np.bincount(codes[taken], d)
+        return pd.DataFrame({"block": np.full(len(total), cells["block"].iloc[0]), "code": np.arange(len(total)), **{f"t{i}": share(np.bincount(codes[taken], d * t[i]), total) for i in range(m)}})
+
+    return turn, means
+
+
+def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarray, n: int, tol: float, most: int) -> Absorbed:
+    """Conjugate gradients on the effects' normal equations, scaled by their diagonal, for all columns at once. Without slopes the
+    effect with the most levels is taken out by its means, and the vectors are tables with a row for each coefficient of the
+    others; with slopes, for each coefficient. The rows are read into blocks once (_local), which stay where they are: a turn
+    sends each block the coefficients of the levels that it has, gets its sums by level back and writes one table. So a turn
+    shuffles a row for each level in each block, never the rows. Raises RuntimeError where the goal is not met."""
+    m, w, slopes, spark = len(cols), F.col("_wt"), any(b.unit for b in blocks), df.sparkSession
     level = next((k for k, b in enumerate(blocks) if not b.unit), None)
     shift = [0.0] * m
     if level is not None:
@@ -228,16 +346,27 @@ def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarr
         shift = [x or 0.0 for x in df.agg(*[F.sum(w * F.col(c)) / F.sum(w) for c in cols]).first()]
         df = df.withColumns({c: F.col(c) - x for c, x in zip(cols, shift)})
     centred = gram(df, cols, "_wt")
-    unit = [F.col(b.unit) if b.unit else F.lit(1.0) for b in blocks]
-    long = [F.struct(F.lit(k).alias("k"), F.col(b.key).cast("string").alias("key"), unit[k].alias("u")) for k, b in enumerate(blocks)]
-    first = df.select("_wt", *cols, F.explode(F.array(*long)).alias("x")).select("x.*", "_wt", *cols)
-    start = first.groupBy("k", "key").agg(F.sum(w * F.col("u") * F.col("u")).alias("d"), *[F.sum(w * F.col("u") * F.col(c)).alias(f"b{i}") for i, c in enumerate(cols)]).where("d > 0")
+    keys = list(dict.fromkeys(b.key for b in blocks))
+    found = df.agg(*[F.approx_count_distinct(k).alias(k) for k in keys]).first()
+    keys = sorted(keys, key=lambda k: -found[k])
+    own = None if slopes else keys[0]
+    parts = max(1, -(-n // CELLS), min(spark.sparkContext.defaultParallelism, n // FEWEST))
+    whole = cut(_local(df, blocks, keys, own, cols, parts), "keys")
+    cells = whole.where("k = -1").select("block", "d", *[f"c{j}" for j in range(len(keys))], *[f"u{k}" for k, b in enumerate(blocks) if b.unit])
+    cells = cells.repartition(parts, "block").sortWithinPartitions("block").persist()
+    # Of the effect that is taken out; -1 where none is.
+    taken = next((k for k, b in enumerate(blocks) if b.key == own), -1)
+    parted = whole.where(f"k >= 0 and k <> {taken}")
+    sums = [F.sum(x).alias(x) for x in ("d", *[f"b{i}" for i in range(m)])]
+    start = parted.groupBy("k", "key").agg(*sums).where("d > 0")
     v = cut(start.select("k", "key", "d", *[f"b{i}" for i in range(m)], *[F.col(f"b{i}").alias(f"r{i}") for i in range(m)], *[(F.col(f"b{i}") / F.col("d")).alias(f"p{i}") for i in range(m)], *[F.lit(0.0).alias(f"x{i}") for i in range(m)]), "vectors")
-    keep = list(dict.fromkeys(b.key for b in blocks))
-    rows = df.select("_wt", *keep, *[b.unit for b in blocks if b.unit]).withColumns({k: F.col(k).cast("string") for k in keep})
-    if not slopes:
-        rows = rows.groupBy(*keep).agg(F.sum("_wt").alias("_wt"))
-    rows = cut(rows, "keys")
+    places = cut(parted.select("k", "key", "block", "code"), "places")
+    turn, means = _passes(blocks, keys, taken, m)
+
+    def through(of: str, run, schema: str) -> DataFrame:
+        sent = v.select("k", "key", *[F.col(f"{of}{i}").alias(f"p{i}") for i in range(m)]).join(places, ["k", "key"])
+        return cells.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(run, schema)
+
     rr = v.agg(*[F.sum(F.col(f"r{i}") * F.col(f"r{i}") / F.col("d")).alias(f"z{i}") for i in range(m)]).first()
     now = np.array([rr[i] or 0.0 for i in range(m)])
     # What is a trillionth of a column or less is rounding error, whatever share of it the effects explain.
@@ -246,12 +375,7 @@ def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarr
     while (now > goal).any() and turns < most:
         if turns > PATIENCE and close(best[-1]).all() and (best[-1] > 0.5 * best[-1 - PATIENCE])[now > goal].all():
             break
-        t = rows
-        for k, b in enumerate(blocks):
-            p = v.where(F.col("k") == k).select(F.col("key").alias(b.key), *[F.col(f"p{i}").alias(f"p{k}_{i}") for i in range(m)])
-            t = t.join(p, b.key)
-        t = t.select("_wt", F.explode(F.array(*long)).alias("x"), *[sum((unit[k] * F.col(f"p{k}_{i}") for k in range(len(blocks))), F.lit(0.0)).alias(f"t{i}") for i in range(m)])
-        q = t.groupBy("x.k", "x.key").agg(*[F.sum(w * F.col("x.u") * F.col(f"t{i}")).alias(f"q{i}") for i in range(m)])
+        q = through("p", turn, "k int, key string, " + ", ".join(f"q{i} double" for i in range(m))).groupBy("k", "key").agg(*[F.sum(f"q{i}").alias(f"q{i}") for i in range(m)])
         step = cut(v.join(q, ["k", "key"]), "vectors")
         found = np.array([x or 0.0 for x in step.agg(*[F.sum(F.col(f"p{i}") * F.col(f"q{i}")).alias(f"z{i}") for i in range(m)]).first()])
         failed |= (now > goal) & (found <= 0) & ~close(now)
@@ -267,13 +391,22 @@ def _iterated(df: DataFrame, blocks: list[Block], cols: list[str], raw: np.ndarr
         uncut(old)
         now, turns = np.where(live, after, now * 0), turns + 1
         best.append(np.minimum(best[-1], now))
-    uncut(rows)
     failed |= (now > goal) & ~close(best[-1])
     if failed.any():
+        cells.unpersist()
+        uncut(whole, places)
         raise RuntimeError(f"the effects of {', '.join(c for c, x in zip(cols, failed) if x)} are not solved for after {turns} turns: squared residuals of {best[-1] / np.maximum(best[0], 1e-280)} of the start")
     explained = _explained(v.select(*[F.col(f"b{i}").alias(f"s0_{i}") for i in range(m)], *[F.col(f"x{i}").alias(f"a0_{i}") for i in range(m)]), 1, m)
+    solved = {k: v.where(F.col("k") == k).select("key", *[f"x{i}" for i in range(m)]) for k in range(len(blocks)) if k != taken}
+    if own:
+        levels = whole.where(f"k = {taken} and d > 0")
+        explained += _explained(levels.select(*[F.col(f"b{i}").alias(f"s0_{i}") for i in range(m)], *[(F.col(f"b{i}") / F.col("d")).alias(f"a0_{i}") for i in range(m)]), 1, m)
+        given = through("x", means, "block int, code int, " + ", ".join(f"t{i} double" for i in range(m)))
+        solved[taken] = cut(levels.join(given, ["block", "code"]).select("key", *[(F.col(f"b{i}") / F.col("d") - F.col(f"t{i}")).alias(f"x{i}") for i in range(m)]), "levels")
+    cells.unpersist()
+    uncut(whole, places)
     tables = []
     for k, b in enumerate(blocks):
         kind = df.schema[b.key].dataType
-        tables.append(([b], v.where(F.col("k") == k).select(F.col("key").cast(kind).alias("key"), *[(F.col(f"x{i}") + float(shift[i] if k == level else 0.0)).alias(f"a0_{i}") for i in range(m)])))
+        tables.append(([b], solved[k].select(F.col("key").cast(kind).alias("key"), *[(F.col(f"x{i}") + float(shift[i] if k == level else 0.0)).alias(f"a0_{i}") for i in range(m)])))
     return Absorbed(centred - explained, raw, tables, cols, turns)
