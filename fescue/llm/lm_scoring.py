@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ EVERY = 1
 ROUNDS, RATE, SEED = 2, 0.1, 7
 #: Words of a gradient step.
 STEP = 16_384
+#: Words that go through the classes at a time, so that their scores stay in the processor's cache.
+TILE = 1_024
 #: Words that a task counts before it hands them on.
 HELD = 200_000
 
@@ -51,10 +54,14 @@ class Network:
 
     def encode(self, text: str, rare: list | None = None) -> np.ndarray:
         """The id of every word; rare, if given, gets those outside the vocabulary."""
-        get, base, said = self.ids.get, VOCABULARY - SHARED, tokens(text)
+        said, base = tokens(text), VOCABULARY - SHARED
+        ids = np.fromiter(map(self.ids.get, said, repeat(-1)), np.int32, len(said))
+        at = np.flatnonzero(ids < 0)
+        others = [said[k] for k in at.tolist()]
+        ids[at] = [base + zlib.crc32(w.encode("utf-8", "surrogatepass")) % SHARED for w in others]
         if rare is not None:
-            rare += [w for w in said if w not in self.ids]
-        return np.array([i if (i := get(w)) is not None else base + zlib.crc32(w.encode("utf-8", "surrogatepass")) % SHARED for w in said], np.int32)
+            rare += others
+        return ids
 
     def windows(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ids around each place, a row for each place of the window; VOCABULARY beyond the ends."""
@@ -67,34 +74,37 @@ class Network:
             total += self.e[near[k]] * self.a[k]
         return np.tanh(total, out=total)
 
+    def _tables(self) -> list[np.ndarray]:
+        """What each word adds to the hidden values from each place of the window."""
+        tables = [self.e * a for a in self.a]
+        tables[0] += self.b
+        return tables
+
     def ready(self) -> Network:
         """Tables of what log_p_only() would else work out again for every text."""
-        self.tables = [np.ascontiguousarray(self.e * a) for a in self.a]
-        self.tables[0] = self.tables[0] + self.b
+        self.tables = self._tables()
         self.ct, self.wt = np.ascontiguousarray(self.c.T), np.ascontiguousarray(self.w.transpose(0, 2, 1))
         return self
 
     def log_p_only(self, near: np.ndarray, word: np.ndarray) -> np.ndarray:
         """log_p() without learning. Scores are small numbers, as the hidden values lie between -1 and 1, so their exponentials
         are taken as they are."""
-        n, order = len(word), np.argsort(word, kind="stable")
-        near, word = near[:, order], word[order]
-        h = self.tables[0][near[0]]
-        for k in range(1, 2 * SIDE):
-            h += self.tables[k][near[k]]
-        np.tanh(h, out=h)
-        top, low, at = word // CLASS, word % CLASS, np.arange(n)
-        z = h @ self.ct[:-1]
-        z += self.ct[-1]
-        out = z[at, top]
-        out -= np.log(np.exp(z, out=z).sum(axis=1))
+        n, order = len(word), np.argsort(word.astype(np.uint16), kind="stable")
+        near, word = near.take(order, axis=1), word.take(order)
+        h = _summed(self.tables, near)
+        top, low, at, ones = word // CLASS, word % CLASS, np.arange(n), np.ones(CLASS, np.float32)
+        out = np.empty(n, np.float32)
+        for a in range(0, n, TILE):
+            part = slice(a, a + TILE)
+            z = h[part] @ self.ct
+            out[part] = z[at[: len(z)], top[part]]
+            out[part] -= np.log(np.exp(z, out=z) @ ones)
         bounds = np.searchsorted(top, np.arange(CLASS + 1))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             own = slice(bounds[k], bounds[k + 1])
-            z = h[own] @ self.wt[k, :-1]
-            z += self.wt[k, -1]
+            z = h[own] @ self.wt[k]
             out[own] += z[at[: len(z)], low[own]]
-            out[own] -= np.log(np.exp(z, out=z).sum(axis=1))
+            out[own] -= np.log(np.exp(z, out=z) @ ones)
         back = np.empty(n, np.float32)
         back[order] = out
         return back
@@ -135,41 +145,39 @@ class Network:
         """A step on log_p() of all these places at once, in the order of the words, so that a class's places are neighbours. Scores
         are small numbers, so their exponentials are taken as they are."""
         order = np.argsort(word.astype(np.uint16), kind="stable")
-        near, word, n = near[:, order], word[order], np.float32(len(word))
-        h, top, low, at = self.hidden(near), word // CLASS, word % CLASS, np.arange(len(word))
-        p = h @ self.c[:, :-1].T
-        p += self.c[:, -1]
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[at, top] -= 1
-        dh = p @ self.c[:, :-1]
-        rates.step(self.c, np.hstack([p.T @ h, p.sum(axis=0)[:, None]]) / n, "c")
+        near, word, n = near.take(order, axis=1), word.take(order), np.float32(len(word))
+        h, top, low, at, ones = _summed(self._tables(), near), word // CLASS, word % CLASS, np.arange(len(word)), np.ones(CLASS, np.float32)
+        dh, grad = np.empty((len(word), DIM), np.float32), np.zeros_like(self.c)
+        for a in range(0, len(word), TILE):
+            part = slice(a, a + TILE)
+            p = h[part] @ self.c.T
+            np.exp(p, out=p)
+            p /= (p @ ones)[:, None]
+            p[at[: len(p)], top[part]] -= 1
+            np.matmul(p, self.c[:, :-1], out=dh[part])
+            grad += p.T @ h[part]
+        rates.step(self.c, grad / n, "c")
         bounds = np.searchsorted(top, np.arange(CLASS + 1))
         grad = np.zeros_like(self.w)
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             own = slice(bounds[k], bounds[k + 1])
-            q = h[own] @ self.w[k, :, :-1].T
-            q += self.w[k, :, -1]
+            q = h[own] @ self.w[k].T
             np.exp(q, out=q)
-            q /= q.sum(axis=1, keepdims=True)
+            q /= (q @ ones)[:, None]
             q[at[: len(q)], low[own]] -= 1
             dh[own] += q @ self.w[k, :, :-1]
-            grad[k, :, :-1], grad[k, :, -1] = q.T @ h[own], q.sum(axis=0)
+            grad[k] = q.T @ h[own]
         rates.step(self.w, grad / n, "w")
-        h *= -h
-        h += 1
-        dh *= h
+        h = h[:, :-1]
+        dh *= 1 - h * h
         dh /= n
         # Each place of the window: sums of dh by the word found there.
-        de, da = np.zeros_like(self.e), np.zeros_like(self.a)
+        de, da, wide = np.zeros_like(self.e), np.zeros_like(self.a), np.ascontiguousarray(dh.T, np.float64)
         for k, x in enumerate(near):
-            order = np.argsort(x.astype(np.uint16), kind="stable")
-            own = x[order]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            sums = np.add.reduceat(dh[order], first, axis=0)
-            da[k] = (sums * self.e[own[first]]).sum(axis=0)
-            de[own[first]] += sums * self.a[k]
-        rows = np.unique(near)
+            sums = np.stack([np.bincount(x, column, VOCABULARY + 1) for column in wide], axis=1)
+            da[k] = (sums * self.e).sum(axis=0)
+            de += sums * self.a[k]
+        rows = np.flatnonzero(np.bincount(near.ravel(), minlength=VOCABULARY + 1))
         rates.step(self.e, de[rows], "e", rows)
         rates.step(self.a, da, "a")
         rates.step(self.b, dh.sum(axis=0), "b")
@@ -197,6 +205,16 @@ class Adagrad:
         x[at] -= RATE * grad / np.sqrt(total[at])
 
 
+def _summed(tables: list[np.ndarray], near: np.ndarray) -> np.ndarray:
+    """Hidden values of each place from the tables' rows of the words around it, and a one beside them for the offsets."""
+    total = tables[0].take(near[0], axis=0)
+    for table, x in zip(tables[1:], near[1:]):
+        total += table.take(x, axis=0)
+    out = np.ones((len(total), DIM + 1), np.float32)
+    np.tanh(total, out=out[:, :-1])
+    return out
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
