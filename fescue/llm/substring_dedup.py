@@ -158,7 +158,7 @@ def _rows(texts: DataFrame) -> DataFrame:
         key, c = seeds(s, content := Content(s))
         who, first = np.concatenate(owner), np.concatenate(base)
         t, k = who[c], key.view(np.int64)
-        order = np.lexsort((c, t, k))
+        order = np.lexsort((c, k))  # a text's places are neighbours in c
         k, t, c = k[order], t[order], c[order]
         p = c - first[c]
         # Where a text repeats the same stretch, as a line again and again, the first and the last place of the key stand for those between.
@@ -265,12 +265,16 @@ def candidates(pairs: DataFrame) -> DataFrame:
 
 def _longest(hit: np.ndarray, cost: float) -> tuple[int, int]:
     """Start and end of the longest stretch, from a hit to a hit, whose hits outweigh what is not hit, at cost each."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(hit, 1.0, -cost))])
-    # The first place from which the sum up to an end is not negative; lowest sums so far never rise.
-    start = np.searchsorted(-np.minimum.accumulate(total), -total)
-    end = int(np.argmax(np.arange(len(total)) - start))
-    found = np.flatnonzero(hit[start[end] : end])
-    return (int(start[end] + found[0]), int(start[end] + found[-1] + 1)) if len(found) else (0, 0)
+    if hit.all():
+        return 0, len(hit)
+    total = np.zeros(len(hit) + 1)
+    np.where(hit, -1.0, cost).cumsum(out=total[1:])
+    # The first place from which the sum up to an end is not negative; lowest sums so far never rise (all with the other sign).
+    start = np.maximum.accumulate(total).searchsorted(total)
+    end = int((np.arange(len(total)) - start).argmax())
+    first = int(start[end])
+    found = hit[first:end].nonzero()[0]
+    return (first + int(found[0]), first + int(found[-1]) + 1) if len(found) else (0, 0)
 
 
 def _longest_of(hit: np.ndarray, n: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +297,16 @@ def _held_in(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which of x are among the sorted values."""
     if not len(values):
         return np.zeros(len(x), bool)
-    return values[np.searchsorted(values, x).clip(max=len(values) - 1)] == x
+    at = values.searchsorted(x)
+    return values[np.minimum(at, len(values) - 1, out=at)] == x
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted values of a short x, each once."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 #: What a shingle of one run only outweighs; the last takes the longest run without any.
@@ -304,17 +317,17 @@ def verify(a: np.ndarray, b: np.ndarray, hit: np.ndarray | None = None) -> tuple
     """The passage that two runs of shingle hashes share: (start, end in a, start, end in b, Jaccard similarity), or None if
     there is none of SHORTEST shingles and SIMILAR. It is the longest run whose shared shingles outweigh the others, first where
     only one run has others, then where both have as many. hit tells which of a are in b, if that is known."""
-    hit, tried = _held_in(a, np.unique(b)) if hit is None else hit, set()
+    hit, tried = _held_in(a, _distinct(b)) if hit is None else hit, set()
     for cost in COSTS:
         a0, a1 = _longest(hit, cost)
         if a1 - a0 < LEAST or (a0, a1) in tried:
             continue
         tried.add((a0, a1))
-        x = np.unique(a[a0:a1])
+        x = _distinct(a[a0:a1])
         b0, b1 = _longest(_held_in(b, x), cost)
         if max(a1 - a0, b1 - b0) < SHORTEST or b1 - b0 < LEAST:
             continue
-        y = np.unique(b[b0:b1])
+        y = _distinct(b[b0:b1])
         common = int(np.count_nonzero(_held_in(y, x)))
         if common >= SIMILAR * (len(x) + len(y) - common):
             return a0, a1, b0, b1, common / (len(x) + len(y) - common)
@@ -324,12 +337,15 @@ def verify(a: np.ndarray, b: np.ndarray, hit: np.ndarray | None = None) -> tuple
 def passages(a: np.ndarray, b: np.ndarray, over: int | None = None) -> list[tuple[int, int, int, int, float]]:
     """All passages of a that b has a near copy of: the one that verify() gives, and those on both sides of it, on and on. A run that
     is no passage parts what is left and right of it in the same way. With over, only parts that hold that place are looked at."""
-    out, left, every = [], [(0, len(a))], _held_in(a, np.unique(b))
+    out, left, every = [], [(0, len(a))], _held_in(a, _distinct(b))
     while left:
         lo, hi = left.pop()
         if hi - lo < LEAST or over is not None and not lo <= over < hi:
             continue
         part, hit = a[lo:hi], every[lo:hi]
+        # A run of LEAST whose hits outweigh the rest at the lowest cost has this many of them.
+        if np.count_nonzero(hit) * (1 + 1 / COSTS[0]) < LEAST:
+            continue
         got = verify(part, b, hit)
         if got:
             out.append((lo + got[0], lo + got[1], *got[2:]))
@@ -351,9 +367,9 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["ta", "a0", "a1", "tb", "b0", "b1", "similarity"])
 
 
-def _slices(source: DataFrame, ask: DataFrame, around: int) -> DataFrame:
+def _slices(source: DataFrame, ask: DataFrame, around: int, repeated: bool = True) -> DataFrame:
     """t, lo, hi, s: for each asked stretch of a text (t, lo, hi; rep, an id that has the text) its shingles and around more on both
-    sides, as 32 bits each, so that they take no more room than the words."""
+    sides, as 32 bits each, so that they take no more room than the words. Unless source has repeated rows, each is there once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
@@ -367,13 +383,14 @@ def _slices(source: DataFrame, ask: DataFrame, around: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t, lo, hi, pa.array(out, pa.list_(pa.int32()))], names=["t", "lo", "hi", "s"])
 
     met = source.join(ask.select(F.col("t").alias("_t"), "rep", "lo", "hi"), (F.col("id") == F.col("rep")) & (F.col("t") == F.col("_t")))
-    return met.select("t", "lo", "hi", "text").mapInArrow(run, "t long, lo long, hi long, s array<int>").dropDuplicates(["t", "lo", "hi"])
+    out = met.select("t", "lo", "hi", "text").mapInArrow(run, "t long, lo long, hi long, s array<int>")
+    return out.dropDuplicates(["t", "lo", "hi"]) if repeated else out
 
 
-def _compared(found: DataFrame, source: DataFrame, reps: DataFrame) -> DataFrame:
+def _compared(found: DataFrame, source: DataFrame, reps: DataFrame, repeated: bool = True) -> DataFrame:
     """The passages that the candidates' stretches share."""
     ask = found.select(F.col("ta").alias("t"), F.col("a0").alias("lo"), F.col("a1").alias("hi")).union(found.select("tb", "b0", "b1")).distinct()
-    cuts = cut(_slices(source, ask.join(reps, "t"), AROUND), "slices")
+    cuts = cut(_slices(source, ask.join(reps, "t"), AROUND, repeated), "slices")
     side = lambda n: cuts.select(F.col("t").alias(f"t{n}"), F.col("lo").alias(f"{n}0"), F.col("hi").alias(f"{n}1"), F.col("s").alias(f"s{n}"))
     both = found.join(side("a"), ["ta", "a0", "a1"]).join(side("b"), ["tb", "b0", "b1"])
 
@@ -463,17 +480,28 @@ class _Block:
         place = np.full(none + 1, -1)
         place[found] = np.arange(len(found))
         place[none] = -1
-        hit, n, pos = self.has[ask[:, None], found[None, :]], np.full(rows, len(found)), place[self.run[ask]]
-        look = ~self.once[ask]
+        hit, n, pos, run = self.has[ask[:, None], found[None, :]], np.full(rows, len(found)), place[self.run[ask]], self.n[ask]
+        look, tried = ~self.once[ask], np.full((rows, 2), -1)
         for cost in COSTS:
-            a0, a1 = _longest_of(hit, n, cost)
-            met = (pos >= a0[:, None]) & (pos < a1[:, None])
-            b0, b1 = _longest_of(met, self.n[ask], cost)
+            # Those that have to be looked at anyway need no further cost.
+            left = np.flatnonzero(~look)
+            if not len(left):
+                break
+            held = pos[left]
+            a0, a1 = _longest_of(hit[left], n[left], cost)
+            # A stretch under LEAST is none, and one that was tried at the cost before gives the same.
+            fits = (a1 - a0 >= LEAST) & ((a0 != tried[left, 0]) | (a1 != tried[left, 1]))
+            tried[left, 0], tried[left, 1] = a0, a1
+            if cost == COSTS[2]:
+                look[left] = (a1 - a0 >= LEAST) & ~((a0 <= q) & (q < a1))
+            left, held, a0, a1 = left[fits], held[fits], a0[fits], a1[fits]
+            if not len(left):
+                continue
+            met = (held >= a0[:, None]) & (held < a1[:, None])
+            b0, b1 = _longest_of(met, run[left], cost)
             common = (met & (at >= b0[:, None]) & (at < b1[:, None])).sum(axis=1)
             la, lb = a1 - a0, b1 - b0
-            look |= (la >= LEAST) & (lb >= LEAST) & (np.maximum(la, lb) >= SHORTEST) & (common >= SIMILAR * (la + lb - common))
-            if cost == COSTS[2]:
-                look |= (la >= LEAST) & ~((a0 <= q) & (q < a1))
+            look[left] |= (lb >= LEAST) & (np.maximum(la, lb) >= SHORTEST) & (common >= SIMILAR * (la + lb - common))
         return ask[look]
 
     def links(self, opened: list[tuple[int, int, int | None, np.ndarray]]) -> list[tuple]:
@@ -489,7 +517,7 @@ class _Block:
             ask = np.flatnonzero(enough[n] & (self.t != t))
             ask = ask[~np.isin(self.label[ask], list(mine))] if len(ask) else ask
             ask = self.like(found[n], q, ask) if len(ask) else ask
-            once = len(np.unique(ctx)) == len(ctx)
+            once = len(_distinct(ctx)) == len(ctx)
             while len(ask):
                 # A few at a time: a link joins this member with all of a class, and they need not be asked any more.
                 few, ask = ask[:FEW], ask[FEW:]
@@ -509,7 +537,7 @@ class _Block:
         return out
 
 
-def _rest(pairs: DataFrame, named: DataFrame, source: DataFrame, reps: DataFrame) -> DataFrame:
+def _rest(pairs: DataFrame, named: DataFrame, source: DataFrame, reps: DataFrame, repeated: bool = True) -> DataFrame:
     """Links of members of a key, of those of the first hash function, whose passages are not of one class yet (named: t, lo, hi, label): those in no passage and those of
     other classes than the first are held against all members, a large key in blocks, so that each block of such members
     meets each block of all in a task."""
@@ -528,7 +556,7 @@ def _rest(pairs: DataFrame, named: DataFrame, source: DataFrame, reps: DataFrame
     opened = rows.where("open").select("k", dealt("bu").alias("i"), every("bn").alias("j"), F.lit(1).alias("side"), "t", "p", "label")
     every_row = cut(all_of.union(opened), "dealt")
     ask = every_row.select("t", F.col("p").alias("lo"), F.col("p").alias("hi")).distinct()
-    ctx = cut(_slices(source, ask.join(reps, "t"), REACH), "contexts")
+    ctx = cut(_slices(source, ask.join(reps, "t"), REACH, repeated), "contexts")
     full = every_row.join(ctx.select("t", F.col("lo").alias("p"), "s"), ["t", "p"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -605,16 +633,17 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count once. An empty table gives none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    ids = cut(source.select("id", "t", F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n_words")).distinct(), "ids")
-    classes = cut(ids.groupBy("t").agg(F.min("id").alias("rep"), F.max("n_words").alias("n_words"), F.count("*").alias("n")), "texts")
+    ids = cut(source.select("id", "t", F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long").alias("n_words")).groupBy("id", "t", "n_words").agg(F.count("*").alias("times")), "ids")
+    classes = cut(ids.groupBy("t").agg(F.min("id").alias("rep"), F.max("n_words").alias("n_words"), F.count("*").alias("n"), F.max("times").alias("times")), "texts")
+    repeated = (classes.agg(F.max("times")).first()[0] or 0) > 1
     reps = classes.select("t", "rep")
     rows = cut(members(source), "members")
     pairs = cut(star(rows), "star")
     uncut(rows)
     found = cut(candidates(pairs), "candidates")
-    first = _compared(found, source, reps)
+    first = _compared(found, source, reps, repeated)
     copies = classes.where((F.col("n") > 1) & (F.col("n_words") >= PASSAGE))
-    more = _rest(pairs, _classes(first, copies)[0], source, reps)
+    more = _rest(pairs, _classes(first, copies)[0], source, reps, repeated)
     links = cut(first.union(more).distinct(), "links")
     uncut(found, pairs, first, more)
     named, degree, best = _classes(links, copies)
