@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ SIDE, DIM, CLASS = 2, 16, 64
 VOCABULARY = CLASS * CLASS
 #: Of the vocabulary, places that the words outside it share by their hash.
 SHARED = 8 * CLASS
-#: One in so many places of every text is a training target: all of them.
+#: One in so many places is a training target: all of them.
 EVERY = 1
 #: Parts of the corpus, by a hash of the row. Each is one round of training, which begins with the mean of what the tasks of the
 #: round before have learnt; together the rounds are one pass.
@@ -27,14 +26,69 @@ ROUNDS, RATE, SEED = 2, 0.1, 7
 STEP = 16_384
 #: Words that go through the classes at a time, so that their scores stay in the processor's cache.
 TILE = 1_024
-#: Words that a task counts before it hands them on.
-HELD = 200_000
+#: Words that a task holds before it counts them and hands the counts on.
+HELD = 1_500_000
+#: Characters of text that are cut into words at a time.
+PIECE = 1 << 20
+#: White space that str.split() knows and ascii_split_whitespace() does not.
+ODD = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def tokens(text: str) -> list[str]:
     return text.lower().split()
 
 
+def tokens_of_all(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """tokens() of all texts one after the other, and where each text's begin; at the end, where the last one's end."""
+    low = [t.lower() for t in texts]
+    cut = pc.utf8_split_whitespace if any(c in t for t in low for c in ODD) else pc.ascii_split_whitespace
+    found = cut(pa.array(low, pa.string()))
+    words, bounds = found.flatten(), found.offsets.to_numpy()
+    # White space at the ends of a text leaves empty words there.
+    full = pc.not_equal(words, "")
+    if pc.all(full, min_count=0).as_py():
+        return words, bounds
+    return words.filter(full), np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[bounds]
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts in runs of about PIECE characters, each with the number of its first; a null is an empty text."""
+    held, size = [], 0
+    for k, text in enumerate(texts, 1):
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= PIECE or k == len(texts):
+            yield k - len(held), held
+            held, size = [], 0
+
+
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def crc32_of_all(words: pa.StringArray, most: int = 64) -> np.ndarray:
+    """zlib.crc32() of every word's UTF-8, a byte of all words at a time; of words of over most bytes, one word at a time."""
+    if not len(words):
+        return np.zeros(0, np.uint32)
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data, size = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.diff(bounds)
+    order = np.argsort(np.minimum(size, most + 1).astype(np.uint8), kind="stable")[::-1]
+    at, out = bounds[order], np.empty(len(words), np.uint32)
+    short = np.minimum(size, most + 1)[order]
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k in range(most):
+        # Longer words come first.
+        n = len(words) - np.searchsorted(short[::-1], k, "right")
+        if not n:
+            break
+        crc[:n] = _CRC[(crc[:n] ^ data[at[:n] + k]) & 255] ^ (crc[:n] >> 8)
+    out[order] = ~crc
+    for k in np.flatnonzero(size > most).tolist():
+        out[k] = zlib.crc32(data[bounds[k] : bounds[k + 1]])
+    return out
+
+
 class Network:
     """Embeddings e (one for what lies outside the text), a weight for each place of the window, an offset; weights and
     offsets of the classes and of the words."""
@@ -42,6 +96,7 @@ class Network:
     def __init__(self, words: list[str], log_p: np.ndarray):
         rng = np.random.default_rng(SEED)
         self.ids = {w: i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.string())
         p = np.exp(log_p).reshape(CLASS, CLASS)
         self.e = (rng.standard_normal((VOCABULARY + 1, DIM)) * 0.1).astype(np.float32)
         self.a = np.ones((2 * SIDE, DIM), np.float32)
@@ -54,20 +109,36 @@ class Network:
 
     def encode(self, text: str, rare: list | None = None) -> np.ndarray:
         """The id of every word; rare, if given, gets those outside the vocabulary."""
-        said, base = tokens(text), VOCABULARY - SHARED
-        ids = np.fromiter(map(self.ids.get, said, repeat(-1)), np.int32, len(said))
-        at = np.flatnonzero(ids < 0)
-        others = [said[k] for k in at.tolist()]
-        ids[at] = [base + zlib.crc32(w.encode("utf-8", "surrogatepass")) % SHARED for w in others]
+        ids, _, _, others = self.encode_all([text])
         if rare is not None:
-            rare += others
+            rare += others.to_pylist()
         return ids
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+        """The ids of the words of all texts one after the other, where each text's begin and the last one's end, the places of the words
+        outside the vocabulary, and these words."""
+        words, bounds = tokens_of_all(texts)
+        found = pc.index_in(words, self.words)
+        others = words.filter(pc.is_null(found))
+        ids = pc.fill_null(found, -1).to_numpy().astype(np.int32)
+        at, some = np.flatnonzero(ids < 0), 1 << 14
+        for k in range(0, len(at), some):
+            ids[at[k : k + some]] = VOCABULARY - SHARED + crc32_of_all(others[k : k + some]) % SHARED
+        return ids, bounds, at, others
+
     def windows(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ids around each place, a row for each place of the window; VOCABULARY beyond the ends."""
         padded = np.concatenate([np.full(SIDE, VOCABULARY, np.int32), ids, np.full(SIDE, VOCABULARY, np.int32)])
         return np.stack([padded[at + k] for k in range(2 * SIDE + 1) if k != SIDE])
 
+    def places(self, ids: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """windows() of all places of texts that lie one after the other, and the words there, STEP places at a time."""
+        at = np.arange(SIDE, SIDE + len(ids)) + SIDE * np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        padded = np.full(len(ids) + SIDE * len(bounds), VOCABULARY, np.int32)
+        padded[at] = ids
+        for a in range(0, len(ids), STEP):
+            yield np.stack([padded.take(at[a : a + STEP] + k) for k in range(-SIDE, SIDE + 1) if k]), ids[a : a + STEP]
+
     def hidden(self, near: np.ndarray) -> np.ndarray:
         total = self.b + self.e[near[0]] * self.a[0]
         for k in range(1, 2 * SIDE):
@@ -84,6 +155,7 @@ class Network:
         """Tables of what log_p_only() would else work out again for every text."""
         self.tables = self._tables()
         self.ct, self.wt = np.ascontiguousarray(self.c.T), np.ascontiguousarray(self.w.transpose(0, 2, 1))
+        self.cw = (self.c[:, None] + self.w).reshape(VOCABULARY, DIM + 1)
         return self
 
     def log_p_only(self, near: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -91,20 +163,21 @@ class Network:
         are taken as they are."""
         n, order = len(word), np.argsort(word.astype(np.uint16), kind="stable")
         near, word = near.take(order, axis=1), word.take(order)
-        h = _summed(self.tables, near)
-        top, low, at, ones = word // CLASS, word % CLASS, np.arange(n), np.ones(CLASS, np.float32)
-        out = np.empty(n, np.float32)
+        h, ones = _summed(self.tables, near), np.ones(CLASS, np.float32)
+        # A word's score and its class's together, less the logarithms of what all classes and all words of the class have.
+        out = np.einsum("ij,ij->i", h, self.cw.take(word, axis=0))
+        tops, lows = np.empty(n, np.float32), np.empty(n, np.float32)
         for a in range(0, n, TILE):
             part = slice(a, a + TILE)
             z = h[part] @ self.ct
-            out[part] = z[at[: len(z)], top[part]]
-            out[part] -= np.log(np.exp(z, out=z) @ ones)
-        bounds = np.searchsorted(top, np.arange(CLASS + 1))
+            np.matmul(np.exp(z, out=z), ones, out=tops[part])
+        bounds = np.searchsorted(word, np.arange(0, VOCABULARY + 1, CLASS))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             own = slice(bounds[k], bounds[k + 1])
             z = h[own] @ self.wt[k]
-            out[own] += z[at[: len(z)], low[own]]
-            out[own] -= np.log(np.exp(z, out=z) @ ones)
+            np.matmul(np.exp(z, out=z), ones, out=lows[own])
+        out -= np.log(tops)
+        out -= np.log(lows)
         back = np.empty(n, np.float32)
         back[order] = out
         return back
@@ -146,41 +219,48 @@ class Network:
         are small numbers, so their exponentials are taken as they are."""
         order = np.argsort(word.astype(np.uint16), kind="stable")
         near, word, n = near.take(order, axis=1), word.take(order), np.float32(len(word))
-        h, top, low, at, ones = _summed(self._tables(), near), word // CLASS, word % CLASS, np.arange(len(word)), np.ones(CLASS, np.float32)
-        dh, grad = np.empty((len(word), DIM), np.float32), np.zeros_like(self.c)
+        h, ones = _summed(self._tables(), near), np.ones(CLASS, np.float32)
+        dh, dc, dw = np.empty((len(word), DIM), np.float32), np.zeros_like(self.c), np.zeros_like(self.w)
+        # All that the scores' exponentials are multiplied with is narrower than they are, so that is divided by their sums.
         for a in range(0, len(word), TILE):
             part = slice(a, a + TILE)
             p = h[part] @ self.c.T
-            np.exp(p, out=p)
-            p /= (p @ ones)[:, None]
-            p[at[: len(p)], top[part]] -= 1
-            np.matmul(p, self.c[:, :-1], out=dh[part])
-            grad += p.T @ h[part]
-        rates.step(self.c, grad / n, "c")
-        bounds = np.searchsorted(top, np.arange(CLASS + 1))
-        grad = np.zeros_like(self.w)
+            each = np.float32(1) / (np.exp(p, out=p) @ ones)[:, None]
+            np.multiply(p @ self.c[:, :-1], each, out=dh[part])
+            dc += p.T @ (h[part] * each)
+        bounds = np.searchsorted(word, np.arange(0, VOCABULARY + 1, CLASS))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             own = slice(bounds[k], bounds[k + 1])
-            q = h[own] @ self.w[k].T
-            np.exp(q, out=q)
-            q /= (q @ ones)[:, None]
-            q[at[: len(q)], low[own]] -= 1
-            dh[own] += q @ self.w[k, :, :-1]
-            grad[k] = q.T @ h[own]
-        rates.step(self.w, grad / n, "w")
+            p = h[own] @ self.w[k].T
+            each = np.float32(1) / (np.exp(p, out=p) @ ones)[:, None]
+            dh[own] += (p @ self.w[k, :, :-1]) * each
+            np.matmul(p.T, h[own] * each, out=dw[k])
+        # The words that are there, and their classes.
+        dh -= (self.c[:, None, :-1] + self.w[:, :, :-1]).reshape(VOCABULARY, DIM).take(word, axis=0)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        there = np.zeros((VOCABULARY, DIM + 1), np.float32)
+        there[word[first]] = np.add.reduceat(h, first, axis=0)
+        there = there.reshape(self.w.shape)
+        dw -= there
+        dc -= there.sum(axis=1)
+        rates.step(self.c, dc / n, "c")
+        rates.step(self.w, dw / n, "w")
         h = h[:, :-1]
         dh *= 1 - h * h
         dh /= n
-        # Each place of the window: sums of dh by the word found there.
-        de, da, wide = np.zeros_like(self.e), np.zeros_like(self.a), np.ascontiguousarray(dh.T, np.float64)
-        for k, x in enumerate(near):
-            sums = np.stack([np.bincount(x, column, VOCABULARY + 1) for column in wide], axis=1)
-            da[k] = (sums * self.e).sum(axis=0)
-            de += sums * self.a[k]
+        # Each place of the window: sums of dh by the word found there, a row for each of its numbers.
+        e, wide = np.ascontiguousarray(self.e.T, np.float64), np.ascontiguousarray(dh.T, np.float64)
+        de, sums, da = np.zeros_like(e), np.empty_like(e), np.zeros_like(self.a)
+        for k, x in enumerate(near.astype(np.intp)):
+            for i, column in enumerate(wide):
+                sums[i] = np.bincount(x, column, VOCABULARY + 1)
+            da[k] = np.einsum("ij,ij->i", sums, e)
+            sums *= self.a[k][:, None]
+            de += sums
         rows = np.flatnonzero(np.bincount(near.ravel(), minlength=VOCABULARY + 1))
-        rates.step(self.e, de[rows], "e", rows)
+        rates.step(self.e, de.T[rows].astype(np.float32), "e", rows)
         rates.step(self.a, da, "a")
-        rates.step(self.b, dh.sum(axis=0), "b")
+        rates.step(self.b, np.ones(len(dh), np.float32) @ dh, "b")
 
     def rows(self) -> np.ndarray:
         """All parameters as rows of DIM + 1 numbers."""
@@ -227,14 +307,20 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, n over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            found = pa.chunked_array(held, pa.string()).value_counts()
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"])
+
         for batch in batches:
-            for text in batch.column(0):
-                held.update(tokens(text.as_py() or ""))
-                if len(held) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-                    held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+            for _, texts in pieces(batch.column(0)):
+                held.append(tokens_of_all(texts)[0])
+                size += len(held[-1])
+                if size > HELD:
+                    yield counted()
+                    held, size = [], 0
+        yield counted()
 
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -276,14 +362,12 @@ def train(docs: DataFrame, text_col: str = "text", counts: DataFrame | None = No
                 return len(word) - at
 
             for batch in batches:
-                for text in batch.column(0):
-                    ids = own.encode(text.as_py() or "")
-                    at = np.arange(len(ids) % EVERY // 2, len(ids), EVERY)
-                    if len(at):
-                        held.append((own.windows(ids, at), ids[at]))
-                        size, seen = size + len(at), seen + len(at)
-                    if size >= STEP:
-                        size = step(STEP)
+                for _, texts in pieces(batch.column(0)):
+                    for near, word in own.places(*own.encode_all(texts)[:2]):
+                        held.append((near[:, ::EVERY], word[::EVERY]))
+                        size, seen = size + len(held[-1][1]), seen + len(held[-1][1])
+                        if size >= STEP:
+                            size = step(STEP)
             if size:
                 step(1)
             if seen:
@@ -304,34 +388,17 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     sent, kind = docs.sparkSession.sparkContext.broadcast(net.ready()), docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, part = sent.value, 1 << 14
+        net = sent.value
         for batch in batches:
-            n, total, held, size = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), [], 0
-            said: list[list[str]] = [[] for _ in range(batch.num_rows)]
-
-            def flush() -> None:
-                """Places of one text or of several go through the network together."""
-                near = np.concatenate([x[1] for x in held], axis=1)
-                word = np.concatenate([x[2] for x in held])
-                found = net.log_p_only(near, word).astype(np.float64)
-                ends = np.cumsum([len(x[2]) for x in held])
-                np.add.at(total, [x[0] for x in held], np.add.reduceat(found, np.concatenate([[0], ends[:-1]])))
-                held.clear()
-
-            for k, text in enumerate(batch.column(1)):
-                ids = net.encode(text.as_py() or "", said[k] if rare else None)
-                n[k] = len(ids)
-                for at in range(0, len(ids), part):
-                    spot = np.arange(at, min(at + part, len(ids)))
-                    held.append((k, net.windows(ids, spot), ids[spot]))
-                    size += len(spot)
-                    if size >= part:
-                        flush()
-                        size = 0
-            if held:
-                flush()
-            cols = [batch.column(0), pa.array(n), pa.array(np.round(total, 3))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(said, pa.list_(pa.string()))] if rare else cols, names=["id", "n_tokens", "log_likelihood", "rare"][: 4 if rare else 3])
+            for first, texts in pieces(batch.column(1)):
+                ids, bounds, at, others = net.encode_all(texts)
+                found = [net.log_p_only(near, word) for near, word in net.places(ids, bounds)]
+                n = np.diff(bounds).astype(np.int64)
+                total = np.bincount(np.repeat(np.arange(len(n)), n), np.concatenate([np.zeros(0), *found]), len(n))
+                cols = [batch.column(0).slice(first, len(n)), pa.array(n), pa.array(np.round(total, 3))]
+                if rare:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds).astype(np.int32)), others))
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "log_likelihood", "rare"][: len(cols)])
 
     schema = f"id {kind}, n_tokens long, log_likelihood double" + ", rare array<string>" * rare
     out = docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, schema)
